@@ -1,0 +1 @@
+"""Deliberately empty: every input of this library is a static table, so there is no streaming operator."""
