@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.exprs import logistic
 from cohortline.operators.quantiles import exact_quantiles
+from cohortline.session import cut_lineage
 
 MAX_LEVELS = 200
 
@@ -67,8 +68,12 @@ def impute_chained(
             for weight, c in zip(fit.coefficients, inputs.values()):
                 predicted = predicted + F.lit(float(weight)) * c
             current[t] = predicted
-    return df.withColumns({t + suffix: F.coalesce(F.col(t).cast("double"), current[t]) for t in targets})
-
+        if len(targets) > 2:
+            # Each prediction names every other target, so the nested expression would grow exponentially.
+            df = cut_lineage(df.drop(*[f"_now_{t}" for t in targets]).withColumns({f"_now_{t}": current[t] for t in targets}))
+            current = {t: F.col(f"_now_{t}") for t in targets}
+    df = df.withColumns({t + suffix: F.coalesce(F.col(t).cast("double"), current[t]) for t in targets})
+    return df.drop(*[f"_now_{t}" for t in targets])
 
 # --------------------------------------------------------------------------- smooth logistic model
 
