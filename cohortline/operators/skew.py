@@ -5,8 +5,8 @@ treat a group with more than ``hot_rows`` rows in a second way that cuts it into
 such groups is found with one map-side-combined count and is small by construction: a hot group
 must hold more than ``1 / MAX_HOT`` of all rows, so there are fewer than ``MAX_HOT`` of them and the
 list may be broadcast. When there is none, adaptive execution drops the second branch at run time.
-An input whose files are smaller than ``SMALL_BYTES`` altogether cannot hurt one task, so the count
-is skipped for it.
+When everything the plan reads is smaller than ``SMALL_BYTES``, no task can be hurt and the count is
+skipped.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ MAX_HOT = 10_000
 SMALL_BYTES = 64 * 1024 * 1024
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan (file sizes for scans, products for joins)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def source_bytes(df: DataFrame) -> int:
+    """Catalyst's size of everything the plan reads: file sizes for scans, a huge default where unknown."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def may_have_hot_groups(df: DataFrame, hot_rows: int | None) -> bool:
     """``hot_rows=None`` means the default limit, checked only when the input is not small."""
-    return hot_rows is not None or planned_bytes(df) > SMALL_BYTES
+    return hot_rows is not None or source_bytes(df) > SMALL_BYTES
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, **stats: Column) -> DataFrame:

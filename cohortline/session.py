@@ -31,6 +31,8 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
         .appName("cohortline")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Python call sites are not recorded for every column expression, which shortens plan building.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .getOrCreate()
