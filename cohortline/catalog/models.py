@@ -1 +1,105 @@
-"""To be filled."""
+"""Queries for encoding, imputation, smooth models and plateaus."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortline.catalog.frames import rounded
+from cohortline.catalog.registry import query
+from cohortline.functions.exprs import complement, logistic
+from cohortline.operators import model
+from cohortline.sources.io import load
+
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query(
+    "one_hot",
+    "SELECT o_orderkey, "
+    + ", ".join(f"CASE WHEN o_orderstatus = '{s}' THEN 1 ELSE 0 END AS \"o_orderstatus_{s}\"" for s in "FOP")
+    + ", "
+    + ", ".join(f"CASE WHEN o_orderpriority = '{p}' THEN 1 ELSE 0 END AS \"o_orderpriority_{p}\"" for p in PRIORITIES)
+    + " FROM orders",
+)
+def one_hot(spark, folder):
+    orders = load(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return model.one_hot(orders, ["o_orderstatus", "o_orderpriority"])
+
+
+@query("impute_chained")
+def impute_chained(spark, folder):
+    """Prices and taxes masked on some lines, filled from the other columns by chained regressions."""
+    lines = load(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_quantity",
+        "l_discount",
+        F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("price"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("charge"),
+    )
+    return rounded(
+        model.impute_chained(lines, ["price", "charge"], ["l_quantity", "l_discount"]), 4, "price_impute", "charge_impute"
+    )
+
+
+def _toxicity(spark, folder):
+    docs = load(spark, folder, "documents").select(
+        "doc_id", F.log1p("n_chars").alias("log_chars"), F.size(F.split("text", " ")).alias("words"), "lang"
+    )
+    labels = load(spark, folder, "labels")
+    return docs.join(labels, "doc_id").withColumns(
+        {"log_words": F.log1p("words"), "english": F.when(F.col("lang") == "en", 1).otherwise(0)}
+    )
+
+
+@query("smooth_logit_curve")
+def smooth_logit_curve(spark, folder):
+    """Smooth logistic model of a label on text length, and the curve over the observed lengths."""
+    data = _toxicity(spark, folder)
+    fit = model.fit_smooth_logit(data, "toxic", ["log_chars", "log_words"], ["english", "quality"])
+    curve = model.effect_curve(fit, data, "log_chars", at={"english": 0})
+    return rounded(curve, 6, "x", "fit", "se", "lcl", "prob", "ucl")
+
+
+@query("smooth_logit_plateau")
+def smooth_logit_plateau(spark, folder):
+    """Where the fitted curve is flat: slope in percentage points per unit of log length."""
+    data = _toxicity(spark, folder)
+    fit = model.fit_smooth_logit(data, "toxic", ["log_chars"], ["english"])
+    curve = model.effect_curve(fit, data, "log_chars", at={"english": 0})
+    return model.plateau(model.curve_slope(curve, "x", "prob", step=0.25), 2.0, 2.0, 10.0)
+
+
+# The curve: mean discounted price share by quantity, a point per distinct quantity.
+CURVE = """c AS (SELECT l_quantity AS x, round(avg(l_extendedprice) / 100000, 6) AS y FROM lineitem GROUP BY 1),
+g AS (SELECT x, y FROM (SELECT x, y, row_number() OVER (PARTITION BY floor(x / 2.5) ORDER BY x) AS n FROM c) WHERE n = 1),
+s AS (SELECT x, 100 * (lead(y) OVER (ORDER BY x) - y) / (lead(x) OVER (ORDER BY x) - x) AS slope FROM g)"""
+
+
+def _curve(spark, folder):
+    lines = load(spark, folder, "lineitem").groupBy(F.col("l_quantity").alias("x"))
+    return rounded(lines.agg((F.avg("l_extendedprice") / 100000).alias("y")), 6, "y")
+
+
+@query("curve_slope", f"WITH {CURVE} SELECT x, round(slope, 6) + 0.0 AS slope FROM s WHERE slope IS NOT NULL")
+def curve_slope(spark, folder):
+    return rounded(model.curve_slope(_curve(spark, folder), "x", "y", step=2.5), 6, "slope")
+
+
+@query(
+    "plateau_range",
+    f"WITH {CURVE} SELECT min(x) AS plateau_low, max(x) AS plateau_high FROM s WHERE abs(slope) < 0.25 AND x > 4 AND x < 45",
+)
+def plateau_range(spark, folder):
+    return model.plateau(model.curve_slope(_curve(spark, folder), "x", "y", step=2.5), 0.25, 4, 45)
+
+
+@query(
+    "logistic_complement",
+    """SELECT doc_id, round(1 / (1 + exp(-(n_chars - 1000) / 500.0)), 6) AS p,
+  round(1 - 1 / (1 + exp(-(n_chars - 1000) / 500.0)), 6) AS q FROM documents""",
+)
+def logistic_complement(spark, folder):
+    p = logistic((F.col("n_chars") - 1000) / 500.0)
+    return load(spark, folder, "documents").select(
+        "doc_id", F.round(p, 6).alias("p"), F.round(complement(p), 6).alias("q")
+    )

@@ -7,14 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.exprs import logistic
 from cohortline.operators.quantiles import exact_quantiles
-from cohortline.session import cut_lineage
 
 MAX_LEVELS = 200
 
@@ -41,39 +38,72 @@ def impute_chained(
     targets: Sequence[str],
     features: Sequence[str],
     rounds: int = 10,
-    ridge: float = 1e-3,
+    ridge: float = 1e-6,
     suffix: str = "_impute",
 ) -> DataFrame:
     """Chained-equation imputation of the targets by linear regression on features and other targets.
 
-    Starts from the column means. Each round refits every target on the rows where it was observed and
-    replaces the missing ones by the prediction. A fit is one pass that adds up second moments; its few
-    coefficients go into the plan as literals, so nothing is cached and a lost executor costs a task.
-    Missing features are filled with their mean. Adds ``<target><suffix>``.
+    Starts from the column means; each round refits every target on the rows where it was observed and
+    replaces the missing ones by the prediction. Missing features count as their mean. Adds
+    ``<target><suffix>``.
+
+    Rows that miss the same targets are all filled by one linear map of their observed columns, so the
+    second moments per missing pattern hold all a round needs: the data is read twice (means, moments)
+    however many rounds are run, and the fill is a plain column expression.
     """
-    means = df.agg(*[F.avg(c).alias(c) for c in [*targets, *features]]).first()
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(means[c] or 0.0))) for c in features}
-    current = {t: F.lit(float(means[t] or 0.0)) for t in targets}
+    if len(targets) > 8:
+        raise ValueError("at most 8 targets: there is one set of moments per missing pattern")
+    cols = [*features, *targets]
+    first = df.agg(
+        *[f(c).alias(f"{c}__{n}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+    ).first()
+    mean = {c: float(first[f"{c}__m"] or 0.0) for c in cols}
+    sd = {c: float(first[f"{c}__s"] or 0.0) or 1.0 for c in cols}
+    scaled = df.select(*[((F.col(c).cast("double") - mean[c]) / sd[c]).alias(f"z{i}") for i, c in enumerate(cols)])
+    n_features, n_targets = len(features), len(targets)
+    width, patterns = 1 + len(cols), 2**n_targets
+
+    def pattern_moments(batch: pd.DataFrame) -> np.ndarray:
+        z = batch.to_numpy(float)
+        code = np.isnan(z[:, n_features:]) @ (2 ** np.arange(n_targets))
+        u = np.hstack([np.ones((len(z), 1)), np.nan_to_num(z)])
+        out = np.zeros((patterns, width, width))
+        for p in np.unique(code):
+            rows = u[code == p]
+            out[int(p)] = rows.T @ rows
+        return out.ravel()
+
+    gram = _sum_over_rows(scaled, pattern_moments, patterns * width * width).reshape(patterns, width, width)
+    # fill[p] maps the observed columns of a row of pattern p to all columns; the mean fill is zero here.
+    fill = np.repeat(np.eye(width)[None], patterns, axis=0)
     for _ in range(rounds):
-        for t in targets:
-            inputs = {**filled, **{o: F.coalesce(F.col(o).cast("double"), current[o]) for o in targets if o != t}}
-            seen = df.filter(F.col(t).isNotNull()).select(
-                F.col(t).cast("double").alias("_y"), *[c.alias(f"_x_{n}") for n, c in inputs.items()]
-            )
-            names = [f"_x_{n}" for n in inputs]
-            fit = LinearRegression(
-                featuresCol="_f", labelCol="_y", regParam=ridge, elasticNetParam=0.0, solver="normal"
-            ).fit(VectorAssembler(inputCols=names, outputCol="_f").transform(seen))
-            predicted = F.lit(float(fit.intercept))
-            for weight, c in zip(fit.coefficients, inputs.values()):
-                predicted = predicted + F.lit(float(weight)) * c
-            current[t] = predicted
-        if len(targets) > 2:
-            # Each prediction names every other target, so the nested expression would grow exponentially.
-            df = cut_lineage(df.drop(*[f"_now_{t}" for t in targets]).withColumns({f"_now_{t}": current[t] for t in targets}))
-            current = {t: F.col(f"_now_{t}") for t in targets}
-    df = df.withColumns({t + suffix: F.coalesce(F.col(t).cast("double"), current[t]) for t in targets})
-    return df.drop(*[f"_now_{t}" for t in targets])
+        for t in range(n_targets):
+            at = 1 + n_features + t
+            others = [i for i in range(width) if i != at]
+            full = sum(fill[p] @ gram[p] @ fill[p].T for p in range(patterns) if not p >> t & 1)
+            system = full[np.ix_(others, others)] + ridge * max(full[0, 0], 1.0) * np.diag([0.0] + [1.0] * (width - 2))
+            weights = np.linalg.lstsq(system, full[others, at], rcond=None)[0]
+            for p in range(patterns):
+                if p >> t & 1:
+                    fill[p][at] = weights @ fill[p][others]
+
+    code = F.lit(0)
+    for t, name in enumerate(targets):
+        code = code + F.when(F.col(name).isNull(), 2**t).otherwise(0)
+    observed = [F.lit(1.0)] + [
+        F.coalesce((F.col(c).cast("double") - mean[c]) / sd[c], F.lit(0.0)) for c in cols
+    ]
+    out = {}
+    for t, name in enumerate(targets):
+        at, value = 1 + n_features + t, F.col(name).cast("double")
+        for p in range(patterns):
+            if p >> t & 1:
+                terms = [F.lit(float(w)) * c for w, c in zip(fill[p][at], observed) if w != 0.0]
+                predicted = mean[name] + sd[name] * sum(terms, F.lit(0.0))
+                value = F.when(F.col("_pattern") == p, predicted).otherwise(value)
+        out[name + suffix] = value
+    return df.withColumn("_pattern", code).withColumns(out).drop("_pattern")
+
 
 # --------------------------------------------------------------------------- smooth logistic model
 

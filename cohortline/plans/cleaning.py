@@ -11,6 +11,7 @@ from cohortline.functions import vocab
 from cohortline.functions.exprs import body_mass_index, categorize, flag, ladder
 from cohortline.operators.model import impute_chained, one_hot
 from cohortline.operators.stats import iqr_fence
+from cohortline.session import cut_lineage
 
 
 def set_where(df: DataFrame, predicate: Column, col: str, value: object) -> DataFrame:
@@ -60,7 +61,9 @@ def clean(
     kept = kept.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()})
     if impute:
         targets, numeric, categorical = impute
-        coded = one_hot(kept.select(key, *targets, *numeric, *categorical), categorical)
+        # The narrow model input is read several times, so it is written once.
+        narrow = cut_lineage(kept.select(key, *targets, *numeric, *categorical))
+        coded = one_hot(narrow, categorical)
         features = [c for c in coded.columns if c not in (key, *targets)]
         filled = impute_chained(coded, targets, features, rounds).select(key, *[f"{t}_impute" for t in targets])
         renamed = filled.withColumnsRenamed({f"{t}_impute": f for t, f in zip(targets, fenced)})

@@ -49,10 +49,15 @@ def infusion_maxima(infusiondrug: DataFrame) -> DataFrame:
     )
     drug, r = F.col("drug"), F.col("rate")
     per_hour, per_kg, per_min = (drug.like(p) for p in ("%(ml/hr)%", "%(mcg/kg/min)%", "%(mcg/min)%"))
-    dopa = F.when(drug.like("%dopamine%"), F.when(per_hour, F.round(r / 3, 3)).when(per_kg, r))
+
+    def per_kg_min(divisor: int) -> Column:
+        # Decimal, so that a rate halfway between two thousandths rounds up as exact arithmetic has it.
+        return F.round(r.cast("decimal(28,8)") / divisor, 3).cast("double")
+
+    dopa = F.when(drug.like("%dopamine%"), F.when(per_hour, per_kg_min(3)).when(per_kg, r))
     norepi = F.when(
         drug.like("%norepinephrine%"),
-        F.when(per_hour, F.round(r / 300, 3)).when(per_min, F.round(r / 80, 3)).when(per_kg, r),
+        F.when(per_hour, per_kg_min(300)).when(per_min, per_kg_min(80)).when(per_kg, r),
     )
     dobu = F.when(drug.like("%dobutamin%") & r.isNotNull() & (F.col("text") != "0"), 1)
     return (
