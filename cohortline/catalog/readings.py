@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from cohortline.catalog.frames import DAY, PRESSURES, READINGS, WEEKS, item, pressures, readings, rounded, with_items
@@ -22,7 +20,7 @@ from cohortline.operators.timeseries import (
 )
 from cohortline.operators.select import reading_span
 from cohortline.plans.exposure import time_in_range
-from cohortline.session import shared_folder
+from cohortline.session import scratch_path
 from cohortline.sources.io import load, materialize, read_csv, register_views, write_csv
 
 BANDS = {"map": ("ibp_mean", 20, 40), "asp": ("ibp_systolic", 30, 60), "adp": ("ibp_diastolic", 10, 30)}
@@ -73,9 +71,7 @@ def complete(spark, folder):
 @query("read_write_roundtrip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def roundtrip(spark, folder):
     """Orders written as parquet, read back, written as indexed CSV, read back by schema."""
-    root = tempfile.mkdtemp(prefix="run-", dir=shared_folder(spark).removeprefix("file:")) if _is_local(
-        spark
-    ) else f"{shared_folder(spark)}/roundtrip-{spark.sparkContext.applicationId}"
+    root = scratch_path(spark)
     orders = load(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     table = materialize(orders, f"{root}/orders")
     register_views({"stored_orders": table}, prefix="cohortline_")
@@ -85,10 +81,6 @@ def roundtrip(spark, folder):
     return read_csv(spark, f"{root}/csv", schema, index=True)
 
 
-def _is_local(spark) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
 def _median_columns(cols, horizons, low: str) -> str:
     return ", ".join(
         f"round(median({c}) FILTER ({low} off < {t}), 4) AS {c}_{n}" for n, t in horizons.items() for c in cols

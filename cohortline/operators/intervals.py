@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortline.operators.skew import HOT_ROWS, attach, split_hot
+from cohortline.operators.skew import attach, split_hot
 
 
 def clamp_starts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -42,7 +42,7 @@ def merge_intervals(
     cold, hot = split_hot(df, keys, hot_rows, _lo=F.min("start"), _hi=F.max("start"))
     merged = _islands(cold, keys, mode)
     if hot is not None:
-        merged = merged.unionByName(_islands_in_tiles(hot, keys, mode, hot_rows or HOT_ROWS))
+        merged = merged.unionByName(_islands_in_tiles(hot, keys, mode))
     return merged
 
 
@@ -73,15 +73,15 @@ def _close(df: DataFrame, by: list[str], mode: str) -> DataFrame:
     )
 
 
-def _islands_in_tiles(hot: DataFrame, keys: list[str], mode: str, hot_rows: int) -> DataFrame:
+def _islands_in_tiles(hot: DataFrame, keys: list[str], mode: str) -> DataFrame:
     """The same for keys too large for one task: a two-level scan over tiles of the time axis.
 
     Intervals with one start act like the longest of them, so they are reduced first. Then each tile
     reports how far it reaches, a scan over the tiles tells every tile what came before it, and the
-    rows of a tile are numbered on their own. Tile frames hold at most ``8 * MAX_HOT`` rows plus one
-    per hot key and are broadcast.
+    rows of a tile are numbered on their own. A hot key has about ``8 * _n / _limit`` tiles, so
+    all tile frames together hold at most ``10 * MAX_HOT`` rows and are broadcast.
     """
-    pieces = F.ceil(F.col("_n") * 8 / F.lit(hot_rows))
+    pieces = F.ceil(F.col("_n") * 8 / F.col("_limit"))
     width = F.greatest((F.col("_hi") - F.col("_lo")) / pieces, F.lit(1e-9))
     tiled = (
         hot.withColumn("_tile", F.least(F.floor((F.col("start") - F.col("_lo")) / width), pieces).cast("long"))

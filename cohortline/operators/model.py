@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.exprs import logistic
 from cohortline.operators.quantiles import exact_quantiles
+from cohortline.session import cut_lineage
 
 MAX_LEVELS = 200
 
@@ -203,7 +204,8 @@ def fit_smooth_logit(
     are chosen at each pass by the un-biased risk criterion of the working linear model.
     """
     cols = [outcome, *smooths, *linear]
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    # Read once per pass, so the narrow numeric frame is written once instead of rebuilt every time.
+    data = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna())
     spread = data.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(outcome).alias("rate"),

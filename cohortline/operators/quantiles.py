@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from cohortline.operators.skew import attach, split_hot
 
+# The built-in percentile keeps the distinct values of a group in memory, one table per measure.
+HELD_VALUES = 1_000_000
+
 # Fence posts around each wanted quantile, as distances in probability.
 _POSTS = (-0.004, -0.002, -0.001, 0.0, 0.001, 0.002, 0.004)
 
@@ -30,7 +33,7 @@ def exact_quantiles(
     grouped = df.select(*[F.col(b) for b in by], *[c.cast("double").alias(m) for m, c in measures.items()])
     if not by:
         grouped, by = grouped.withColumn("_all", F.lit(1)), ["_all"]
-    cold, hot = split_hot(grouped, by, hot_rows)
+    cold, hot = split_hot(grouped, by, hot_rows, default=HELD_VALUES // len(measures))
     ask = F.array(*[F.lit(float(p)) for p in probs])
     out = cold.groupBy(*by).agg(*[F.percentile(m, ask).alias(m) for m in measures])
     if hot is not None:

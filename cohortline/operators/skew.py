@@ -3,8 +3,8 @@
 A window, an exact median or a running maximum sends a whole group to one task. These operators
 treat a group with more than ``hot_rows`` rows in a second way that cuts it into pieces. The list of
 such groups is found with one map-side-combined count and is small by construction: a hot group
-must hold more than ``1 / MAX_HOT`` of all rows, so there are fewer than ``MAX_HOT`` of them and the
-list may be broadcast. When there is none, adaptive execution drops the second branch at run time.
+must also hold more than ``1 / MAX_HOT`` of all rows, so there are fewer than ``MAX_HOT`` of them and
+the list may be broadcast. When there is none, adaptive execution drops the second branch at run time.
 When everything the plan reads is smaller than ``SMALL_BYTES``, no task can be hurt and the count is
 skipped.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
-MAX_HOT = 10_000
+MAX_HOT = 50_000
 SMALL_BYTES = 64 * 1024 * 1024
 
 
@@ -28,35 +28,30 @@ def source_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def may_have_hot_groups(df: DataFrame, hot_rows: int | None) -> bool:
-    """``hot_rows=None`` means the default limit, checked only when the input is not small."""
-    return hot_rows is not None or source_bytes(df) > SMALL_BYTES
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, **stats: Column) -> DataFrame:
-    """Keys of the hot groups with their row count ``_n`` and any further statistics asked for."""
-    limit = HOT_ROWS if hot_rows is None else hot_rows
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, **stats: Column) -> DataFrame:
+    """Hot groups with their row count ``_n``, the limit they exceed ``_limit`` and the statistics asked for."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in stats.items()])
     share = counts.agg((F.sum("_n") / F.lit(MAX_HOT)).alias("s")).scalar()
-    return counts.filter((F.col("_n") > F.lit(limit)) & (F.col("_n") > share))
-
-
-def null_safe(keys: Sequence[str], prefix: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
+    limited = counts.withColumn("_limit", F.greatest(F.lit(float(hot_rows)), share))
+    return limited.filter(F.col("_n") > F.col("_limit"))
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a frame of proven bounded size to ``df`` by broadcast; NULL keys meet."""
     side = small.select(*[F.col(c).alias("_b_" + c) if c in keys else F.col(c) for c in small.columns])
-    return df.join(F.broadcast(side), null_safe(keys, "_b_"), how).drop(*["_b_" + k for k in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("_b_" + k)) for k in keys])
+    return df.join(F.broadcast(side), on, how).drop(*["_b_" + k for k in keys])
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, **stats: Column
+    df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, default: int = HOT_ROWS, **stats: Column
 ) -> tuple[DataFrame, DataFrame | None]:
-    """``(cold, hot)``: rows of ordinary groups, and rows of hot groups with ``_n`` and the statistics."""
-    if not may_have_hot_groups(df, hot_rows):
+    """``(cold, hot)``: rows of ordinary groups, and rows of hot groups with ``_n``, ``_limit`` and the statistics.
+
+    ``hot_rows=None`` means the default limit, looked for only when the input is not small.
+    """
+    if hot_rows is None and source_bytes(df) <= SMALL_BYTES:
         return df, None
-    hot = hot_groups(df, keys, hot_rows, **stats)
+    hot = hot_groups(df, keys, default if hot_rows is None else hot_rows, **stats)
     cold = attach(df, hot.select(*keys), keys, "left_anti")
     return cold, attach(df, hot, keys)

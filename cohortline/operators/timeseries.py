@@ -190,9 +190,9 @@ def trailing_agg(
     out = cold.withColumns(framed)
     if hot is None:
         return out
-    at_time = _trailing_in_tiles(hot.drop("_n"), key, time, value, windows, tiles)
+    at_time = _trailing_in_tiles(hot.drop("_n", "_limit"), key, time, value, windows, tiles)
     back = at_time.withColumnsRenamed({key: "_key", time: "_time"})
-    hot_out = hot.drop("_n").join(back, (F.col(key) == F.col("_key")) & (F.col(time) == F.col("_time")), "left")
+    hot_out = hot.drop("_n", "_limit").join(back, (F.col(key) == F.col("_key")) & (F.col(time) == F.col("_time")), "left")
     return out.unionByName(hot_out.select(*out.columns))
 
 
