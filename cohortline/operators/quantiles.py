@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortline.operators.skew import attach, split_hot
 
-# The built-in percentile keeps the distinct values of a group in memory, one table per measure.
+# The built-in percentile holds the distinct values of a group in memory, one table per measure.
 HELD_VALUES = 1_000_000
 
 # Fence posts around each wanted quantile, as distances in probability.
@@ -25,23 +25,40 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group; each measure is an array with one quantile per probability, NULL if it has no value.
 
-    Ordinary groups use the built-in exact percentile, which keeps the distinct values of a group in
-    memory. Groups with too many rows for that (also the single group of a whole-table quantile) are
-    solved by selection: see ``_by_selection``.
+    Ordinary groups use the built-in exact percentile. Groups with too many rows for it, such as the
+    single group of a whole-table quantile, are solved by selection: see ``_by_selection``.
     """
-    by = list(by)
+    by, names, probs = list(by), list(measures), list(probs)
     grouped = df.select(*[F.col(b) for b in by], *[c.cast("double").alias(m) for m, c in measures.items()])
     if not by:
         grouped, by = grouped.withColumn("_all", F.lit(1)), ["_all"]
-    cold, hot = split_hot(grouped, by, hot_rows, default=HELD_VALUES // len(measures))
+    cold, hot = split_hot(grouped, by, hot_rows, default=HELD_VALUES // len(names))
     ask = F.array(*[F.lit(float(p)) for p in probs])
-    out = cold.groupBy(*by).agg(*[F.percentile(m, ask).alias(m) for m in measures])
+    out = cold.groupBy(*by).agg(*[F.percentile(m, ask).alias(m) for m in names])
     if hot is not None:
-        out = out.unionByName(_by_selection(hot, by, list(measures), list(probs)))
+        out = out.unionByName(_by_selection(hot, by, names, probs))
     return out.drop("_all")
 
 
-def _by_selection(hot: DataFrame, by: list[str], measures: list[str], probs: list[float]) -> DataFrame:
+def _melt(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """One row per present value: group, number of the measure ``_m``, value ``_v``."""
+    cells = F.array(*[F.struct(F.lit(i).alias("m"), F.col(m).alias("v")) for i, m in enumerate(names)])
+    long = df.select(*by, F.explode(cells).alias("_x")).select(*by, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
+    return long.filter(F.col("_v").isNotNull())
+
+
+def _ranks(total: Column, p: float) -> tuple[Column, Column, Column]:
+    """The two neighbouring ranks of a quantile and the weight of the upper one."""
+    at = (total - 1) * F.lit(float(p))
+    return F.floor(at), F.least(F.floor(at) + 1, total - 1), at - F.floor(at)
+
+
+def _assemble(solved: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Rows (group, ``_m``, ``_q`` array) to one row per group."""
+    return solved.groupBy(*by).agg(*[F.max(F.when(F.col("_m") == i, F.col("_q"))).alias(m) for i, m in enumerate(names)])
+
+
+def _by_selection(hot: DataFrame, by: list[str], names: list[str], probs: list[float]) -> DataFrame:
     """Exact order statistics without sorting a whole group anywhere.
 
     Approximate quantiles near each wanted one cut the values of a group into zones. Exact counts per
@@ -50,31 +67,22 @@ def _by_selection(hot: DataFrame, by: list[str], measures: list[str], probs: lis
     zones are, never the result.
     """
     key = [*by, "_m"]
-    long = hot.select(
-        *by,
-        F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in measures])).alias("_x"),
-    ).select(*by, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
-    long = long.filter(F.col("_v").isNotNull())
-
+    long = _melt(hot, by, names)
     posts = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in _POSTS})
     fences = long.groupBy(*key).agg(
         F.percentile_approx("_v", posts, 10000).alias("_fences"), F.count(F.lit(1)).alias("_total")
     )
-    zoned = attach(long, fences.drop("_total"), key).withColumn(
-        "_zone", F.size(F.filter("_fences", lambda f: f < F.col("_v")))
-    )
+    passed = [F.when(F.col("_v") > F.col("_fences")[i], 1).otherwise(0) for i in range(len(posts))]
+    zoned = attach(long, fences.drop("_total"), key).withColumn("_zone", sum(passed, F.lit(0))).drop("_fences")
     counts = zoned.groupBy(*key, "_zone").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*key).orderBy("_zone").rowsBetween(Window.unboundedPreceding, -1)
     zones = counts.withColumn("_skip", F.coalesce(F.sum("_c").over(before), F.lit(0)))
 
     wanted = []
     for i, p in enumerate(probs):
-        at = (F.col("_total") - 1) * F.lit(p)
-        low, share = F.floor(at), at - F.floor(at)
-        wanted += [
-            F.struct(F.lit(i).alias("i"), low.alias("rank"), (1 - share).alias("weight")),
-            F.struct(F.lit(i).alias("i"), F.least(low + 1, F.col("_total") - 1).alias("rank"), share.alias("weight")),
-        ]
+        low, high, share = _ranks(F.col("_total"), p)
+        for rank, weight in ((low, 1 - share), (high, share)):
+            wanted.append(F.struct(F.lit(i).alias("i"), rank.alias("rank"), weight.alias("weight")))
     ranks = fences.select(*key, F.explode(F.array(*wanted)).alias("_r")).select(*key, "_r.i", "_r.rank", "_r.weight")
     targets = attach(zones, ranks, key).filter(
         (F.col("rank") >= F.col("_skip")) & (F.col("rank") < F.col("_skip") + F.col("_c"))
@@ -82,18 +90,12 @@ def _by_selection(hot: DataFrame, by: list[str], measures: list[str], probs: lis
     targets = targets.select(*key, "_zone", "i", "weight", (F.col("rank") - F.col("_skip")).alias("rank"))
 
     place = [*key, "_zone"]
-    values = attach(zoned.drop("_fences"), targets.select(*place).distinct(), place, "left_semi")
+    values = attach(zoned, targets.select(*place).distinct(), place, "left_semi")
     values = values.groupBy(*place, "_v").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = attach(values.withColumn("_upto", F.sum("_c").over(upto)), targets, place).filter(
         (F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_c"))
     )
-    solved = ranked.groupBy(*key, "i").agg(F.sum(F.col("_v") * F.col("weight")).alias("q"))
-    cells = {
-        m: [F.max(F.when((F.col("_m") == m) & (F.col("i") == i), F.col("q"))) for i in range(len(probs))]
-        for m in measures
-    }
-    wide = solved.groupBy(*by).agg(*[F.array(*c).alias(m) for m, c in cells.items()])
-    tidy = [F.when(F.col(m)[0].isNotNull(), F.col(m)).alias(m) for m in measures]
-    groups = hot.select(*by).distinct()
-    return attach(groups, wide.select(*by, *tidy), by, "left")
+    cells = [F.sum(F.when(F.col("i") == i, F.col("_v") * F.col("weight"))) for i in range(len(probs))]
+    solved = ranked.groupBy(*key).agg(F.array(*cells).alias("_q"))
+    return attach(hot.select(*by).distinct(), _assemble(solved, by, names), by, "left")
