@@ -8,6 +8,7 @@ from cohortline.catalog.frames import rounded
 from cohortline.catalog.registry import query
 from cohortline.functions.exprs import complement, logistic
 from cohortline.operators import model
+from cohortline.plans import optimal
 from cohortline.sources.io import load
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -103,3 +104,40 @@ def logistic_complement(spark, folder):
     return load(spark, folder, "documents").select(
         "doc_id", F.round(p, 6).alias("p"), F.round(complement(p), 6).alias("q")
     )
+
+
+def _study(spark, folder):
+    """Customers with an outcome, an exposure and covariates."""
+    orders = load(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.avg("o_totalprice").alias("mean_price"),
+        F.max(F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)).alias("urgent"),
+        F.max(F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 400000), 1).otherwise(0)).alias("died"),
+    )
+    people = load(spark, folder, "customer").join(orders, "c_custkey")
+    return people.withColumns(
+        {
+            "map": F.round(F.col("mean_price") / 3000, 1),
+            "age": F.round(F.col("c_acctbal") / 120, 0),
+            "sex": F.when(F.col("c_nationkey") % 2 == 0, 1).otherwise(0),
+        }
+    )
+
+
+@query("optimal_ranges")
+def optimal_ranges(spark, folder):
+    """Two outcomes on two exposures, adjusted, all fitted together; plateaus on both scales."""
+    return rounded(
+        optimal.optimal_ranges(
+            _study(spark, folder), ["died", "urgent"], {"map": (60, 110), "age": (10, 80)}, [], ["sex"], {"sex": 0}, step=2.0
+        ),
+        4,
+        "plateau_low",
+        "plateau_high",
+    )
+
+
+@query("smooth_curves")
+def smooth_curves(spark, folder):
+    data = _study(spark, folder)
+    fitted = model.fit_smooth_logits(data, optimal.formulas(["died", "urgent"], ["map"], ["age"], ["sex"]))
+    return rounded(optimal.curves(data, fitted, {"sex": 0}), 6, "x", "fit", "se", "lcl", "prob", "ucl")

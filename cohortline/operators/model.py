@@ -144,19 +144,43 @@ class Smooth:
         return second.T @ second
 
 
+@dataclass(frozen=True)
+class Formula:
+    """``outcome ~ smooth terms + linear terms`` by column name."""
+
+    outcome: str
+    smooths: tuple[str, ...]
+    linear: tuple[str, ...] = ()
+
+    @property
+    def columns(self) -> list[str]:
+        return [self.outcome, *self.smooths, *self.linear]
+
+
 @dataclass
 class SmoothLogit:
     outcome: str
     smooths: list[Smooth]
     linear: list[str]
     beta: np.ndarray
-    cov: np.ndarray
     lambdas: list[float]
-    edf: float
-    deviance: float
     n: int
-    passes: int
     medians: dict[str, float] = field(default_factory=dict)
+    cov: np.ndarray | None = None
+    edf: float = float("nan")
+    deviance: float = float("inf")
+    passes: int = 0
+
+    @property
+    def size(self) -> int:
+        return len(self.beta)
+
+    def penalty(self, lambdas: Sequence[float]) -> np.ndarray:
+        s, at = 1e-8 * np.eye(self.size), 1
+        for term, lam in zip(self.smooths, lambdas):
+            s[at : at + term.width, at : at + term.width] += lam * term.penalty()
+            at += term.width
+        return s
 
 
 def _design(frame: pd.DataFrame, smooths: Sequence[Smooth], linear: Sequence[str]) -> np.ndarray:
@@ -188,101 +212,142 @@ def _sum_over_rows(df: DataFrame, statistic, size: int) -> np.ndarray:
     return out
 
 
-def fit_smooth_logit(
+def _working_moments(batch: pd.DataFrame, m: SmoothLogit) -> np.ndarray:
+    """X'WX, X'Wz, z'Wz and the deviance of the rows that are complete for the model."""
+    frame = batch[[m.outcome, *[t.column for t in m.smooths], *m.linear]].dropna()
+    if frame.empty:
+        return np.zeros(m.size * m.size + m.size + 2)
+    x, y = _design(frame, m.smooths, m.linear), frame[m.outcome].to_numpy(float)
+    eta = np.clip(x @ m.beta, -30, 30)
+    mu = 1 / (1 + np.exp(-eta))
+    w = np.maximum(mu * (1 - mu), 1e-9)
+    z = eta + (y - mu) / w
+    dev = -2 * np.sum(y * np.log(np.maximum(mu, 1e-15)) + (1 - y) * np.log(np.maximum(1 - mu, 1e-15)))
+    return np.concatenate([(x.T @ (w[:, None] * x)).ravel(), x.T @ (w * z), [np.sum(w * z * z), dev]])
+
+
+def _moments(data: DataFrame, models: Sequence[SmoothLogit]) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
+    """The working moments of all models in one pass over the data."""
+    sizes = [m.size * m.size + m.size + 2 for m in models]
+    total = _sum_over_rows(data, lambda b: np.concatenate([_working_moments(b, m) for m in models]), sum(sizes))
+    out = []
+    for m, part in zip(models, np.split(total, np.cumsum(sizes)[:-1])):
+        k = m.size
+        out.append((part[: k * k].reshape(k, k), part[k * k : -2], part[-2], part[-1]))
+    return out
+
+
+def _choose_smoothing(m: SmoothLogit, gram: np.ndarray, rhs: np.ndarray, zz: float) -> None:
+    """One sweep per term over a grid, by the un-biased risk criterion of the working linear model."""
+
+    def risk(lambdas: Sequence[float]) -> float:
+        system = gram + m.penalty(lambdas)
+        b = np.linalg.solve(system, rhs)
+        edf = np.trace(np.linalg.solve(system, gram))
+        return (zz - 2 * b @ rhs + b @ gram @ b + 2 * edf) / m.n
+
+    grid = 10.0 ** np.arange(-3, 6)
+    for _ in range(2):
+        for i in range(len(m.lambdas)):
+            tries = [risk([*m.lambdas[:i], lam, *m.lambdas[i + 1 :]]) for lam in grid]
+            m.lambdas[i] = float(grid[int(np.argmin(tries))])
+
+
+def fit_smooth_logits(
     df: DataFrame,
-    outcome: str,
-    smooths: Sequence[str],
-    linear: Sequence[str] = (),
+    formulas: Mapping[str, Formula],
     segments: int = 8,
     max_passes: int = 25,
     tol: float = 1e-6,
-) -> SmoothLogit:
-    """Penalised logistic regression ``outcome ~ sum of smooth terms + linear terms`` on complete rows.
+) -> dict[str, SmoothLogit]:
+    """Penalised logistic regressions with smooth terms, any number of them over the same rows.
 
-    P-splines (Eilers & Marx 1996) fitted by penalised IRLS. Each pass is one distributed sum of the
-    small matrices X'WX and X'Wz; the driver only solves systems of that size. Smoothing parameters
-    are chosen at each pass by the un-biased risk criterion of the working linear model.
+    P-splines (Eilers & Marx 1996) fitted by penalised IRLS. A pass over the data adds up the small
+    matrices X'WX and X'Wz of every model that has not converged yet, so a study of many formulas
+    reads the data as often as its slowest model. The driver only solves systems of that size.
+    Each model uses the rows complete in its own columns.
     """
-    cols = [outcome, *smooths, *linear]
+    columns = list(dict.fromkeys(c for f in formulas.values() for c in f.columns))
     # Read once per pass, so the narrow numeric frame is written once instead of rebuilt every time.
-    data = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna())
+    data = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna("all"))
+
+    def complete(f: Formula, col: str) -> Column:
+        return F.when(F.greatest(*[F.col(c).isNull() for c in f.columns]), None).otherwise(F.col(col))
+
     spread = data.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(outcome).alias("rate"),
-        *[f(c).alias(f"{c}__{n}") for c in smooths for n, f in (("lo", F.min), ("hi", F.max))],
+        *[F.count(complete(f, f.outcome)).alias(f"{n}__n") for n, f in formulas.items()],
+        *[F.avg(complete(f, f.outcome)).alias(f"{n}__rate") for n, f in formulas.items()],
+        *[
+            g(complete(f, c)).alias(f"{n}__{c}__{e}")
+            for n, f in formulas.items()
+            for c in f.smooths
+            for e, g in (("lo", F.min), ("hi", F.max))
+        ],
     ).first()
-    n = spread["n"]
-    terms = [
-        Smooth(c, spread[f"{c}__lo"], max(spread[f"{c}__hi"], spread[f"{c}__lo"] + 1e-9), segments) for c in smooths
-    ]
-    basis_size = segments + 3
-    centres = _sum_over_rows(
-        data,
-        lambda b: np.concatenate([t.raw(b[t.column].to_numpy(float)).sum(axis=0) for t in terms] or [np.zeros(0)]),
-        basis_size * len(terms),
-    ) / max(n, 1)
-    terms = [
-        Smooth(t.column, t.low, t.high, segments, tuple(centres[i * basis_size : (i + 1) * basis_size]))
-        for i, t in enumerate(terms)
-    ]
-    medians = exact_quantiles(data, [], {c: F.col(c) for c in [*smooths, *linear]}, [0.5]).first()
-
-    size = 1 + sum(t.width for t in terms) + len(linear)
-    starts = np.cumsum([1] + [t.width for t in terms])[:-1]
-    rate = min(max(spread["rate"], 1e-6), 1 - 1e-6)
-    beta = np.zeros(size)
-    beta[0] = np.log(rate / (1 - rate))
-    lambdas = [1.0] * len(terms)
-    deviance, passes = np.inf, 0
-
-    def penalty(lams: Sequence[float]) -> np.ndarray:
-        s = np.zeros((size, size))
-        for t, at, lam in zip(terms, starts, lams):
-            s[at : at + t.width, at : at + t.width] = lam * t.penalty()
-        return s + 1e-8 * np.eye(size)
-
-    def moments(at_beta: np.ndarray):
-        def statistic(batch: pd.DataFrame) -> np.ndarray:
-            x = _design(batch, terms, linear)
-            y = batch[outcome].to_numpy(float)
-            eta = np.clip(x @ at_beta, -30, 30)
-            mu = 1 / (1 + np.exp(-eta))
-            w = np.maximum(mu * (1 - mu), 1e-9)
-            z = eta + (y - mu) / w
-            dev = -2 * np.sum(y * np.log(np.maximum(mu, 1e-15)) + (1 - y) * np.log(np.maximum(1 - mu, 1e-15)))
-            return np.concatenate([(x.T @ (w[:, None] * x)).ravel(), x.T @ (w * z), [np.sum(w * z * z), dev]])
-
-        total = _sum_over_rows(data, statistic, size * size + size + 2)
-        gram = total[: size * size].reshape(size, size)
-        return gram, total[size * size : -2], total[-2], total[-1]
-
-    def risk(gram, rhs, zz, lams) -> float:
-        system = gram + penalty(lams)
-        b = np.linalg.solve(system, rhs)
-        edf = np.trace(np.linalg.solve(system, gram))
-        return (zz - 2 * b @ rhs + b @ gram @ b + 2 * edf) / n
-
-    grid = 10.0 ** np.arange(-3, 6)
-    for passes in range(1, max_passes + 1):
-        gram, rhs, zz, dev = moments(beta)
-        # The search settles in the first passes; holding it afterwards lets the coefficients converge.
-        if passes <= 8:
-            for _ in range(2):
-                for i in range(len(terms)):
-                    tries = [risk(gram, rhs, zz, [*lambdas[:i], lam, *lambdas[i + 1 :]]) for lam in grid]
-                    lambdas[i] = float(grid[int(np.argmin(tries))])
-        system = gram + penalty(lambdas)
-        beta = np.linalg.solve(system, rhs)
-        if abs(deviance - dev) < tol * (abs(dev) + 0.1):
-            deviance = dev
+    models: dict[str, SmoothLogit] = {}
+    for n, f in formulas.items():
+        if not spread[f"{n}__n"]:
+            raise ValueError(f"no complete rows for {n}")
+        terms = []
+        for c in f.smooths:
+            low, high = spread[f"{n}__{c}__lo"], spread[f"{n}__{c}__hi"]
+            terms.append(Smooth(c, low, max(high, low + 1e-9), segments))
+        rate = min(max(spread[f"{n}__rate"], 1e-6), 1 - 1e-6)
+        beta = np.zeros(1 + sum(t.width for t in terms) + len(f.linear))
+        beta[0] = np.log(rate / (1 - rate))
+        models[n] = SmoothLogit(f.outcome, terms, list(f.linear), beta, [1.0] * len(terms), int(spread[f"{n}__n"]))
+
+    _centre(data, list(models.values()), segments + 3)
+    measures = {
+        f"{n}__{c}": complete(f, c) for n, f in formulas.items() for c in (*f.smooths, *f.linear)
+    }
+    medians = exact_quantiles(data, [], measures, [0.5]).first()
+    for n, f in formulas.items():
+        models[n].medians = {c: float(medians[f"{n}__{c}"][0]) for c in (*f.smooths, *f.linear)}
+
+    active = list(models.values())
+    for turn in range(1, max_passes + 1):
+        for m, (gram, rhs, zz, dev) in zip(active, _moments(data, active)):
+            # The search settles in the first passes; holding it afterwards lets the coefficients converge.
+            if turn <= 8:
+                _choose_smoothing(m, gram, rhs, zz)
+            system = gram + m.penalty(m.lambdas)
+            m.beta = np.linalg.solve(system, rhs)
+            m.cov = np.linalg.inv(system)
+            m.edf = float(np.trace(m.cov @ gram))
+            m.passes = turn
+            settled, m.deviance = abs(m.deviance - dev) < tol * (abs(dev) + 0.1), float(dev)
+            if settled:
+                active = [other for other in active if other is not m]
+        if not active:
             break
-        deviance = dev
-    gram, _, _, deviance = moments(beta)
-    cov = np.linalg.inv(gram + penalty(lambdas))
-    return SmoothLogit(
-        outcome, list(terms), list(linear), beta, cov, lambdas, float(np.trace(cov @ gram)), float(deviance), int(n),
-        passes, {c: float(medians[c][0]) for c in [*smooths, *linear]},
-    )
+    return models
+
+
+def _centre(data: DataFrame, models: Sequence[SmoothLogit], basis_size: int) -> None:
+    """Mean of every basis column over the rows each model uses, in one pass."""
+
+    def sums(batch: pd.DataFrame) -> np.ndarray:
+        out = []
+        for m in models:
+            frame = batch[[m.outcome, *[t.column for t in m.smooths], *m.linear]].dropna()
+            out += [t.raw(frame[t.column].to_numpy(float)).sum(axis=0) for t in m.smooths]
+        return np.concatenate(out) if out else np.zeros(0)
+
+    total = _sum_over_rows(data, sums, basis_size * sum(len(m.smooths) for m in models))
+    at = 0
+    for m in models:
+        for i, t in enumerate(m.smooths):
+            centre = total[at : at + basis_size] / m.n
+            m.smooths[i] = Smooth(t.column, t.low, t.high, t.segments, tuple(centre))
+            at += basis_size
+
+
+def fit_smooth_logit(
+    df: DataFrame, outcome: str, smooths: Sequence[str], linear: Sequence[str] = (), **options
+) -> SmoothLogit:
+    """One model; see ``fit_smooth_logits``."""
+    return fit_smooth_logits(df, {"m": Formula(outcome, tuple(smooths), tuple(linear))}, **options)["m"]
 
 
 def effect_curve(
@@ -316,27 +381,25 @@ def effect_curve(
     )
 
 
-def curve_slope(curve: DataFrame, x: str, y: str, step: float = 1.0, scale: float = 100.0) -> DataFrame:
-    """Slope between neighbouring steps of a curve: ``x`` is the left end, ``slope`` is per unit of x.
+def curve_slope(
+    curve: DataFrame, x: str, y: str, step: float = 1.0, scale: float = 100.0, by: Sequence[str] = ()
+) -> DataFrame:
+    """Slope between neighbouring steps of each curve: ``x`` is the left end, ``slope`` is per unit of x.
 
-    The first curve point of each ``step``-wide cell stands for the cell, so the curve is reduced to its
-    x range over ``step`` rows before it is ordered, however many points it had.
+    The first curve point of each ``step``-wide cell stands for the cell, so a curve is reduced to its
+    x range over ``step`` rows before it is ordered, however many points it had. ``by`` names the curves.
     """
     cells = (
         curve.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(F.floor(F.col(x) / step).alias("_cell"))
+        .groupBy(*by, F.floor(F.col(x) / step).alias("_cell"))
         .agg(F.min(x).alias("x"), F.min_by(y, x).alias("y"))
     )
-    order = Window.orderBy("x")
-    return (
-        cells.select(
-            "x", (scale * (F.lead("y").over(order) - F.col("y")) / (F.lead("x").over(order) - F.col("x"))).alias("slope")
-        )
-        .filter(F.col("slope").isNotNull())
-    )
+    order = Window.partitionBy(*by).orderBy("x")
+    rise, run = F.lead("y").over(order) - F.col("y"), F.lead("x").over(order) - F.col("x")
+    return cells.select(*by, "x", (scale * rise / run).alias("slope")).filter(F.col("slope").isNotNull())
 
 
-def plateau(slopes: DataFrame, eps: float, low: float, high: float) -> DataFrame:
+def plateau(slopes: DataFrame, eps: float, low: float, high: float, by: Sequence[str] = ()) -> DataFrame:
     """Smallest and largest x strictly inside ``(low, high)`` whose slope is strictly within ``eps`` of zero."""
-    flat = slopes.filter((F.abs("slope") < eps) & (F.col("x") > low) & (F.col("x") < high))
-    return flat.agg(F.min("x").alias("plateau_low"), F.max("x").alias("plateau_high"))
+    flat = F.when((F.abs("slope") < eps) & (F.col("x") > low) & (F.col("x") < high), F.col("x"))
+    return slopes.groupBy(*by).agg(F.min(flat).alias("plateau_low"), F.max(flat).alias("plateau_high"))

@@ -141,3 +141,22 @@ def test_curve_slope_and_plateau_bounds(spark, rows):
     assert [(a, round(b, 9)) for a, b in rows(slopes)] == [(1.0, 10.0), (2.0, 0.0), (4.0, -10.0)]
     assert rows(model.plateau(slopes, 0.1, 1.0, 4.0)) == [(2.0, 2.0)]
     assert rows(model.plateau(slopes, 0.1, 2.0, 4.0)) == [(None, None)]
+
+
+def test_models_fitted_together_equal_models_fitted_alone(spark):
+    rng = np.random.default_rng(9)
+    n = 1500
+    x, z, s = rng.uniform(0, 10, n), rng.normal(0, 1, n), rng.integers(0, 2, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(np.sin(x) + 0.5 * z - 0.5)))).astype(float)
+    w = (rng.random(n) < 0.3).astype(float)
+    data = [tuple(float(v) for v in r) for r in zip(x, z, s, y, w)]
+    data = [(None if i % 17 == 0 else r[0], *r[1:]) for i, r in enumerate(data)]
+    df = spark.createDataFrame(data, "x double, z double, s double, y double, w double")
+    both = model.fit_smooth_logits(
+        df, {"a": model.Formula("y", ("x", "z"), ("s",)), "b": model.Formula("w", ("z",))}
+    )
+    alone = model.fit_smooth_logit(df, "y", ["x", "z"], ["s"])
+    assert both["a"].n == alone.n == n - len(range(0, n, 17)) and both["b"].n == n
+    assert np.allclose(both["a"].beta, alone.beta, atol=1e-6) and both["a"].lambdas == alone.lambdas
+    other = model.fit_smooth_logit(df, "w", ["z"])
+    assert np.allclose(both["b"].beta, other.beta, atol=1e-6)
