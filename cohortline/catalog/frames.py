@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.functions.exprs import epoch_micros, floor_div, mask_range
+from cohortline.operators.joins import lookup_join
 from cohortline.sources.io import load
 
 MINUTE = 60_000_000
@@ -32,7 +33,7 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
     )
     first = events.groupBy("user_id").agg(F.min("t_us").alias("_us0"))
     return (
-        events.join(first, "user_id")
+        lookup_join(events, first, ["user_id"])
         .withColumn("v", mask_range("value", 1, 150))
         .withColumn("off", floor_div(F.col("t_us") - F.col("_us0"), MINUTE) - DAY)
         .drop("_us0")

@@ -114,7 +114,7 @@ def theta_join(spark, folder):
     """An inequality against any stay of a person holds if it holds for the last one, so no pairs are formed."""
     last = load(spark, folder, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.max("o_orderdate").alias("last_in"))
     notes = load(spark, folder, "events").select("user_id", "ts", "value")
-    kept = notes.join(last, "user_id").filter(
+    kept = joins.lookup_join(notes, last, ["user_id"]).filter(
         (F.col("ts") < F.col("last_in") + F.expr("INTERVAL '24' YEAR")) & (F.col("value") * 2.54 > 100)
     )
     out = kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("notes"), (F.avg("value") * 2.54).alias("height"))

@@ -1,8 +1,10 @@
 """Joins by their logical kind.
 
-Equi joins are left to Catalyst: it broadcasts a side it knows to be small and adaptive execution
-splits skewed partitions. Joins with a time condition get a slice of the time axis as a second join
-key, so a key with a long history is spread over many tasks and only neighbours are compared.
+Equi joins are left to Catalyst: it broadcasts a side it knows to be small, and adaptive execution
+splits skewed partitions where both sides come straight from an exchange. It does not where one side
+was aggregated on the join key, the usual case for readings joined to one row per stay, so
+``lookup_join`` salts the hot keys itself. Joins with a time condition get a slice of the time axis as
+a second join key: a key with a long history is spread over many tasks and only neighbours are compared.
 """
 
 from __future__ import annotations
@@ -14,6 +16,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions.exprs import floor_div
+from cohortline.operators.skew import HOT_ROWS, SMALL_BYTES, attach, hot_groups, source_bytes
+
+
+def lookup_join(
+    rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner", hot_rows: int | None = None
+) -> DataFrame:
+    """Join many rows per key to a side with at most one row per key (inner, left, left_semi or left_anti).
+
+    A hot key is cut into as many pieces as it exceeds the limit, by a hash of the row so that a
+    recomputed task cuts the same way; its side row is copied once per piece.
+    """
+    keys = list(keys)
+    if hot_rows is None and source_bytes(rows) <= SMALL_BYTES:
+        return rows.join(side, keys, how)
+    hot = hot_groups(rows, keys, HOT_ROWS if hot_rows is None else hot_rows)
+    hot = hot.select(*keys, F.ceil(F.col("_n") / F.col("_limit")).cast("int").alias("_pieces"))
+    piece = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_pieces")), F.lit(0)).cast("int")
+    cut = attach(rows, hot, keys, "left").withColumn("_piece", piece).drop("_pieces")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))
+    copied = attach(side, hot, keys, "left").withColumn("_piece", copies).drop("_pieces")
+    return cut.join(copied, [*keys, "_piece"], how).drop("_piece")
 
 
 def intersect_keys(frames: Sequence[DataFrame], key: str) -> DataFrame:
@@ -33,13 +56,13 @@ def merge(a: DataFrame, b: DataFrame, key: str | Sequence[str], how: str = "left
     return a.join(b, key, how)
 
 
-def exclude(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def exclude(df: DataFrame, keys: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
     """Rows whose key is not listed; a NULL in the list excludes nothing, a NULL key is kept."""
-    return df.join(keys.select(key).distinct(), key, "left_anti")
+    return lookup_join(df, keys.select(key).distinct(), [key], "left_anti", hot_rows)
 
 
-def restrict(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return df.join(keys.select(key).distinct(), key, "left_semi")
+def restrict(df: DataFrame, keys: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
+    return lookup_join(df, keys.select(key).distinct(), [key], "left_semi", hot_rows)
 
 
 def left_any_match(base: DataFrame, arms: Sequence[tuple[DataFrame, str]], key: str) -> DataFrame:

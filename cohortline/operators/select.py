@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortline.operators.joins import lookup_join
+
 
 def select_as(df: DataFrame, names: Mapping[str, str | Column]) -> DataFrame:
     """Project and rename: ``{new: old column or expression}`` in the given order."""
@@ -128,8 +130,7 @@ def reading_ordinals(df: DataFrame, keys: Sequence[str], time: str, values: Sequ
     """
     ends = reading_span(df, keys, time, values)
     return (
-        df.select(*keys, time)
-        .join(ends, list(keys))
+        lookup_join(df.select(*keys, time), ends, keys)
         .groupBy(*keys)
         .agg(
             F.count(F.when(F.col(time) <= F.col("min_offset"), 1)).alias("min_pos"),

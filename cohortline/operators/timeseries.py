@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.exprs import minutes_between
+from cohortline.operators.joins import lookup_join
 from cohortline.operators.quantiles import exact_quantiles
 from cohortline.operators.skew import split_hot
 
@@ -28,7 +29,7 @@ def with_offset(
 ) -> DataFrame:
     """Minutes from the stay's start. ``stays`` has one row per key."""
     return (
-        readings.join(stays.select(key, F.col(origin).alias("_origin")), key)
+        lookup_join(readings, stays.select(key, F.col(origin).alias("_origin")), [key])
         .withColumn(name, minutes_between("_origin", time))
         .drop("_origin")
     )
@@ -38,7 +39,7 @@ def within_span(readings: DataFrame, spans: DataFrame, key: str, time: str, low:
     """Readings inside their key's own time span (one span per key)."""
     bounds = spans.select(key, F.col(low).alias("_low"), F.col(high).alias("_high"))
     return (
-        readings.join(bounds, key)
+        lookup_join(readings, bounds, [key])
         .filter((F.col(time) >= F.col("_low")) & (F.col(time) <= F.col("_high")))
         .drop("_low", "_high")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions import vocab
 from cohortline.functions.exprs import convert, epoch_micros, in_list, not_error
-from cohortline.operators.joins import band_join, enrich
+from cohortline.operators.joins import band_join, enrich, lookup_join
 from cohortline.operators.select import first_last_min_max, last_by
 from cohortline.operators.timeseries import net_balance
 
@@ -48,11 +48,9 @@ def charted_heights(chartevents: DataFrame, patients: DataFrame) -> DataFrame:
     h = F.col("height")
     grown = F.col("charttime") > F.col("dob") + F.expr("INTERVAL '1' YEAR")
     plausible = F.when(~grown & (h < 80), h).when(grown & (h > 120) & (h < 230), h)
-    return (
-        rows.select("subject_id", "icustay_id", "charttime", cm.alias("height"))
-        .join(patients.select("subject_id", "dob"), "subject_id")
-        .select("icustay_id", "charttime", plausible.alias("height"))
-    )
+    charted = rows.select("subject_id", "icustay_id", "charttime", cm.alias("height"))
+    dated = lookup_join(charted, patients.select("subject_id", "dob"), ["subject_id"])
+    return dated.select("icustay_id", "charttime", plausible.alias("height"))
 
 
 def body_size(
@@ -86,7 +84,7 @@ def admission_height(stays: DataFrame, patients: DataFrame, chartevents: DataFra
     last_admission = admitted.groupBy("subject_id").agg(F.max("in_us").alias("last_us"))
     notes = echo.select("subject_id", epoch_micros("charttime").alias("t_us"), "height")
     noted = (
-        notes.join(last_admission, "subject_id")
+        lookup_join(notes, last_admission, ["subject_id"])
         .filter((F.col("t_us") < F.col("last_us") + DAY_US) & (F.col("height") * INCH > 100))
         .groupBy("subject_id")
         .agg((F.avg("height") * INCH).alias("height_echo"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions import vocab
 from cohortline.functions.exprs import flag, in_list, starts_with_any
+from cohortline.operators.joins import lookup_join
 
 KEY = "patientunitstayid"
 
@@ -42,8 +43,8 @@ def diagnosis_group(
 ) -> DataFrame:
     """Category of an exact diagnosis text from a ``(text, category, priority)`` frame; lowest priority wins.
 
-    The mapping is a vocabulary kept as a table; Catalyst broadcasts it when its size allows.
+    The mapping is a vocabulary kept as a table; Catalyst broadcasts it when its size allows, and a text
+    shared by very many rows is split otherwise.
     """
-    best = mapping.groupBy("text").agg(F.min_by("category", "priority").alias("_category"))
-    joined = df.join(best, df[text] == best["text"], "left").drop(best["text"])
-    return joined.withColumn(name, F.coalesce("_category", F.lit(default))).drop("_category")
+    best = mapping.groupBy(F.col("text").alias(text)).agg(F.min_by("category", "priority").alias("_category"))
+    return lookup_join(df, best, [text], "left").withColumn(name, F.coalesce("_category", F.lit(default))).drop("_category")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions import vocab
 from cohortline.functions.exprs import epoch_micros, flag, ladder
-from cohortline.operators.joins import align_series, asof_interval, band_join, enrich
+from cohortline.operators.joins import align_series, asof_interval, band_join, enrich, lookup_join
 from cohortline.operators.select import worst_by
 from cohortline.operators.timeseries import Trailing, trailing_agg
 
@@ -83,7 +83,7 @@ def urine_stages(rates: DataFrame, stays: DataFrame) -> DataFrame:
         ],
         0,
     )
-    return rates.join(admitted, KEY).withColumn("aki_stage_uo", stage).drop("in_us")
+    return lookup_join(rates, admitted, [KEY]).withColumn("aki_stage_uo", stage).drop("in_us")
 
 
 def combined_stages(creatinine: DataFrame, urine: DataFrame) -> DataFrame:
@@ -100,8 +100,8 @@ def worst_stage(creatinine: DataFrame, urine: DataFrame, stays: DataFrame) -> Da
     """Worst creatinine and urine stage in ``(admission - 6 h, admission + 48 h]`` per stay and the flag."""
     admitted = stays.select(KEY, epoch_micros("intime").alias("in_us"))
     near = (F.col("t_us") > F.col("in_us") - 6 * HOUR) & (F.col("t_us") <= F.col("in_us") + 48 * HOUR)
-    cr = creatinine.filter(F.col("aki_stage_creat").isNotNull()).join(admitted, KEY).filter(near)
-    uo = urine.filter(F.col("aki_stage_uo").isNotNull()).join(admitted, KEY).filter(near)
+    cr = lookup_join(creatinine.filter(F.col("aki_stage_creat").isNotNull()), admitted, [KEY]).filter(near)
+    uo = lookup_join(urine.filter(F.col("aki_stage_uo").isNotNull()), admitted, [KEY]).filter(near)
     rates = ["uo_rt_24hr", "uo_rt_12hr", "uo_rt_6hr"]
     worst_cr = worst_by(cr, [KEY], ["aki_stage_creat", "creat"], ["t_us"]).select(
         KEY, F.col("t_us").alias("t_us_creat"), "creat", "aki_stage_creat"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortline.functions import vocab
 from cohortline.functions.exprs import any_of, categorize, flag, hours_between, in_list, like_any, nullif_zero
 from cohortline.operators.intervals import clean_intervals, clipped_duration, covered_time, merge_intervals
+from cohortline.operators.joins import lookup_join
 
 KEY = "patientunitstayid"
 DAY = 1440
@@ -150,7 +151,7 @@ def vasopressor_hours(
 
 def vasopressor_hours_timed(stays: DataFrame, durations: DataFrame, horizons: Sequence[int] = vocab.HORIZONS_HOURS) -> DataFrame:
     """Hours and number of vasopressor periods in the first hours of a stay (timestamp layout)."""
-    timed = durations.join(stays.select("icustay_id", "intime"), "icustay_id")
+    timed = lookup_join(durations, stays.select("icustay_id", "intime"), ["icustay_id"])
     out = clipped_duration(
         timed,
         ["icustay_id"],

@@ -86,3 +86,23 @@ def test_group_limit_is_planned(spark, n):
     df = spark.range(100).select((F.col("id") % 5).alias("k"), F.col("id").alias("v"))
     plan = select.pick_ranked(df, ["k"], [F.col("v").desc()], n)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("hot_rows", [None, 20, 1])
+def test_lookup_join_equals_plain_join(spark, rows, how, hot_rows):
+    data = spark.range(300).select(
+        F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 7).alias("k"),
+        F.col("id").alias("v"),
+    )
+    side = spark.createDataFrame([(0, "a"), (1, "b"), (2, None), (None, "n"), (99, "z")], "k long, w string")
+    got = joins.lookup_join(data, side, ["k"], how, hot_rows)
+    want = data.join(side, "k", how)
+    assert got.columns == want.columns and rows(got) == rows(want)
+
+
+def test_restrict_and_exclude_split_hot_keys(spark, rows):
+    df = spark.range(200).select(F.when(F.col("id") < 100, 5).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    listed = df.filter(F.col("v") % 2 == 0)
+    assert rows(joins.restrict(df, listed, "k", 10)) == rows(joins.restrict(df, listed, "k"))
+    assert rows(joins.exclude(df, listed, "k", 10)) == rows(joins.exclude(df, listed, "k"))
