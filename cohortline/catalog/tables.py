@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortline.catalog import drugs, kidney
 from cohortline.catalog.drugs import KEY, recode
-from cohortline.catalog.frames import DAY, PRESSURES, READINGS, pressures, readings, rounded, with_items
+from cohortline.catalog.frames import DAY, PRESSURES, READINGS, pressures, rounded, with_items
 from cohortline.catalog.registry import query
 from cohortline.functions import vocab
 from cohortline.operators.select import first_by, select_as

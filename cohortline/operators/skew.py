@@ -24,7 +24,10 @@ SMALL_BYTES = 64 * 1024 * 1024
 
 def source_bytes(df: DataFrame) -> int:
     """Catalyst's size of everything the plan reads: file sizes for scans, a huge default where unknown."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    except AttributeError:  # a remote session does not show its plan
+        return SMALL_BYTES + 1
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions.exprs import flag, to_number
 from cohortline.operators.intervals import sum_duration
-from cohortline.operators.joins import enrich, restrict
+from cohortline.operators.joins import enrich
 from cohortline.operators.select import dedupe, select_as
 from cohortline.plans import fluids, history, meds
 
@@ -47,9 +47,9 @@ def offset_table(
 ) -> DataFrame:
     """Analysis table of the offset layout: demographics, outcomes, fluid, history, sepsis, drugs, AKI.
 
-    A stay may have several result versions; the last one by version is used.
+    A stay may have several result versions; the first one by version is used.
     """
-    outcomes = dedupe(results.withColumn("_v", F.col(result_version)), [KEY], ["_v"]) if result_version in results.columns else results
+    outcomes = dedupe(results, [KEY], [result_version])
     arms = [
         (select_as(outcomes, {KEY: KEY, **OUTCOMES}), KEY),
         (select_as(patient, {KEY: KEY, **DEMOGRAPHICS}), KEY),
@@ -109,7 +109,6 @@ def archive_table(
     cohort: DataFrame,
     arms: Sequence[DataFrame],
     key: str = KEY,
-    ties: Mapping[str, Sequence[str]] | None = None,
     age: str = "age",
     age_range: tuple[int, int] = (17, 89),
     group: str = "apachedxgroup",
@@ -129,7 +128,3 @@ def archive_table(
 def cohort_infusion_hours(infusions: DataFrame, key: str = KEY) -> DataFrame:
     """Whole span of infusion entries per stay in hours."""
     return infusions.groupBy(key).agg(((F.max("infusionoffset") - F.min("infusionoffset")) / 60.0).alias("duration_hour"))
-
-
-def restrict_to_first(df: DataFrame, firsts: DataFrame, key: str = KEY) -> DataFrame:
-    return restrict(df, firsts, key)

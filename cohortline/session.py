@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     # A join followed by a group-by on the same key is split too when one key is hot,
     # at the price of one more exchange on the already reduced rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Joins whose shuffled partitions all turn out to fit a 64 MB hash table skip the sorts.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
 
@@ -43,15 +45,15 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only when running in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder the session names for checkpoints; a temporary one only in local mode without a name."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="cohortline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortline-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession) -> str:

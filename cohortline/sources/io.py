@@ -71,9 +71,13 @@ def register_views(tables: Mapping[str, DataFrame], prefix: str = "") -> None:
         df.createOrReplaceTempView(f"{prefix}{name}")
 
 
-def save_table(df: DataFrame, name: str, buckets: int | None = None, key: str | None = None) -> None:
-    """Replace a catalog table; bucketing by the key lets later joins on it skip the shuffle."""
+def save_table(
+    df: DataFrame, name: str, buckets: int | None = None, key: str | None = None, path: str | None = None
+) -> None:
+    """Replace a catalog table; bucketing by the key lets later joins and groupings on it skip the shuffle."""
     writer = df.write.mode("overwrite").format("parquet")
     if buckets and key:
         writer = writer.bucketBy(buckets, key).sortBy(key)
+    if path:
+        writer = writer.option("path", path)
     writer.saveAsTable(name)
