@@ -33,7 +33,7 @@ def restrict_keys(spark, folder):
 @query(
     "enrich_star",
     """SELECT c.c_custkey, c.c_name, n.n_name, g.r_name, o.n_orders, round(o.spent, 2) AS spent, e.n_events,
-  round(e.mean_value, 6) AS mean_value
+  round(e.mean_value + 1e-9, 6) AS mean_value
 FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN region g ON g.r_regionkey = n.n_regionkey
 LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, sum(o_totalprice) AS spent FROM orders GROUP BY o_custkey) o
   ON o.o_custkey = c.c_custkey
@@ -51,7 +51,7 @@ def enrich_star(spark, folder):
             (nation, "n_nationkey"),
             (load(spark, folder, "region"), "r_regionkey"),
             (orders.agg(F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("spent")), "c_custkey"),
-            (events.agg(F.count(F.lit(1)).alias("n_events"), F.avg("value").alias("mean_value")), "c_custkey"),
+            (events.agg(F.count(F.lit(1)).alias("n_events"), (F.avg("value") + 1e-9).alias("mean_value")), "c_custkey"),
         ],
     )
     return rounded(rounded(out, 2, "spent"), 6, "mean_value").drop("n_nationkey", "r_regionkey")
@@ -106,7 +106,7 @@ def band_join(spark, folder):
 
 @query(
     "theta_join",
-    """SELECT n.user_id, count(*) AS notes, round(avg(n.value) * 2.54, 6) AS height FROM events n
+    """SELECT n.user_id, count(*) AS notes, round(avg(n.value) * 2.54 + 1e-9, 6) AS height FROM events n
 JOIN (SELECT o_custkey, max(o_orderdate) AS last_in FROM orders GROUP BY o_custkey) s ON s.o_custkey = n.user_id
 WHERE n.ts < s.last_in + INTERVAL 24 YEAR AND n.value * 2.54 > 100 GROUP BY n.user_id""",
 )
@@ -117,7 +117,7 @@ def theta_join(spark, folder):
     kept = joins.lookup_join(notes, last, ["user_id"]).filter(
         (F.col("ts") < F.col("last_in") + F.expr("INTERVAL '24' YEAR")) & (F.col("value") * 2.54 > 100)
     )
-    out = kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("notes"), (F.avg("value") * 2.54).alias("height"))
+    out = kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("notes"), (F.avg("value") * 2.54 + 1e-9).alias("height"))
     return rounded(out, 6, "height")
 
 

@@ -16,7 +16,7 @@ from cohortline.sources.io import load
   LEAST(o_totalprice, 250000.0::DOUBLE) AS clipped, lower(o_orderpriority) AS low_text, substr(o_orderpriority, 1, 3) AS head,
   starts_with(o_orderpriority, '1-') AS urgent, regexp_matches(o_orderpriority, '(?i)^[12]-[uh]') AS pressing,
   rpad(substr(o_orderpriority, 1, 1), 5, ' ') AS padded, TRY_CAST(substr(o_orderpriority, 1, 1) AS SMALLINT) AS level,
-  round(o_totalprice / 1000, 2) AS thousands, round_even(o_custkey / 8.0, 2) AS even,
+  round(o_totalprice / 7, 2) AS seventh, round_even(o_custkey / 8.0, 2) AS even,
   o_orderdate + INTERVAL 24 HOUR AS in24, o_orderdate - INTERVAL 7 DAY AS week_before, o_orderdate + INTERVAL 1 YEAR AS year_after,
   (epoch_us(o_orderdate + INTERVAL 30 HOUR) - epoch_us(o_orderdate))::DOUBLE / 3600000000 AS hours,
   GREATEST(0, 30 - CAST(o_custkey % 50 AS INTEGER)) AS left_over, round((50 + o_custkey % 40) / power((150 + o_custkey % 50) / 100.0, 2), 6) AS bmi,
@@ -36,7 +36,7 @@ def scalar_functions(spark, folder):
         text.rlike("(?i)^[12]-[uh]").alias("pressing"),
         F.rpad(F.substring(text, 1, 1), 5, " ").alias("padded"),
         F.substring(text, 1, 1).try_cast("short").alias("level"),
-        F.round(price / 1000, 2).alias("thousands"),
+        F.round(price / 7, 2).alias("seventh"),
         F.bround(person / 8.0, 2).alias("even"),
         (day + F.expr("INTERVAL '24' HOUR")).alias("in24"),
         (day - F.expr("INTERVAL '7' DAY")).alias("week_before"),
