@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,15 +43,19 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
     return configure(spark)
 
 
+# Where a local session without a checkpoint folder keeps written intermediates.
+LOCAL_FOLDER = "/tmp/checkpoints/cohortline"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names for checkpoints; a temporary one only in local mode without a name."""
+    """The folder the session names for checkpoints; one is set only for a local session that names none."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortline-"))
+    context.setCheckpointDir(LOCAL_FOLDER)
     return context.getCheckpointDir()
 
 

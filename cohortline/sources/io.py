@@ -10,16 +10,9 @@ from pyspark.sql import types as T
 from cohortline.session import configure
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table. Its schema is read from the files once and given explicitly from then on."""
-    path = f"{folder.rstrip('/')}/{name}.parquet"
-    reader = configure(spark).read
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = reader.parquet(path).schema
-    return reader.schema(_SCHEMAS[path]).parquet(path)
+    """A parquet table."""
+    return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def read_jdbc(
