@@ -3,20 +3,54 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from cohortline.llm import byte_bpe
+from cohortline.llm import byte_bpe, line_dedup, mixing, near_duplicates, oracles, personal_data
 from cohortline.sources.io import load
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def documents(spark, folder):
+    return load(spark, folder, "documents")
+
+
+def pareto_mix(spark, folder):
+    return mixing.mix(documents(spark, folder), weights=(3, 1, 2), share=1.5, most=2)
+
+
+def line_deletion_join(spark, folder):
+    kept = line_dedup.dedup_lines(documents(spark, folder))
+    return kept.select(
+        "doc_id",
+        F.col("_kept_lines").alias("n_kept"),
+        F.col("_dropped_lines").alias("n_dropped"),
+        F.md5("text").alias("kept_md5"),
+    )
+
+
+def parity_join(spark, folder):
+    return near_duplicates.near_duplicates(documents(spark, folder))
+
+
+def pii_anchors(spark, folder):
+    return personal_data.digest(documents(spark, folder))
+
+
 def rank_queue_bpe(spark, folder):
-    return byte_bpe.digest(load(spark, folder, "documents"), RANKS, PATTERN)
+    return byte_bpe.digest(documents(spark, folder), RANKS, PATTERN)
 
 
 QUERIES = {
+    "op1_pareto_mix": pareto_mix,
+    "op3_line_deletion_join": line_deletion_join,
+    "op4_parity_join": parity_join,
+    "op7_pii_anchors": pii_anchors,
     "op9_rank_queue_bpe": rank_queue_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_pareto_mix": oracles.MIX_SQL,
+    "op3_line_deletion_join": oracles.LINE_SQL,
+}
