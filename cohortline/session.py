@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Joins whose shuffled partitions all turn out to fit a 64 MB hash table skip the sorts.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Shuffle files go when the query that wrote them has ended, not when the driver collects its garbage.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 
