@@ -7,9 +7,10 @@ other characters by code point), so a model has at most 64 ** 4 entries of 12 by
 corpus; that bound is what allows it to be broadcast. Entries are sorted by the hash of their n-gram and found
 by binary search.
 
-A document's score is its mean negative log-probability per character. Every language has its own band:
-the median plus or minus ``WIDTH`` times the spread between the quartiles, from all documents of the language; documents
-outside the band are rejected.
+A document's score is its mean negative log-probability per character, the logarithm of its perplexity. Every language has
+its own band around its median. A mean over n characters strays in proportion to 1 / sqrt(n), so the band is as wide as
+``WIDTH`` times the spread between the quartiles of ``deviation * sqrt(n)``, over sqrt(n): wide for short documents
+and narrow for long ones. Median and quartiles come from all documents of the language that pass the base rules.
 
 Defined results: a null or empty text has no words, fails the base rules and has a null score; a null language
 is a language; repeated rows count as often as they occur; an empty table gives an empty result.
@@ -28,7 +29,7 @@ from cohortline.llm.common import Hasher, record_batch, scratch, text_chunks, wh
 
 MIN_WORDS = 10
 MOST_REPEATED = 20  # percent
-WIDTH = 8.0
+WIDTH = 3.2
 ORDER = 4
 CLASSES = 64
 SYMBOLS = b"#*$%&|<>"
@@ -98,79 +99,93 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """Modified Kneser-Ney estimates from the counts of the longest n-grams, in arrays sorted by n-gram hash."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        levels = [(codes, counts)]
-        for order in range(ORDER - 1, 0, -1):  # shorter n-grams count the different characters before them
-            shorter = levels[-1][0] & ((1 << (6 * order)) - 1)
-            levels.append(_dense(shorter, np.ones(len(shorter))))
-        self.tables = []
-        below: tuple | None = None
-        for order, (codes, counts) in zip(range(1, ORDER + 1), reversed(levels), strict=True):
-            prob, contexts, weight = self._estimate(codes, counts, below)
-            hashes = self.scramble(codes, order)
-            turn = np.argsort(hashes)
-            context_hashes = self.scramble(contexts, order + 10)
-            context_turn = np.argsort(context_hashes)
-            self.tables.append(
-                (hashes[turn], np.log(prob[turn]).astype(np.float32), context_hashes[context_turn], np.log(weight[context_turn]).astype(np.float32))
+def scramble(codes: np.ndarray, order: int) -> np.ndarray:
+    """A hash of an n-gram; it is one to one, as the n-grams are short."""
+    return (codes.astype(_U64) * _U64(0x9E3779B97F4A7C15) + _U64(order)) * _U64(0xD1342543DE82EF95)
+
+
+def _estimate(codes: np.ndarray, counts: np.ndarray, below: tuple | None) -> tuple:
+    """Probability of each n-gram, the contexts, and the weight that each leaves to the shorter n-grams."""
+    n1, n2, n3, n4 = (max(int((counts == k).sum()), 1) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    ideal = ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))
+    discounts = np.array([0.0, *[min(max(d, 0.05), k - 0.05) for k, d in ideal]])
+    taken = discounts[np.minimum(counts, 3)]
+    contexts, inverse = np.unique(codes >> 6, return_inverse=True)
+    totals = np.bincount(inverse, weights=counts)
+    weight = np.bincount(inverse, weights=taken) / totals
+    prob = (counts - taken) / totals[inverse]
+    if below is None:
+        return prob + weight[inverse] / CLASSES, contexts, weight
+    shorter, shorter_prob, order = below
+    at = np.searchsorted(shorter, codes & ((1 << (6 * order)) - 1))
+    return prob + weight[inverse] * shorter_prob[at], contexts, weight
+
+
+def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Modified Kneser-Ney estimates from the counts of the longest n-grams.
+
+    Per order: hashes of the n-grams, sorted, and their log probabilities; hashes of the contexts, sorted, and
+    the logs of their back-off weights.
+    """
+    levels = [(codes, counts)]
+    for order in range(ORDER - 1, 0, -1):  # shorter n-grams count the different characters before them
+        shorter = levels[-1][0] & ((1 << (6 * order)) - 1)
+        levels.append(_dense(shorter, np.ones(len(shorter))))
+    tables, below = [], None
+    for order, (codes, counts) in zip(range(1, ORDER + 1), reversed(levels), strict=True):
+        if len(codes) == 0:
+            none = np.zeros(0, np.float32)
+            tables.append((np.zeros(0, _U64), none, np.zeros(0, _U64), none))
+            continue
+        prob, contexts, weight = _estimate(codes, counts, below)
+        hashes, context_hashes = scramble(codes, order), scramble(contexts, order + 10)
+        turn, context_turn = np.argsort(hashes), np.argsort(context_hashes)
+        tables.append(
+            (
+                hashes[turn],
+                np.log(prob[turn]).astype(np.float32),
+                context_hashes[context_turn],
+                np.log(weight[context_turn]).astype(np.float32),
             )
-            below = (codes, prob, order)
-
-    @staticmethod
-    def scramble(codes: np.ndarray, order: int) -> np.ndarray:
-        """A hash of an n-gram; it is one to one, as the n-grams are short."""
-        return (codes.astype(_U64) * _U64(0x9E3779B97F4A7C15) + _U64(order)) * _U64(0xD1342543DE82EF95)
-
-    def _estimate(self, codes: np.ndarray, counts: np.ndarray, below: tuple | None) -> tuple:
-        """Probability of each n-gram, and for each context the weight left to the shorter ones."""
-        n1, n2, n3, n4 = (max(int((counts == k).sum()), 1) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        discounts = np.array([0.0, *[min(max(d, 0.05), k) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]])
-        taken = discounts[np.minimum(counts, 3)]
-        contexts, inverse = np.unique(codes >> 6, return_inverse=True)
-        totals = np.bincount(inverse, weights=counts)
-        weight = np.bincount(inverse, weights=taken) / totals
-        prob = (counts - taken) / totals[inverse]
-        if below is None:
-            return prob + weight[inverse] / CLASSES, contexts, weight
-        shorter, shorter_prob, order = below
-        at = np.searchsorted(shorter, codes & ((1 << (6 * order)) - 1))
-        return prob + weight[inverse] * shorter_prob[at], contexts, weight
-
-    def log_probability(self, owner: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the probability of each character after the three before it.
-
-        A character whose longest n-gram is unknown backs off; the weights of the known contexts add up.
-        """
-        out = np.zeros(len(classes))
-        left = np.arange(len(classes))
-        codes = grams(owner, classes, ORDER)
-        for order in range(ORDER, 0, -1):
-            hashes, logs, contexts, weights = self.tables[order - 1]
-            code = codes[left] & ((1 << (6 * order)) - 1)
-            at, hit = self._find(hashes, self.scramble(code, order))
-            out[left[hit]] += logs[at[hit]]
-            left, code = left[~hit], code[~hit]
-            if len(left) == 0:
-                return out
-            at, hit = self._find(contexts, self.scramble(code >> 6, order + 10))
-            out[left[hit]] += weights[at[hit]]
-        out[left] -= np.log(CLASSES)
-        return out
-
-    @staticmethod
-    def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(table, wanted), max(len(table) - 1, 0))
-        return at, table[at] == wanted if len(table) else np.zeros(len(wanted), bool)
-
-
-def fit(docs: DataFrame) -> Model:
+        )
+        below = (codes, prob, order)
+    return tables
+
+
+def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if len(table) == 0:
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return at, table[at] == wanted
+
+
+def log_probability(tables: list, owner: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each character after the three before it.
+
+    A character whose longest n-gram is unknown backs off; the weights of the known contexts add up.
+    """
+    out = np.zeros(len(classes))
+    left = np.arange(len(classes))
+    codes = grams(owner, classes, ORDER)
+    for order in range(ORDER, 0, -1):
+        hashes, logs, contexts, weights = tables[order - 1]
+        code = codes[left] & ((1 << (6 * order)) - 1)
+        at, hit = _find(hashes, scramble(code, order))
+        out[left[hit]] += logs[at[hit]]
+        left, code = left[~hit], code[~hit]
+        if len(left) == 0:
+            return out
+        at, hit = _find(contexts, scramble(code >> 6, order + 10))
+        out[left[hit]] += weights[at[hit]]
+    out[left] -= np.log(CLASSES)
+    return out
+
+
+def fit(docs: DataFrame) -> list[tuple]:
     """The model of all texts. Its counts, at most 64 ** 4 numbers, come to the driver as Arrow columns."""
     table = scratch(count_grams(docs)).toArrow().sort_by("gram")
-    return Model(table.column("gram").to_numpy(), table.column("n").to_numpy())
+    return kneser_ney(table.column("gram").to_numpy(), table.column("n").to_numpy())
 
 
 def _repeated_words(hasher: Hasher, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -197,14 +212,14 @@ def _duplicate_lines(text: str) -> int:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(docs: DataFrame, model: Model, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+def measure(docs: DataFrame, tables: list[tuple], id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """The measures of each text and ``cross_entropy``, the mean negative log-probability of its characters."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(tables)
     symbol = np.zeros(256, np.int64)
     symbol[list(SYMBOLS)] = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, model = Hasher(lower=False), sent.value
+        hasher, tables = Hasher(lower=False), sent.value
         for rows, offsets, data in text_chunks(batches, 1 << 21):
             texts = rows.num_rows
             _, _, hashes, first = hasher.words(offsets, data)
@@ -218,39 +233,46 @@ def measure(docs: DataFrame, model: Model, id_col: str = "doc_id", lang_col: str
                 _repeated_words(hasher, hashes, first),
             ]
             char_owner, classes = characters(offsets, data)
-            total = np.bincount(char_owner, weights=model.log_probability(char_owner, classes), minlength=texts)
+            total = np.bincount(char_owner, weights=log_probability(tables, char_owner, classes), minlength=texts)
             length = np.bincount(char_owner, minlength=texts)
             entropy = pa.array(-total / np.maximum(length, 1), pa.float64(), mask=length == 0)
             fields = [(id_col, rows.column(0).type), (lang_col, rows.column(1).type), *[(m, pa.int64()) for m in MEASURES]]
-            yield record_batch(pa.schema([*fields, ("cross_entropy", pa.float64())]), [rows.column(0), rows.column(1), *columns, entropy])
+            schema = pa.schema([*fields, ("n_scored", pa.int64()), ("cross_entropy", pa.float64())])
+            yield record_batch(schema, [rows.column(0), rows.column(1), *columns, length, entropy])
 
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, lang_col)]
     numbers = [f"{m} long" for m in MEASURES]
-    return whole_texts(docs, id_col, lang_col).mapInArrow(run, ", ".join([*kept, *numbers, "cross_entropy double"]))
+    return whole_texts(docs, id_col, lang_col).mapInArrow(run, ", ".join([*kept, *numbers, "n_scored long, cross_entropy double"]))
 
 
-def bands(measured: DataFrame, lang_col: str, width: float) -> DataFrame:
-    """Per language the lowest and highest cross entropy that is kept; base failures do not shape the band."""
-    quartiles = F.percentile_approx("cross_entropy", [0.25, 0.5, 0.75], 10_000)
-    per_lang = measured.filter(~F.col("base_failed")).groupBy(F.col(lang_col).alias("_lang")).agg(quartiles.alias("q"))
-    reach = F.lit(width) * (F.col("q")[2] - F.col("q")[0])
-    return per_lang.select("_lang", (F.col("q")[1] - reach).alias("lowest"), (F.col("q")[1] + reach).alias("highest"))
+def medians(measured: DataFrame, lang_col: str) -> DataFrame:
+    """The median cross entropy of each language; base failures do not count."""
+    middle = F.percentile_approx("cross_entropy", 0.5, 10_000).alias("middle")
+    return measured.filter(~F.col("base_failed")).groupBy(F.col(lang_col).alias("_lang")).agg(middle)
 
 
 def judge(docs: DataFrame, width: float = WIDTH, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """Measures, ``base_failed``, ``perplexity``, the band of the language, and ``kept`` per document."""
+    """Measures, ``base_failed``, ``perplexity``, the band of the language at this length, and ``kept`` per document."""
     measured = scratch(measure(docs, fit(docs), id_col, lang_col)).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     )
-    limits = scratch(bands(measured, lang_col, width))
-    joined = measured.join(limits, measured[lang_col].eqNullSafe(limits["_lang"]), "left")
-    inside = F.col("cross_entropy").between(F.col("lowest"), F.col("highest"))
+    middles = scratch(medians(measured, lang_col))
+    centred = measured.join(middles, measured[lang_col].eqNullSafe(middles["_lang"]), "left").drop("_lang")
+    root = F.sqrt(F.greatest("n_scored", F.lit(1)))
+    strays = (F.col("cross_entropy") - F.col("middle")) * root
+    quartiles = F.percentile_approx(strays, [0.25, 0.75], 10_000)
+    spreads = scratch(
+        centred.filter(~F.col("base_failed")).groupBy(F.col(lang_col).alias("_lang")).agg((quartiles[1] - quartiles[0]).alias("spread"))
+    )
+    joined = centred.join(spreads, centred[lang_col].eqNullSafe(spreads["_lang"]), "left")
+    reach = F.lit(float(width)) * F.col("spread") / root
+    inside = F.col("cross_entropy").between(F.col("middle") - reach, F.col("middle") + reach)
     return joined.select(
         id_col,
         *MEASURES,
         "base_failed",
         (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
         F.exp("cross_entropy").alias("perplexity"),
-        F.exp("lowest").alias("lowest_perplexity"),
-        F.exp("highest").alias("highest_perplexity"),
+        F.exp(F.col("middle") - reach).alias("lowest_perplexity"),
+        F.exp(F.col("middle") + reach).alias("highest_perplexity"),
     )
