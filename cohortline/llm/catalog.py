@@ -5,7 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cohortline.llm import byte_bpe, line_dedup, mixing, near_duplicates, oracles, personal_data
+from cohortline.llm import (
+    byte_bpe,
+    line_dedup,
+    mixing,
+    near_duplicates,
+    oracles,
+    personal_data,
+    quality_rules,
+    resampling,
+    substring_dedup,
+    toxicity,
+    vector_search,
+)
 from cohortline.sources.io import load
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -20,6 +32,10 @@ def pareto_mix(spark, folder):
     return mixing.mix(documents(spark, folder), weights=(3, 1, 2), share=1.5, most=2)
 
 
+def toxicity_grammar(spark, folder):
+    return toxicity.judge(documents(spark, folder), load(spark, folder, "labels"))
+
+
 def line_deletion_join(spark, folder):
     kept = line_dedup.dedup_lines(documents(spark, folder))
     return kept.select(
@@ -34,23 +50,46 @@ def parity_join(spark, folder):
     return near_duplicates.near_duplicates(documents(spark, folder))
 
 
+def importance_resampling(spark, folder):
+    good = load(spark, folder, "labels").filter("quality = 1")
+    return resampling.resample(documents(spark, folder), good, share=0.85)
+
+
+def impact_search(spark, folder):
+    return vector_search.top_k(load(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def pii_anchors(spark, folder):
     return personal_data.digest(documents(spark, folder))
 
 
+def perplexity_rules(spark, folder):
+    return quality_rules.judge(documents(spark, folder))
+
+
 def rank_queue_bpe(spark, folder):
     return byte_bpe.digest(documents(spark, folder), RANKS, PATTERN)
 
 
+def suffix_dedup(spark, folder):
+    return substring_dedup.dedup_substrings(documents(spark, folder), keep_bytes=False)
+
+
 QUERIES = {
     "op1_pareto_mix": pareto_mix,
+    "op2_toxicity_grammar": toxicity_grammar,
     "op3_line_deletion_join": line_deletion_join,
     "op4_parity_join": parity_join,
+    "op5_importance_resampling": importance_resampling,
+    "op6_impact_search": impact_search,
     "op7_pii_anchors": pii_anchors,
+    "op8_perplexity_rules": perplexity_rules,
     "op9_rank_queue_bpe": rank_queue_bpe,
+    "op10_suffix_dedup": suffix_dedup,
 }
 
 ORACLES = {
     "op1_pareto_mix": oracles.MIX_SQL,
     "op3_line_deletion_join": oracles.LINE_SQL,
+    "op6_impact_search": oracles.SEARCH_SQL,
 }

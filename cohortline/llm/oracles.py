@@ -97,3 +97,18 @@ SELECT d.doc_id, coalesce(count(*) FILTER (NOT gone), 0)::BIGINT AS n_kept, coal
        md5(coalesce(string_agg(line, chr(10) ORDER BY at_line) FILTER (NOT gone), '')) AS kept_md5
 FROM j JOIN documents d ON j.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+# Inner products of the integer vectors, in whole tables; the queries are every fiftieth id.
+SEARCH_SQL = r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.vec, c.vec), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""

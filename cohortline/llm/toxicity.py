@@ -249,6 +249,12 @@ def learn(docs: DataFrame, labels: DataFrame, is_train: Column, id_col: str = "d
     return stems, _curve(np.column_stack(columns), toxic, weight).tolist()
 
 
+def probability(lexicon: Lexicon, beta: Sequence[float], text: str) -> float:
+    a, b, c = lexicon.evidence(text)
+    logit = beta[0] + beta[1] * a + beta[2] * b + beta[3] * c
+    return 1 / (1 + float(np.exp(-np.clip(logit, -30, 30))))
+
+
 def score(docs: DataFrame, stems: dict[str, float], beta: Sequence[float], id_col: str = "doc_id") -> DataFrame:
     """``id_col`` and ``score`` per document, from its text alone."""
     kept = docs.schema[id_col].dataType.simpleString()
@@ -256,11 +262,7 @@ def score(docs: DataFrame, stems: dict[str, float], beta: Sequence[float], id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(stems)
         for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                a, b, c = lexicon.evidence(text)
-                logit = beta[0] + beta[1] * a + beta[2] * b + beta[3] * c
-                scores.append(1 / (1 + float(np.exp(-np.clip(logit, -30, 30)))))
+            scores = [probability(lexicon, beta, text) for text in batch.column(1).to_pylist()]
             yield record_batch(pa.schema([(id_col, batch.column(0).type), ("score", pa.float64())]), [batch.column(0), scores])
 
     return whole_texts(docs, id_col).mapInArrow(run, f"`{id_col}` {kept}, score double")
@@ -275,3 +277,17 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFra
     stems, beta = learn(docs, labels, ~is_held_out(id_col), id_col)
     scored = score(docs, stems, beta, id_col)
     return scored.select(id_col, is_held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without those whose score reaches ``limit``; learned like ``judge``, all columns as they are."""
+    stems, beta = learn(docs, labels, ~is_held_out(id_col), id_col)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(stems)
+        for batch in batches:
+            clean = [probability(lexicon, beta, text or "") < limit for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
