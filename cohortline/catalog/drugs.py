@@ -285,6 +285,28 @@ def dx_group(spark, folder):
     return history.diagnosis_group(load(spark, folder, "part").select("p_partkey", "p_name"), "p_name", mapping)
 
 
+_DIAGNOSES = [(t, g) for g, texts in vocab.DIAGNOSIS_GROUPS.items() for t in texts]
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query(
+    "dx_vocabulary",
+    f"""SELECT p_partkey, CASE WHEN p_partkey % {len(_DIAGNOSES) + 3} < {len(_DIAGNOSES)}
+  THEN {_sql_list([t for t, _ in _DIAGNOSES])}[p_partkey % {len(_DIAGNOSES) + 3} + 1] ELSE p_name END AS dx,
+  CASE WHEN p_partkey % {len(_DIAGNOSES) + 3} < {len(_DIAGNOSES)}
+  THEN {_sql_list([g for _, g in _DIAGNOSES])}[p_partkey % {len(_DIAGNOSES) + 3} + 1] ELSE 'Other' END AS apachedxgroup FROM part""",
+)
+def dx_vocabulary(spark, folder):
+    """Every text of the vocabulary in turn, and some that are in no group."""
+    n = len(_DIAGNOSES)
+    at = F.pmod(F.col("p_partkey"), F.lit(n + 3)).cast("int")
+    dx = F.when(at < n, F.array(*[F.lit(t) for t, _ in _DIAGNOSES])[at]).otherwise(F.col("p_name"))
+    return history.diagnosis_group(load(spark, folder, "part").select("p_partkey", dx.alias("dx")), "dx")
+
+
 @query(
     "sepsis_flag",
     """SELECT DISTINCT p_partkey AS patientunitstayid,

@@ -89,9 +89,9 @@ def stays(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# Line items as intervals of whole days per supplier.
+# Line items as intervals of whole days: dense per supplier, with gaps per part.
 SPANS = """spans AS (
-  SELECT l_suppkey, l_orderkey,
+  SELECT l_suppkey, l_partkey, l_orderkey,
          CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS s,
          CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) + CAST(l_quantity AS BIGINT) AS e
   FROM lineitem)"""
@@ -100,7 +100,7 @@ SPANS = """spans AS (
 def spans(spark: SparkSession, folder: str) -> DataFrame:
     start = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
     return load(spark, folder, "lineitem").select(
-        "l_suppkey", "l_orderkey", start.alias("s"), (start + F.col("l_quantity").cast("long")).alias("e")
+        "l_suppkey", "l_partkey", "l_orderkey", start.alias("s"), (start + F.col("l_quantity").cast("long")).alias("e")
     )
 
 

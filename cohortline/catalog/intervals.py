@@ -13,44 +13,35 @@ from cohortline.plans.meds import vasopressor_hours, vasopressor_hours_timed
 from cohortline.sources.io import load
 
 
-def _merged(source: str) -> str:
-    return f"""m AS (SELECT l_suppkey, min(s) AS "start", max(e) AS "end" FROM (
-  SELECT *, sum(opens) OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey ROWS UNBOUNDED PRECEDING) AS island FROM (
-    SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey
+def _merged(source: str, key: str = "l_partkey") -> str:
+    return f"""m AS (SELECT {key}, min(s) AS "start", max(e) AS "end" FROM (
+  SELECT *, sum(opens) OVER (PARTITION BY {key} ORDER BY s, e, l_orderkey ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY {key} ORDER BY s, e, l_orderkey
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM {source}))
-  GROUP BY l_suppkey, island)"""
+  GROUP BY {key}, island)"""
 
 
-# Few suppliers share many intervals, so gaps are made by keeping one returned line status only.
-SPARSE = "sparse AS (SELECT * FROM spans WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice < 15000))"
-
-
-def _sparse(spark, folder):
-    cheap = load(spark, folder, "orders").filter(F.col("o_totalprice") < 15000)
-    return spans(spark, folder).join(cheap.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-
-
-@query("merge_intervals", with_items(SPANS, SPARSE, _merged("sparse")) + "SELECT * FROM m")
+@query("merge_intervals", with_items(SPANS, _merged("spans")) + "SELECT * FROM m")
 def merged(spark, folder):
-    return merge_intervals(_sparse(spark, folder), ["l_suppkey"], "s", "e")
+    return merge_intervals(spans(spark, folder), ["l_partkey"], "s", "e")
 
 
-@query("merge_intervals_dense", with_items(SPANS, _merged("spans")) + "SELECT * FROM m")
+@query("merge_intervals_dense", with_items(SPANS, _merged("spans", "l_suppkey")) + "SELECT * FROM m")
 def merged_dense(spark, folder):
     return merge_intervals(spans(spark, folder), ["l_suppkey"], "s", "e")
 
 
 @query(
     "merge_intervals_last_end",
-    with_items(SPANS, SPARSE)
-    + """SELECT l_suppkey, min(s) AS "start", arg_max(e, n) AS "end" FROM (
-  SELECT *, sum(opens) OVER (PARTITION BY l_suppkey ORDER BY n) AS island FROM (
-    SELECT *, CASE WHEN s > lag(e) OVER (PARTITION BY l_suppkey ORDER BY n) THEN 1 ELSE 0 END AS opens FROM (
-      SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey) AS n FROM sparse)))
-GROUP BY l_suppkey, island""",
+    with_items(SPANS)
+    + """SELECT l_partkey, min(s) AS "start", arg_max(e, n) AS "end" FROM (
+  SELECT *, sum(opens) OVER (PARTITION BY l_partkey ORDER BY n) AS island FROM (
+    SELECT *, CASE WHEN s > lag(e) OVER (PARTITION BY l_partkey ORDER BY n) THEN 1 ELSE 0 END AS opens FROM (
+      SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY s, e, l_orderkey) AS n FROM spans)))
+GROUP BY l_partkey, island""",
 )
 def merged_last_end(spark, folder):
-    return merge_intervals(_sparse(spark, folder), ["l_suppkey"], "s", "e", mode="last_end")
+    return merge_intervals(spans(spark, folder), ["l_partkey"], "s", "e", mode="last_end")
 
 
 HORIZONS = (200, 1200, 2500)
@@ -58,33 +49,33 @@ HORIZONS = (200, 1200, 2500)
 
 @query(
     "covered_time",
-    with_items(SPANS, SPARSE, _merged("(SELECT l_suppkey, l_orderkey, greatest(s, 0) AS s, greatest(e, 0) AS e FROM sparse)"))
-    + "SELECT l_suppkey, "
+    with_items(SPANS, _merged("(SELECT l_partkey, l_orderkey, greatest(s, 0) AS s, greatest(e, 0) AS e FROM spans)"))
+    + "SELECT l_partkey, "
     + ", ".join(
         f'CAST(COALESCE(sum(CASE WHEN "start" <= {t} THEN least("end", {t}) - "start" END), 0) AS BIGINT) AS day_{t}'
         for t in HORIZONS
     )
-    + " FROM m GROUP BY l_suppkey",
+    + " FROM m GROUP BY l_partkey",
 )
 def covered(spark, folder):
-    cleaned = intervals.clean_intervals(_sparse(spark, folder), "s", "e")
-    merged = merge_intervals(cleaned, ["l_suppkey"], "s", "e")
-    return intervals.covered_time(merged, ["l_suppkey"], {f"day_{t}": t for t in HORIZONS})
+    cleaned = intervals.clean_intervals(spans(spark, folder), "s", "e")
+    merged = merge_intervals(cleaned, ["l_partkey"], "s", "e")
+    return intervals.covered_time(merged, ["l_partkey"], {f"day_{t}": t for t in HORIZONS})
 
 
 @query(
     "vasopressor_hours",
-    with_items(SPANS, SPARSE, _merged("(SELECT l_suppkey, l_orderkey, greatest(s, 0) AS s, greatest(e, 0) AS e FROM sparse)"))
-    + "SELECT l_suppkey AS patientunitstayid, "
+    with_items(SPANS, _merged("(SELECT l_partkey, l_orderkey, greatest(s, 0) AS s, greatest(e, 0) AS e FROM spans)"))
+    + "SELECT l_partkey AS patientunitstayid, "
     + ", ".join(
         f'round_even(COALESCE(sum(CASE WHEN "start" <= {t} THEN least("end", {t}) - "start" END), 0) / 60.0, 2) AS "{n}_hr"'
         for n, t in (("24hrs", 1440), ("48hrs", 2880), ("72hrs", 4320))
-    ).replace("round_even(COALESCE", "round_even(COALESCE")
-    + " FROM m GROUP BY l_suppkey",
+    )
+    + " FROM m GROUP BY l_partkey",
 )
 def pressor_hours(spark, folder):
-    orders = _sparse(spark, folder).select(
-        F.col("l_suppkey").alias("patientunitstayid"), F.col("s").alias("chartoffset"), F.col("e").alias("drugstopoffset")
+    orders = spans(spark, folder).select(
+        F.col("l_partkey").alias("patientunitstayid"), F.col("s").alias("chartoffset"), F.col("e").alias("drugstopoffset")
     )
     return vasopressor_hours(orders)
 

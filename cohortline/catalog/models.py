@@ -72,8 +72,10 @@ def smooth_logit_plateau(spark, folder):
 
 # The curve: mean discounted price share by quantity, a point per distinct quantity.
 CURVE = """c AS (SELECT l_quantity AS x, round(avg(l_extendedprice) / 100000, 6) AS y FROM lineitem GROUP BY 1),
-g AS (SELECT x, y FROM (SELECT x, y, row_number() OVER (PARTITION BY floor(x / 2.5) ORDER BY x) AS n FROM c) WHERE n = 1),
-s AS (SELECT x, 100 * (lead(y) OVER (ORDER BY x) - y) / (lead(x) OVER (ORDER BY x) - x) AS slope FROM g)"""
+g AS (SELECT min(x) AS x, arg_min(y, x) AS y FROM c
+  UNION ALL
+  SELECT n.x, n.y FROM (SELECT g.x AS a, min(c.x) AS x, arg_min(c.y, c.x) AS y FROM g JOIN c ON c.x >= g.x + 2.5 GROUP BY g.x) n),
+s AS (SELECT x, lead(x) OVER (ORDER BY x) AS "right", 100 * (lead(y) OVER (ORDER BY x) - y) / (lead(x) OVER (ORDER BY x) - x) AS slope FROM g)"""
 
 
 def _curve(spark, folder):
@@ -81,14 +83,14 @@ def _curve(spark, folder):
     return rounded(lines.agg((F.avg("l_extendedprice") / 100000).alias("y")), 6, "y")
 
 
-@query("curve_slope", f"WITH {CURVE} SELECT x, round(slope, 6) + 0.0 AS slope FROM s WHERE slope IS NOT NULL")
+@query("curve_slope", f"WITH RECURSIVE {CURVE} SELECT x, \"right\", round(slope, 6) + 0.0 AS slope FROM s WHERE slope IS NOT NULL")
 def curve_slope(spark, folder):
     return rounded(model.curve_slope(_curve(spark, folder), "x", "y", step=2.5), 6, "slope")
 
 
 @query(
     "plateau_range",
-    f"WITH {CURVE} SELECT min(x) AS plateau_low, max(x) AS plateau_high FROM s WHERE abs(slope) < 0.25 AND x > 4 AND x < 45",
+    f"WITH RECURSIVE {CURVE} SELECT min(x) AS plateau_low, max(x) AS plateau_high FROM s WHERE abs(slope) < 0.25 AND x > 4 AND x < 45",
 )
 def plateau_range(spark, folder):
     return model.plateau(model.curve_slope(_curve(spark, folder), "x", "y", step=2.5), 0.25, 4, 45)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.operators.skew import attach, split_hot
+from cohortline.session import cut_lineage
 
 
 def clamp_starts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -78,8 +79,8 @@ def _islands_in_tiles(hot: DataFrame, keys: list[str], mode: str) -> DataFrame:
 
     Intervals with one start act like the longest of them, so they are reduced first. Then each tile
     reports how far it reaches, a scan over the tiles tells every tile what came before it, and the
-    rows of a tile are numbered on their own. A hot key has about ``8 * _n / _limit`` tiles, so
-    all tile frames together hold at most ``10 * MAX_HOT`` rows and are broadcast.
+    rows of a tile are numbered on their own. A hot key has about ``8 * _n / _limit`` tiles; the frames with
+    one row per tile are written, so their size decides how they are joined.
     """
     pieces = F.ceil(F.col("_n") * 8 / F.col("_limit"))
     width = F.greatest((F.col("_hi") - F.col("_lo")) / pieces, F.lit(1e-9))
@@ -91,7 +92,8 @@ def _islands_in_tiles(hot: DataFrame, keys: list[str], mode: str) -> DataFrame:
     by = [*keys, "_tile"]
     earlier = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     carry = F.max("_r") if mode == "union" else F.last("_r")
-    reach = tiled.groupBy(*by).agg(_reach(mode).alias("_r")).select(*by, carry.over(earlier).alias("_carry"))
+    tiled = cut_lineage(tiled)
+    reach = cut_lineage(tiled.groupBy(*by).agg(_reach(mode).alias("_r")).select(*by, carry.over(earlier).alias("_carry")))
 
     in_tile = Window.partitionBy(*by).orderBy("start", "end")
     here = _reach_before(mode, in_tile)
@@ -99,7 +101,7 @@ def _islands_in_tiles(hot: DataFrame, keys: list[str], mode: str) -> DataFrame:
     opened = attach(tiled, reach, by).withColumn("_before", before).withColumn(
         "_opens", F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before")), 1).otherwise(0)
     )
-    offsets = (
+    offsets = cut_lineage(
         opened.groupBy(*by)
         .agg(F.sum("_opens").alias("_o"))
         .select(*by, F.coalesce(F.sum("_o").over(earlier), F.lit(0)).alias("_offset"))

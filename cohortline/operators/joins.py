@@ -1,10 +1,10 @@
 """Joins by their logical kind.
 
-Equi joins are left to Catalyst: it broadcasts a side it knows to be small, and adaptive execution
-splits skewed partitions where both sides come straight from an exchange. It does not where one side
-was aggregated on the join key, the usual case for readings joined to one row per stay, so
-``lookup_join`` salts the hot keys itself. Joins with a time condition get a slice of the time axis as
-a second join key: a key with a long history is spread over many tasks and only neighbours are compared.
+Equi joins are left to Catalyst: it broadcasts a side it knows to be small, and adaptive execution splits skewed
+partitions where both sides come straight from an exchange. It does not where one side was aggregated on the
+join key, the usual case for readings joined to one row per stay, so ``lookup_join`` writes that side first. Joins with
+a time condition get a slice of the time axis as a second join key: a key with a long history is spread over many
+tasks and only neighbours are compared.
 """
 
 from __future__ import annotations
@@ -16,27 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions.exprs import floor_div
-from cohortline.operators.skew import HOT_ROWS, SMALL_BYTES, attach, hot_groups, source_bytes
+from cohortline.session import cut_lineage
 
+# An interval is listed under slices no narrower than its length, in steps of this factor.
+SLICE_FACTOR = 4
 
-def lookup_join(
-    rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner", hot_rows: int | None = None
-) -> DataFrame:
+
+def lookup_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join many rows per key to a side with at most one row per key (inner, left, left_semi or left_anti).
 
-    A hot key is cut into as many pieces as it exceeds the limit, by a hash of the row so that a
-    recomputed task cuts the same way; its side row is copied once per piece.
+    The side is written first. Its true size then decides about a broadcast, and where it is too large for one, both
+    sides are plain exchanges whose hot keys adaptive execution splits. The rows are read once.
     """
-    keys = list(keys)
-    if hot_rows is None and source_bytes(rows) <= SMALL_BYTES:
-        return rows.join(side, keys, how)
-    hot = hot_groups(rows, keys, HOT_ROWS if hot_rows is None else hot_rows)
-    hot = hot.select(*keys, F.ceil(F.col("_n") / F.col("_limit")).cast("int").alias("_pieces"))
-    piece = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_pieces")), F.lit(0)).cast("int")
-    cut = attach(rows, hot, keys, "left").withColumn("_piece", piece).drop("_pieces")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))
-    copied = attach(side, hot, keys, "left").withColumn("_piece", copies).drop("_pieces")
-    return cut.join(copied, [*keys, "_piece"], how).drop("_piece")
+    return rows.join(cut_lineage(side), list(keys), how)
 
 
 def intersect_keys(frames: Sequence[DataFrame], key: str) -> DataFrame:
@@ -56,13 +48,13 @@ def merge(a: DataFrame, b: DataFrame, key: str | Sequence[str], how: str = "left
     return a.join(b, key, how)
 
 
-def exclude(df: DataFrame, keys: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
+def exclude(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not listed; a NULL in the list excludes nothing, a NULL key is kept."""
-    return lookup_join(df, keys.select(key).distinct(), [key], "left_anti", hot_rows)
+    return lookup_join(df, keys.select(key).distinct(), [key], "left_anti")
 
 
-def restrict(df: DataFrame, keys: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
-    return lookup_join(df, keys.select(key).distinct(), [key], "left_semi", hot_rows)
+def restrict(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return lookup_join(df, keys.select(key).distinct(), [key], "left_semi")
 
 
 def left_any_match(base: DataFrame, arms: Sequence[tuple[DataFrame, str]], key: str) -> DataFrame:
@@ -117,22 +109,37 @@ def asof_interval(
 ) -> DataFrame:
     """Left join of points to the half-open intervals ``[start, end)`` that contain them.
 
-    Times are integers; ``width`` should be near the usual interval length. An interval is listed
-    under every slice it covers, a point under one, so every pair is formed once and a point with no
-    interval stays with NULLs.
+    Times are integers; ``width`` should be near the usual interval length. Slices come in levels, each
+    ``SLICE_FACTOR`` times as wide as the one before. An interval is listed on the first level whose slices are
+    as long as itself, so under two slices at most however long it is; a point looks on every level that has an interval.
+    A point with no interval stays with NULLs.
     """
-    listed = intervals.filter(F.col(start) < F.col(end)).withColumn(
-        "_slice", F.explode(_covered_slices(F.col(start).cast("long"), F.col(end).cast("long") - 1, width))
-    )
-    p = points.withColumn("_slice", floor_div(F.col(time).cast("long"), width)).alias("p")
+    length = F.greatest(F.col(end).cast("long") - F.col(start).cast("long"), F.lit(1))
+    level = F.greatest(F.lit(0), F.ceil(F.log(length / F.lit(width)) / F.log(F.lit(float(SLICE_FACTOR))) - 1e-9)).cast("int")
+    listed = intervals.filter(F.col(start) < F.col(end)).withColumn("_level", level)
+    # At most a few dozen levels fit between a slice and the longest possible interval.
+    found = sorted(r[0] for r in listed.select("_level").distinct().collect()) or [0]
+    wide = F.lit(width).cast("long") * F.pow(F.lit(SLICE_FACTOR), F.col("_level")).cast("long")
+    first, last = floor_div(F.col(start).cast("long"), wide), floor_div(F.col(end).cast("long") - 1, wide)
+    listed = listed.withColumn("_slice", F.explode(F.sequence(first, last)))
+    spots = [
+        F.struct(F.lit(n).alias("_level"), floor_div(F.col(time).cast("long"), width * SLICE_FACTOR**n).alias("_slice")) for n in found
+    ]
     i = listed.withColumnRenamed(key, "_key").alias("i")
     on = (
         (F.col(f"p.{key}") == F.col("i._key"))
-        & (F.col("p._slice") == F.col("i._slice"))
+        & (F.col("p._spot._level") == F.col("i._level"))
+        & (F.col("p._spot._slice") == F.col("i._slice"))
         & (F.col(f"p.{time}") >= F.col(f"i.{start}"))
         & (F.col(f"p.{time}") < F.col(f"i.{end}"))
     )
-    return p.join(i, on, "left").drop("_key", "_slice")
+    if len(found) == 1:
+        return points.withColumn("_spot", spots[0]).alias("p").join(i, on, "left").drop("_key", "_slice", "_level", "_spot")
+    p = points.withColumn("_spot", F.explode(F.array(*spots)))
+    pairs = p.alias("p").join(i, on).drop("_key", "_slice", "_level", "_spot")
+    met = pairs.select(*[F.col(c).alias("_m_" + c) for c in points.columns]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("_m_" + c)) for c in points.columns])
+    return pairs.unionByName(points.join(met, same, "left_anti"), allowMissingColumns=True)
 
 
 def union_keys(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:

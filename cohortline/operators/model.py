@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.exprs import logistic
 from cohortline.operators.quantiles import exact_quantiles
-from cohortline.session import cut_lineage
+from cohortline.session import remove_scratch, write_scratch
 
 MAX_LEVELS = 200
 
@@ -190,25 +190,32 @@ def _design(frame: pd.DataFrame, smooths: Sequence[Smooth], linear: Sequence[str
     return np.hstack(parts)
 
 
+# Partial vectors meet in so many tasks before the driver adds up one vector from each.
+TREE_WIDTH = 32
+
+
 def _sum_over_rows(df: DataFrame, statistic, size: int) -> np.ndarray:
-    """Add up a fixed-length vector computed per Arrow batch: one partial vector per task, summed by position."""
+    """Add up a fixed-length vector computed per Arrow batch: per task, then per group of tasks, then on the driver."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size)
         for batch in batches:
             if len(batch):
                 total += statistic(batch)
-        yield pd.DataFrame({"v": [total.tolist()]})
+        yield pd.DataFrame({"v": [total.tobytes()]})
 
-    sums = (
-        df.mapInPandas(partial, "v array<double>")
-        .select(F.posexplode("v").alias("i", "v"))
-        .groupBy("i")
-        .agg(F.sum("v").alias("v"))
-    )
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for batch in batches:
+            for v in batch["v"]:
+                total += np.frombuffer(v)
+        yield pd.DataFrame({"v": [total.tobytes()]})
+
+    tasks = df.mapInPandas(partial, "v binary")
+    sums = tasks.repartition(TREE_WIDTH).mapInPandas(add, "v binary")
     out = np.zeros(size)
-    for row in sums.collect():  # one row per vector position, whatever the data size
-        out[row["i"]] = row["v"]
+    for row in sums.collect():  # at most TREE_WIDTH rows
+        out += np.frombuffer(row["v"])
     return out
 
 
@@ -265,11 +272,14 @@ def fit_smooth_logits(
     P-splines (Eilers & Marx 1996) fitted by penalised IRLS. A pass over the data adds up the small
     matrices X'WX and X'Wz of every model that has not converged yet, so a study of many formulas
     reads the data as often as its slowest model. The driver only solves systems of that size.
-    Each model uses the rows complete in its own columns.
+    Each model uses the rows complete in its own columns. A model that has not settled within
+    ``max_passes`` is an error.
     """
     columns = list(dict.fromkeys(c for f in formulas.values() for c in f.columns))
     # Read once per pass, so the narrow numeric frame is written once instead of rebuilt every time.
-    data = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna("all"))
+    spark = df.sparkSession
+    path = write_scratch(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna("all"))
+    data = spark.read.parquet(path)
 
     def complete(f: Formula, col: str) -> Column:
         return F.when(F.greatest(*[F.col(c).isNull() for c in f.columns]), None).otherwise(F.col(col))
@@ -321,6 +331,10 @@ def fit_smooth_logits(
                 active = [other for other in active if other is not m]
         if not active:
             break
+    remove_scratch(spark, path)
+    if active:
+        names = [n for n, m in models.items() if any(m is other for other in active)]
+        raise ArithmeticError(f"not converged after {max_passes} passes: {', '.join(names)}")
     return models
 
 
@@ -350,28 +364,37 @@ def fit_smooth_logit(
     return fit_smooth_logits(df, {"m": Formula(outcome, tuple(smooths), tuple(linear))}, **options)["m"]
 
 
-def effect_curve(
-    model: SmoothLogit, df: DataFrame, column: str, at: Mapping[str, float] | None = None, grid: Column | None = None
+def effect_curves(
+    models: Mapping[str, SmoothLogit],
+    df: DataFrame,
+    columns: Mapping[str, str],
+    at: Mapping[str, float] | None = None,
+    grid: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Predicted curve over the distinct observed values of one column, the others held at their median.
+    """Predicted curve of every model over the distinct observed values of its column, the others held at their median.
 
-    ``at`` overrides the held values (the reference level of a 0/1 column is 0). ``grid`` replaces the
-    values of ``df[column]`` by an expression, such as a rounded value. Gives ``x, fit, se, lcl, prob, ucl``.
+    ``columns`` names the column of each model. ``at`` overrides held values (the reference level of a 0/1 column is
+    0). ``grid`` replaces the values of a column by an expression, such as a rounded value. The data is read once for all
+    models. Gives ``model, x, fit, se, lcl, prob, ucl``.
     """
-    held = {**model.medians, **(at or {})}
-    smooths, linear, beta, cov = model.smooths, model.linear, model.beta, model.cov
+    held = {n: {**m.medians, **(at or {})} for n, m in models.items()}
+    parts = {n: (m.smooths, m.linear, m.beta, m.cov) for n, m in models.items()}
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            frame = pd.DataFrame({c: np.full(len(batch), v) for c, v in held.items()})
-            frame[column] = batch["x"].to_numpy(float)
-            x = _design(frame, smooths, linear)
-            se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, cov, x), 0))
-            yield pd.DataFrame({"x": batch["x"], "fit": x @ beta, "se": se})
-
-    value = (F.col(column) if grid is None else grid).cast("double")
-    xs = df.select(value.alias("x")).dropna().distinct()
-    return xs.mapInPandas(score, "x double, fit double, se double").select(
+            for name, own in batch.groupby("model"):
+                smooths, linear, beta, cov = parts[name]
+                frame = pd.DataFrame({c: np.full(len(own), v) for c, v in held[name].items()})
+                frame[columns[name]] = own["x"].to_numpy(float)
+                x = _design(frame, smooths, linear)
+                se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, cov, x), 0))
+                yield pd.DataFrame({"model": name, "x": own["x"].to_numpy(float), "fit": x @ beta, "se": se})
+
+    values = {c: F.col(c) if grid is None or c not in grid else grid[c] for c in columns.values()}
+    points = [F.struct(F.lit(n).alias("model"), values[c].cast("double").alias("x")) for n, c in columns.items()]
+    xs = df.select(F.explode(F.array(*points)).alias("p")).select("p.model", "p.x").dropna().distinct()
+    return xs.mapInPandas(score, "model string, x double, fit double, se double").select(
+        "model",
         "x",
         "fit",
         "se",
@@ -381,25 +404,52 @@ def effect_curve(
     )
 
 
+def effect_curve(
+    model: SmoothLogit, df: DataFrame, column: str, at: Mapping[str, float] | None = None, grid: Column | None = None
+) -> DataFrame:
+    """The curve of one model; see ``effect_curves``. Gives ``x, fit, se, lcl, prob, ucl``."""
+    return effect_curves({"m": model}, df, {"m": column}, at, None if grid is None else {column: grid}).drop("model")
+
+
+# A curve is thinned to this many points per step before the walk along it.
+POINTS_PER_STEP = 64
+
+
 def curve_slope(
     curve: DataFrame, x: str, y: str, step: float = 1.0, scale: float = 100.0, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Slope between neighbouring steps of each curve: ``x`` is the left end, ``slope`` is per unit of x.
+    """Slopes between anchors along each curve: ``x`` is the left anchor, ``right`` the next, ``slope`` per unit of x.
 
-    The first curve point of each ``step``-wide cell stands for the cell, so a curve is reduced to its
-    x range over ``step`` rows before it is ordered, however many points it had. ``by`` names the curves.
+    The first point is an anchor, and after each anchor the next point that is at least ``step`` further on. Of points
+    closer than ``step / POINTS_PER_STEP`` the first stands for all, so the walk is along at most that many
+    points per step, however many the curve had. ``by`` names the curves.
     """
     cells = (
         curve.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(*by, F.floor(F.col(x) / step).alias("_cell"))
-        .agg(F.min(x).alias("x"), F.min_by(y, x).alias("y"))
+        .groupBy(*by, F.floor(F.col(x) * (POINTS_PER_STEP / step)).alias("_cell"))
+        .agg(F.min(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("p"))
+    )
+    points = cells.groupBy(*by).agg(F.sort_array(F.collect_list("p")).alias("_points"))
+    walked = F.aggregate(
+        F.col("_points"),
+        F.slice(F.col("_points"), 1, 1),
+        lambda anchors, p: F.when(p["x"] - F.element_at(anchors, -1)["x"] >= step, F.concat(anchors, F.array(p))).otherwise(anchors),
+    )
+    after = F.slice("_anchors", 2, F.greatest(F.size("_anchors") - 1, F.lit(0)))
+    steps = F.zip_with("_anchors", after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = points.withColumn("_anchors", walked).select(*by, F.explode(steps).alias("_p"))
+    rise, run = F.col("_p.b.y") - F.col("_p.a.y"), F.col("_p.b.x") - F.col("_p.a.x")
+    return pairs.filter(F.col("_p.b").isNotNull()).select(
+        *by, F.col("_p.a.x").alias("x"), F.col("_p.b.x").alias("right"), (scale * rise / run).alias("slope")
     )
-    order = Window.partitionBy(*by).orderBy("x")
-    rise, run = F.lead("y").over(order) - F.col("y"), F.lead("x").over(order) - F.col("x")
-    return cells.select(*by, "x", (scale * rise / run).alias("slope")).filter(F.col("slope").isNotNull())
 
 
-def plateau(slopes: DataFrame, eps: float, low: float, high: float, by: Sequence[str] = ()) -> DataFrame:
-    """Smallest and largest x strictly inside ``(low, high)`` whose slope is strictly within ``eps`` of zero."""
-    flat = F.when((F.abs("slope") < eps) & (F.col("x") > low) & (F.col("x") < high), F.col("x"))
+def plateau(
+    slopes: DataFrame, eps: float, low: float, high: float, by: Sequence[str] = (), at: str = "x"
+) -> DataFrame:
+    """Smallest and largest anchor strictly inside ``(low, high)`` whose slope is strictly within ``eps`` of zero.
+
+    ``at`` is the end of a step that stands for it: ``x`` (left) or ``right``.
+    """
+    flat = F.when((F.abs("slope") < eps) & (F.col(at) > low) & (F.col(at) < high), F.col(at))
     return slopes.groupBy(*by).agg(F.min(flat).alias("plateau_low"), F.max(flat).alias("plateau_high"))

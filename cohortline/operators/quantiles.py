@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.operators.skew import attach, split_hot
+from cohortline.session import cut_lineage
 
 # The built-in percentile holds the distinct values of a group in memory, one table per measure.
 HELD_VALUES = 1_000_000
@@ -25,8 +26,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group; each measure is an array with one quantile per probability, NULL if it has no value.
 
-    Ordinary groups use the built-in exact percentile. Groups with too many rows for it, such as the
-    single group of a whole-table quantile, are solved by selection: see ``_by_selection``.
+    The group and its measures are written once. Ordinary groups use the built-in exact percentile. Groups with too
+    many rows for it, such as the single group of a whole-table quantile, are solved by selection: see
+    ``_by_selection``.
     """
     by, names, probs = list(by), list(measures), list(probs)
     grouped = df.select(*[F.col(b) for b in by], *[c.cast("double").alias(m) for m, c in measures.items()])
@@ -69,8 +71,9 @@ def _by_selection(hot: DataFrame, by: list[str], names: list[str], probs: list[f
     key = [*by, "_m"]
     long = _melt(hot, by, names)
     posts = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in _POSTS})
-    fences = long.groupBy(*key).agg(
-        F.percentile_approx("_v", posts, 10000).alias("_fences"), F.count(F.lit(1)).alias("_total")
+    # One row per large group: written, so that its size decides how it is joined.
+    fences = cut_lineage(
+        long.groupBy(*key).agg(F.percentile_approx("_v", posts, 10000).alias("_fences"), F.count(F.lit(1)).alias("_total"))
     )
     passed = [F.when(F.col("_v") > F.col("_fences")[i], 1).otherwise(0) for i in range(len(posts))]
     zoned = attach(long, fences.drop("_total"), key).withColumn("_zone", sum(passed, F.lit(0))).drop("_fences")
@@ -87,7 +90,7 @@ def _by_selection(hot: DataFrame, by: list[str], names: list[str], probs: list[f
     targets = attach(zones, ranks, key).filter(
         (F.col("rank") >= F.col("_skip")) & (F.col("rank") < F.col("_skip") + F.col("_c"))
     )
-    targets = targets.select(*key, "_zone", "i", "weight", (F.col("rank") - F.col("_skip")).alias("rank"))
+    targets = cut_lineage(targets.select(*key, "_zone", "i", "weight", (F.col("rank") - F.col("_skip")).alias("rank")))
 
     place = [*key, "_zone"]
     values = attach(zoned, targets.select(*place).distinct(), place, "left_semi")

@@ -1,12 +1,9 @@
-"""Finding the few groups that are too large for one task.
-
-A window, an exact median or a running maximum sends a whole group to one task. These operators
-treat a group with more than ``hot_rows`` rows in a second way that cuts it into pieces. The list of
-such groups is found with one map-side-combined count and is small by construction: a hot group
-must also hold more than ``1 / MAX_HOT`` of all rows, so there are fewer than ``MAX_HOT`` of them and
-the list may be broadcast. When there is none, adaptive execution drops the second branch at run time.
-When everything the plan reads is smaller than ``SMALL_BYTES``, no task can be hurt and the count is
-skipped.
+"""Groups that are too large for one task.
+
+A window, an exact median or a running maximum sends a whole group to one task. Operators that cannot cut every
+group by its nature (as trailing windows are cut by time) treat a group with more than ``hot_rows`` rows in a second
+way. The groups are found once, by a count that is combined before its shuffle and written to the shared folder.
+What is found decides the plan, not the size of the input: without a hot group there is no second branch.
 """
 
 from __future__ import annotations
@@ -17,44 +14,36 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
-MAX_HOT = 50_000
-SMALL_BYTES = 64 * 1024 * 1024
-
+from cohortline.session import cut_lineage
 
-def source_bytes(df: DataFrame) -> int:
-    """Catalyst's size of everything the plan reads: file sizes for scans, a huge default where unknown."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    except AttributeError:  # a remote session does not show its plan
-        return SMALL_BYTES + 1
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+HOT_ROWS = 2_000_000
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, **stats: Column) -> DataFrame:
-    """Hot groups with their row count ``_n``, the limit they exceed ``_limit`` and the statistics asked for."""
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int, **stats: Column) -> DataFrame | None:
+    """Groups with more than ``hot_rows`` rows, their row count ``_n`` and the statistics asked for; None if there are none."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in stats.items()])
-    share = counts.agg((F.sum("_n") / F.lit(MAX_HOT)).alias("s")).scalar()
-    limited = counts.withColumn("_limit", F.greatest(F.lit(float(hot_rows)), share))
-    return limited.filter(F.col("_n") > F.col("_limit"))
+    found = cut_lineage(counts.filter(F.col("_n") > hot_rows))
+    return None if found.isEmpty() else found
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a frame of proven bounded size to ``df`` by broadcast; NULL keys meet."""
+    """Join a frame with few rows per key; NULL keys meet. Catalyst broadcasts it if its size allows."""
     side = small.select(*[F.col(c).alias("_b_" + c) if c in keys else F.col(c) for c in small.columns])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("_b_" + k)) for k in keys])
-    return df.join(F.broadcast(side), on, how).drop(*["_b_" + k for k in keys])
+    return df.join(side, on, how).drop(*["_b_" + k for k in keys])
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, default: int = HOT_ROWS, **stats: Column
+    df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, default: int | None = None, **stats: Column
 ) -> tuple[DataFrame, DataFrame | None]:
     """``(cold, hot)``: rows of ordinary groups, and rows of hot groups with ``_n``, ``_limit`` and the statistics.
 
-    ``hot_rows=None`` means the default limit, looked for only when the input is not small.
+    ``df`` is written once, so it should be narrow; both parts read the written rows.
     """
-    if hot_rows is None and source_bytes(df) <= SMALL_BYTES:
+    limit = next(n for n in (hot_rows, default, HOT_ROWS) if n is not None)
+    df = cut_lineage(df)
+    hot = hot_groups(df, keys, limit, **stats)
+    if hot is None:
         return df, None
-    hot = hot_groups(df, keys, default if hot_rows is None else hot_rows, **stats)
     cold = attach(df, hot.select(*keys), keys, "left_anti")
-    return cold, attach(df, hot, keys)
+    return cold, attach(df, hot, keys).withColumn("_limit", F.lit(float(limit)))

@@ -195,33 +195,21 @@ def odds_ratio_table(
 ) -> DataFrame:
     """The same for every subgroup and exposure metric in one pass over the data.
 
-    ``criteria`` are predicates on the same rows; ``metrics`` are ``{name: (column, exposed, control)}``.
-    Each row is counted under every criterion it meets; the counts are combined before the shuffle.
+    ``criteria`` are predicates on the same rows; ``metrics`` are ``{name: (column, exposed, control)}``. Rows are not
+    copied: one aggregation counts all cells, and its single row becomes one row per criterion and metric.
     """
-    # Exposure, band limits and outcome travel as one struct per (criterion, metric).
-    met = F.filter(
-        F.array(*[F.when(p, F.lit(n)) for n, p in criteria.items()]), lambda x: x.isNotNull()
-    )
-    marks = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("metric"),
-                F.col(c).between(*exposed).alias("low"),
-                F.col(c).between(*control).alias("high"),
-            )
-            for n, (c, exposed, control) in metrics.items()
-        ]
-    )
-    marked = df.select(met.alias("_met"), marks.alias("_marks"), F.col(outcome).alias("_y"))
-    rows = (
-        marked.select(F.explode("_met").alias("criterion"), "_marks", "_y")
-        .select("criterion", F.explode("_marks").alias("_k"), "_y")
-        .filter(F.col("_k.low") | F.col("_k.high"))
-    )
-    counts = rows.groupBy("criterion", F.col("_k.metric").alias("metric")).agg(
-        F.count_if(F.col("_k.low") & (F.col("_y") == 1)).alias("a"),
-        F.count_if(F.col("_k.high") & (F.col("_y") == 1)).alias("b"),
-        F.count_if(F.col("_k.low") & (F.col("_y") == 0)).alias("c"),
-        F.count_if(F.col("_k.high") & (F.col("_y") == 0)).alias("d"),
-    )
-    return counts.select("criterion", "metric", "a", "b", "c", "d", *_ratio_columns())
+    y = F.col(outcome)
+    cells, rows = [], []
+    for i, (criterion, met) in enumerate(criteria.items()):
+        for j, (metric, (column, exposed, control)) in enumerate(metrics.items()):
+            bands = {"a": (exposed, 1), "b": (control, 1), "c": (exposed, 0), "d": (control, 0)}
+            cells += [
+                F.count_if(met & F.col(column).between(*band) & (y == value)).alias(f"{n}_{i}_{j}")
+                for n, (band, value) in bands.items()
+            ]
+            touched = F.count_if(met & (F.col(column).between(*exposed) | F.col(column).between(*control)))
+            cells.append(touched.alias(f"t_{i}_{j}"))
+            counts = [F.col(f"{n}_{i}_{j}").alias(n) for n in "abcdt"]
+            rows.append(F.struct(F.lit(criterion).alias("criterion"), F.lit(metric).alias("metric"), *counts))
+    counted = df.agg(*cells).select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter("t > 0")
+    return counted.select("criterion", "metric", "a", "b", "c", "d", *_ratio_columns())

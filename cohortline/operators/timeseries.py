@@ -9,10 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortline.functions.exprs import minutes_between
+from cohortline.functions.exprs import floor_div, minutes_between
 from cohortline.operators.joins import lookup_join
 from cohortline.operators.quantiles import exact_quantiles
-from cohortline.operators.skew import split_hot
 
 
 def complete_readings(df: DataFrame, names: Mapping[str, str], required: Sequence[str]) -> DataFrame:
@@ -166,118 +165,30 @@ def _combine(kind: str, col: Column) -> Column:
     return F.sum(col) if kind == "sum" else F.min(col)
 
 
-def trailing_agg(
-    df: DataFrame,
-    key: str,
-    time: str,
-    value: str,
-    windows: Sequence[Trailing],
-    hot_rows: int | None = None,
-    tiles: int = 64,
-) -> DataFrame:
-    """Every row with its trailing-window aggregates, NULL where the window is empty.
+def trailing_agg(df: DataFrame, key: str, time: str, value: str, windows: Sequence[Trailing]) -> DataFrame:
+    """Every row with its trailing-window aggregates, NULL where the window is empty or the key or time is NULL.
 
-    ``time`` is a long. One RANGE-framed window over the key replaces a range self-join, whose work
-    grows with the square of the readings per key. A key too large for one task goes the tiled way.
+    ``time`` is a long. RANGE frames replace a range self-join, whose work grows with the square of the readings
+    per key. The time axis is cut into tiles as long as the longest look-back: a row's windows reach no further than the
+    tile before its own, so each row also stands in the next tile, as context only. A task sorts the readings of
+    one key within two look-backs, however long the key's history is.
     """
-    cold, hot = split_hot(df, [key], hot_rows)
-    ordered = Window.partitionBy(key).orderBy(time)
+    reach = max(w.lookback for w in windows)
+    placed = F.col(key).isNotNull() & F.col(time).isNotNull()
+    tile = floor_div(F.col(time), reach + 1)
+    # Rows without a place have no windows; a hash of the row spreads them.
+    own = F.struct(F.when(placed, tile).otherwise(F.xxhash64(*df.columns)).alias("at"), F.lit(False).alias("context"))
+    after = F.struct((tile + 1).alias("at"), F.lit(True).alias("context"))
+    copies = F.when(placed, F.array(own, after)).otherwise(F.array(own))
+    tiled = df.withColumn("_tile", F.explode(copies))
+    ordered = Window.partitionBy(key, F.col("_tile.at")).orderBy(time)
     framed = {
-        w.name: _combine(w.agg, F.col(time if w.agg == "min_time" else value)).over(
-            ordered.rangeBetween(-w.lookback, 0 if w.current else -1)
+        w.name: F.when(
+            placed,
+            _combine(w.agg, F.col(time if w.agg == "min_time" else value)).over(
+                ordered.rangeBetween(-w.lookback, 0 if w.current else -1)
+            ),
         )
         for w in windows
     }
-    out = cold.withColumns(framed)
-    if hot is None:
-        return out
-    at_time = _trailing_in_tiles(hot.drop("_n", "_limit"), key, time, value, windows, tiles)
-    back = at_time.withColumnsRenamed({key: "_key", time: "_time"})
-    hot_out = hot.drop("_n", "_limit").join(back, (F.col(key) == F.col("_key")) & (F.col(time) == F.col("_time")), "left")
-    return out.unionByName(hot_out.select(*out.columns))
-
-
-def _trailing_in_tiles(
-    hot: DataFrame, key: str, time: str, value: str, windows: Sequence[Trailing], tiles: int
-) -> DataFrame:
-    """Trailing aggregates per (key, time) with the time axis cut into tiles.
-
-    A window reaching back from a row is the start of the row's own tile up to the row, some whole
-    tiles, and the end of the tile the window begins in. Own parts and ends are framed windows inside
-    one tile; whole tiles are framed over one row per tile. The parts meet in a grouping by
-    (key, time), so no task ever holds more than one tile of a key.
-    """
-    size = max(1, min(w.lookback for w in windows) // tiles)
-    tile = F.floor(F.col(time) / size).cast("long")
-    need_sum = any(w.agg == "sum" for w in windows)
-    points = (
-        hot.filter(F.col(time).isNotNull())
-        .groupBy(key, time)
-        .agg(F.min(value).alias("_min"), *([F.sum(value).alias("_sum")] if need_sum else []))
-        .withColumn("_tile", tile)
-        .withColumn("_min_time", F.col(time))
-    )
-
-    in_tile = Window.partitionBy(key, "_tile").orderBy(time)
-    own = points.withColumns(
-        {
-            w.name: _combine(w.agg, F.col("_" + w.agg)).over(
-                in_tile.rangeBetween(-w.lookback, 0 if w.current else -1)
-            )
-            for w in windows
-        }
-    ).select(key, time, *[w.name for w in windows])
-
-    kinds = sorted({w.agg for w in windows})
-    per_tile = points.groupBy(key, "_tile").agg(*[_combine(k, F.col("_" + k)).alias("_" + k) for k in kinds])
-    by_tile = Window.partitionBy(key).orderBy("_tile")
-    # The tile a window begins in lies floor(lookback / size) tiles back, or one more.
-    whole = {}
-    for w in windows:
-        near = w.lookback // size
-        for extra in (0, 1):
-            reach = near + extra - 1
-            name = f"_{w.name}_{extra}"
-            whole[name] = (
-                _combine(w.agg, F.col("_" + w.agg)).over(by_tile.rangeBetween(-reach, -1)) if reach >= 1 else F.lit(None)
-            )
-    spans = per_tile.select(key, "_tile", *[c.alias(n) for n, c in whole.items()])
-    between = points.select(key, time, "_tile").join(spans, [key, "_tile"]).select(
-        key,
-        time,
-        *[
-            F.when(
-                F.col("_tile") - F.floor((F.col(time) - w.lookback) / size) == w.lookback // size,
-                F.col(f"_{w.name}_0"),
-            )
-            .otherwise(F.col(f"_{w.name}_1"))
-            .alias(w.name)
-            for w in windows
-        ],
-    )
-
-    probes = points.select(
-        key,
-        F.col(time).alias("_for"),
-        "_tile",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("w"), (F.col(time) - w.lookback).alias("at")) for i, w in enumerate(windows)])).alias("_p"),
-    ).select(key, "_for", F.col("_p.w").alias("_w"), F.col("_p.at").alias(time), F.col("_tile").alias("_own"))
-    probes = (
-        probes.withColumn("_tile", tile)
-        .filter(F.col("_tile") < F.col("_own"))
-        .select(key, "_tile", time, "_for", "_w")
-    )
-    facts = points.select(key, "_tile", time, *["_" + k for k in kinds])
-    to_end = Window.partitionBy(key, "_tile").orderBy(time).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    tails = (
-        facts.unionByName(probes, allowMissingColumns=True)
-        .withColumns({f"_t_{k}": _combine(k, F.col("_" + k)).over(to_end) for k in kinds})
-        .filter(F.col("_w").isNotNull())
-        .select(
-            key,
-            F.col("_for").alias(time),
-            *[F.when(F.col("_w") == i, F.col("_t_" + w.agg)).alias(w.name) for i, w in enumerate(windows)],
-        )
-    )
-    parts = own.unionByName(between).unionByName(tails)
-    return parts.groupBy(key, time).agg(*[_combine(w.agg, F.col(w.name)).alias(w.name) for w in windows])
+    return tiled.withColumns(framed).filter(~F.col("_tile.context")).drop("_tile")

@@ -39,12 +39,19 @@ def sepsis_flag(patient: DataFrame) -> DataFrame:
 
 
 def diagnosis_group(
-    df: DataFrame, text: str, mapping: DataFrame, default: str = "Other", name: str = "apachedxgroup"
+    df: DataFrame,
+    text: str,
+    mapping: DataFrame | None = None,
+    default: str = vocab.OTHER_DIAGNOSIS,
+    name: str = "apachedxgroup",
 ) -> DataFrame:
-    """Category of an exact diagnosis text from a ``(text, category, priority)`` frame; lowest priority wins.
+    """Category of an exact diagnosis text, by the fixed vocabulary or a ``(text, category, priority)`` frame.
 
-    The mapping is a vocabulary kept as a table; Catalyst broadcasts it when its size allows, and a text
-    shared by very many rows is split otherwise.
+    In a frame the lowest priority wins.
     """
+    if mapping is None:
+        pairs = [F.lit(x) for group, texts in vocab.DIAGNOSIS_GROUPS.items() for t in texts for x in (t, group)]
+        known = F.try_element_at(F.create_map(*pairs), F.col(text))
+        return df.withColumn(name, F.coalesce(known, F.lit(default)))
     best = mapping.groupBy(F.col("text").alias(text)).agg(F.min_by("category", "priority").alias("_category"))
     return lookup_join(df, best, [text], "left").withColumn(name, F.coalesce("_category", F.lit(default))).drop("_category")

@@ -25,13 +25,13 @@ def stay_creatinine(stays: DataFrame, labevents: DataFrame) -> DataFrame:
     return band_join(admitted, results, "subject_id", "in_us", "t_us", -7 * DAY, 3 * DAY).select(KEY, "t_us", "creat")
 
 
-def creatinine_stages(creatinine: DataFrame, week_from_72h: bool = False, hot_rows: int | None = None) -> DataFrame:
+def creatinine_stages(creatinine: DataFrame, week_from_72h: bool = False) -> DataFrame:
     """Stage per distinct (stay, time, value) against the lowest value strictly before it.
 
     ``week_from_72h`` uses the 72 hour minimum where the rule speaks of 7 days.
     """
     windows = [Trailing(f"low_{n}", "min", w * HOUR) for n, w in (("24h", 24), ("48h", 48), ("72h", 72), ("7d", 168))]
-    lows = trailing_agg(creatinine.select(KEY, "t_us", "creat").distinct(), KEY, "t_us", "creat", windows, hot_rows)
+    lows = trailing_agg(creatinine.select(KEY, "t_us", "creat").distinct(), KEY, "t_us", "creat", windows)
     cr, two_days = F.col("creat"), F.col("low_48h")
     week = F.col("low_72h" if week_from_72h else "low_7d")
     stage = ladder(
@@ -47,7 +47,7 @@ def creatinine_stages(creatinine: DataFrame, week_from_72h: bool = False, hot_ro
     return lows.withColumn("aki_stage_creat", stage)
 
 
-def urine_rates(urine: DataFrame, weights: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def urine_rates(urine: DataFrame, weights: DataFrame) -> DataFrame:
     """Trailing 6/12/24 hour urine per kg and hour. ``urine``: stay, ``t_us``, ``value``; ``weights``:
     stay, ``start_us``, ``end_us``, ``weight``.
 
@@ -58,7 +58,7 @@ def urine_rates(urine: DataFrame, weights: DataFrame, hot_rows: int | None = Non
     summed = urine.groupBy(KEY, "t_us").agg(F.sum("value").alias("value"))
     windows = [Trailing(f"uo_{n}", "sum", h * HOUR, True) for n, h in hours]
     windows += [Trailing(f"from_{n}", "min_time", h * HOUR, True) for n, h in hours]
-    trailing = trailing_agg(summed, KEY, "t_us", "value", windows, hot_rows)
+    trailing = trailing_agg(summed, KEY, "t_us", "value", windows)
     covered = trailing.withColumns(
         {f"uo_tm_{n}": F.round((F.col("t_us") - F.col(f"from_{n}")) / HOUR, 4) for n, _ in hours}
     )

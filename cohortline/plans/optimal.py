@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.operators.model import Formula, SmoothLogit, curve_slope, effect_curve, fit_smooth_logits
+from cohortline.operators.model import Formula, SmoothLogit, curve_slope, effect_curves, fit_smooth_logits
 
 # Where a plateau of each pressure is looked for, and the slopes taken as flat.
 PLATEAU_BOUNDS = {"ibp_mean": (60, 90), "ibp_systolic": (100, 140), "ibp_diastolic": (40, 70)}
@@ -36,7 +36,8 @@ def optimal_ranges(
 
     ``bounds`` gives the exposures and where to look. All models are fitted together; their curves are
     stacked, on the link scale (slope below 0.01) and on the probability scale (below 0.1 and 0.2
-    percentage points per unit), and reduced in one grouping.
+    percentage points per unit), and reduced in one grouping. A step of the curve stands at its right end on the link
+    scale and at its left end on the probability scale.
     """
     fitted = fit_smooth_logits(df, formulas(outcomes, list(bounds), adjust, linear))
     scales = F.array(
@@ -50,7 +51,8 @@ def optimal_ranges(
         F.array(*[F.lit(e) for e in PROBABILITY_SLOPES])
     )
     limited = slopes.select(
-        name[0].alias("outcome"), name[1].alias("exposure"), "scale", F.explode(limits).alias("slope_below"), "x", "slope"
+        name[0].alias("outcome"), name[1].alias("exposure"), "scale", F.explode(limits).alias("slope_below"), "slope",
+        F.when(F.col("scale") == "link", F.col("right")).otherwise(F.col("x")).alias("x"),
     )
     inside = reduce(
         lambda a, b: a | b,
@@ -64,8 +66,4 @@ def optimal_ranges(
 
 def curves(df: DataFrame, models: Mapping[str, SmoothLogit], reference: Mapping[str, float] | None = None) -> DataFrame:
     """The adjusted curve of every model's first smooth term, long: ``model, x, fit, se, lcl, prob, ucl``."""
-    parts = [
-        effect_curve(m, df, m.smooths[0].column, reference).select(F.lit(name).alias("model"), "*")
-        for name, m in models.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return effect_curves(models, df, {n: m.smooths[0].column for n, m in models.items()}, reference)

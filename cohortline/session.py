@@ -66,8 +66,20 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared folder and read it back: the lineage ends at files any executor can reach."""
+def write_scratch(df: DataFrame) -> str:
+    """Write the frame to a new path in the shared folder."""
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Remove what ``write_scratch`` wrote, once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the frame to the shared folder and read it back: the lineage ends at files any executor can reach."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df))

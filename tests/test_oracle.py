@@ -25,6 +25,43 @@ def test_runs_without_sql(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() > 0
 
 
+SPLITTING = [
+    "median_in_window",
+    "median_by_key",
+    "iqr_fence",
+    "describe",
+    "table_one",
+    "merge_intervals",
+    "merge_intervals_last_end",
+    "covered_time",
+    "cleaning_pipeline",
+]
+
+
+@pytest.mark.parametrize("name", SPLITTING)
+def test_agrees_with_sql_when_groups_are_split(spark, con, name, monkeypatch):
+    """The same answers when every group above 30 rows counts as too large for one task."""
+    from cohortline.operators import quantiles, skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 30)
+    monkeypatch.setattr(quantiles, "HELD_VALUES", 90)
+    assert compare(con, entry.queries()[name](spark, FOLDER), entry.oracle_sql()[name]) == []
+
+
+LEAN = ["trailing_min", "median_in_window", "rate_per_weight", "stage_from_trailing_rate", "worst_stage_window", "offset_table", "score_total"]
+
+
+@pytest.mark.parametrize("name", LEAN)
+def test_plans_read_each_table_a_few_times(spark, name):
+    """Each supplied table stands at most three times in a plan, whatever the size."""
+    leaves = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().collectLeaves()
+    scans = [str(leaves.apply(i).toString()) for i in range(leaves.size())]
+    columns = {t: spark.read.parquet(f"{FOLDER}/{t}.parquet").columns[0] for t in ("events", "orders", "lineitem", "customer")}
+    for table, first in columns.items():
+        count = sum(f"Relation [{first}#" in s for s in scans)
+        assert count <= (6 if name in ("offset_table", "score_total") else 3), (table, count)
+
+
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "prop_map_7d" in df.columns

@@ -89,20 +89,30 @@ def test_group_limit_is_planned(spark, n):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("hot_rows", [None, 20, 1])
-def test_lookup_join_equals_plain_join(spark, rows, how, hot_rows):
+def test_lookup_join_equals_plain_join(spark, rows, how):
     data = spark.range(300).select(
         F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 7).alias("k"),
         F.col("id").alias("v"),
     )
     side = spark.createDataFrame([(0, "a"), (1, "b"), (2, None), (None, "n"), (99, "z")], "k long, w string")
-    got = joins.lookup_join(data, side, ["k"], how, hot_rows)
+    got = joins.lookup_join(data, side, ["k"], how)
     want = data.join(side, "k", how)
     assert got.columns == want.columns and rows(got) == rows(want)
 
 
-def test_restrict_and_exclude_split_hot_keys(spark, rows):
-    df = spark.range(200).select(F.when(F.col("id") < 100, 5).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
-    listed = df.filter(F.col("v") % 2 == 0)
-    assert rows(joins.restrict(df, listed, "k", 10)) == rows(joins.restrict(df, listed, "k"))
-    assert rows(joins.exclude(df, listed, "k", 10)) == rows(joins.exclude(df, listed, "k"))
+def test_asof_with_intervals_of_all_lengths(spark, rows):
+    """A far end does not multiply the interval, and a point without an interval stays once."""
+    import random
+
+    rng = random.Random(5)
+    spans = [(k, s, s + rng.choice([0, 1, 5, 40, 700, 10**15]), i) for i, (k, s) in enumerate((rng.randint(1, 3), rng.randint(-90, 90)) for _ in range(60))]
+    points = [(rng.choice([1, 2, 4, None]), rng.choice([None, rng.randint(-100, 200)])) for _ in range(80)]
+    got = joins.asof_interval(
+        spark.createDataFrame(points, "k long, t long"), spark.createDataFrame(spans, "k long, s long, e long, i long"), "k", "t", "s", "e", 7
+    )
+    want = []
+    for k, t in points:
+        met = [(k, t, s, e, i) for j, s, e, i in spans if j == k and t is not None and s <= t < e]
+        want += met or [(k, t, None, None, None)]
+    assert got.columns == ["k", "t", "s", "e", "i"]
+    assert rows(got) == sorted(want, key=lambda r: [(v is None, v) for v in r])
