@@ -143,3 +143,60 @@ def smooth_curves(spark, folder):
     data = _study(spark, folder)
     fitted = model.fit_smooth_logits(data, optimal.formulas(["died", "urgent"], ["map"], ["age"], ["sex"]))
     return rounded(optimal.curves(data, fitted, {"sex": 0}), 6, "x", "fit", "se", "lcl", "prob", "ucl")
+
+
+@query(
+    "impute_regression",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS price FROM lineitem),
+f AS (SELECT regr_slope(price, l_quantity) AS b, regr_intercept(price, l_quantity) AS a FROM l)
+SELECT l_orderkey, l_linenumber, l_quantity, price, round(COALESCE(price, a + b * l_quantity), 3) AS price_impute FROM l, f""",
+)
+def impute_regression(spark, folder):
+    """One target and one feature: the chain is a single least-squares line."""
+    lines = load(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("price")
+    )
+    return rounded(model.impute_chained(lines, ["price"], ["l_quantity"], rounds=1, ridge=0.0), 3, "price_impute")
+
+
+# Newton's method for the intercept and one slope, as a recursion over the whole table.
+LOGIT = """d AS (SELECT toxic::DOUBLE AS y, ln(1 + n_chars) AS x FROM documents JOIN labels USING (doc_id)),
+b AS (SELECT 0 AS i, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1
+  UNION ALL
+  SELECT i + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT b.i, b.b0, b.b1, sum(d.y - m) AS g0, sum((d.y - m) * d.x) AS g1, sum(m * (1 - m)) AS h00,
+      sum(m * (1 - m) * d.x) AS h01, sum(m * (1 - m) * d.x * d.x) AS h11
+    FROM b, (SELECT y, x FROM d) d, LATERAL (SELECT 1 / (1 + exp(-(b.b0 + b.b1 * d.x))) AS m) WHERE b.i < 12 GROUP BY ALL))"""
+
+
+@query("logit_fit", f"WITH RECURSIVE {LOGIT} SELECT round(b0, 4) AS b0, round(b1, 4) AS b1 FROM b WHERE i = 12")
+def logit_fit(spark, folder):
+    """A model without smooth terms is the maximum-likelihood logistic regression."""
+    fit = model.fit_smooth_logit(_toxicity(spark, folder), "toxic", [], ["log_chars"], tol=1e-12)
+    beta = [round(float(b), 4) for b in fit.beta]
+    return spark.createDataFrame([(beta[0], beta[1])], "b0 double, b1 double")
+
+
+def _zeros(sizes) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS model, unnest(range({k}))::INT AS position, 0.0::DOUBLE AS score" for n, k in sizes.items())
+
+
+@query("smooth_logit_scores", _zeros({"length": 23, "short": 12}))
+def smooth_logit_scores(spark, folder):
+    """The score equations of fitted smooth models hold: every one is zero at the solution."""
+    data = _toxicity(spark, folder)
+    formulas = {
+        "length": model.Formula("toxic", ("log_chars", "log_words"), ("english", "quality")),
+        "short": model.Formula("toxic", ("log_chars",), ("english",)),
+    }
+    fitted = model.fit_smooth_logits(data, formulas, tol=1e-10)
+    scores = model.score_equations(data, fitted)
+    return scores.withColumn("score", F.round("score", 5) + 0.0)
+
+
+@query("smooth_curve_scores", _zeros({f"{o}~{e}": 12 for o in ("died", "urgent") for e in ("map", "age")}))
+def smooth_curve_scores(spark, folder):
+    """The same for the models behind the optimal ranges."""
+    data = _study(spark, folder)
+    fitted = model.fit_smooth_logits(data, optimal.formulas(["died", "urgent"], ["map", "age"], [], ["sex"]), tol=1e-10)
+    return model.score_equations(data, fitted).withColumn("score", F.round("score", 5) + 0.0)

@@ -338,6 +338,22 @@ def fit_smooth_logits(
     return models
 
 
+def score_equations(df: DataFrame, models: Mapping[str, SmoothLogit]) -> DataFrame:
+    """What the fit makes zero, per model and coefficient: ``model, position, score``.
+
+    The score is the gradient of the penalised log likelihood, X'(y - mu) - S beta, over the number of rows.
+    """
+    spark, names = df.sparkSession, list(models)
+    columns = list(dict.fromkeys(c for m in models.values() for c in (m.outcome, *[t.column for t in m.smooths], *m.linear)))
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    rows = []
+    for n, (gram, rhs, _, _) in zip(names, _moments(data, [models[n] for n in names])):
+        m = models[n]
+        scores = (rhs - gram @ m.beta - m.penalty(m.lambdas) @ m.beta) / m.n
+        rows += [(n, i, float(s)) for i, s in enumerate(scores)]
+    return spark.createDataFrame(rows, "model string, position int, score double")
+
+
 def _centre(data: DataFrame, models: Sequence[SmoothLogit], basis_size: int) -> None:
     """Mean of every basis column over the rows each model uses, in one pass."""
 

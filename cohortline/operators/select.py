@@ -125,12 +125,12 @@ def reading_span(df: DataFrame, keys: Sequence[str], time: str, values: Sequence
 def reading_ordinals(df: DataFrame, keys: Sequence[str], time: str, values: Sequence[str]) -> DataFrame:
     """Ordinal, among all rows in time order, of the first and of the last row with any value present.
 
-    Counts rows up to the two times instead of numbering every row, so nothing is sorted per key.
-    Needs at most one row per key and time.
+    Counts times up to the two instead of numbering every row, so nothing is sorted per key. Rows of one key
+    and time count once.
     """
     ends = reading_span(df, keys, time, values)
     return (
-        lookup_join(df.select(*keys, time), ends, keys)
+        lookup_join(df.select(*keys, time).distinct(), ends, keys)
         .groupBy(*keys)
         .agg(
             F.count(F.when(F.col(time) <= F.col("min_offset"), 1)).alias("min_pos"),

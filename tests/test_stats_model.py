@@ -160,3 +160,41 @@ def test_models_fitted_together_equal_models_fitted_alone(spark):
     assert np.allclose(both["a"].beta, alone.beta, atol=1e-6) and both["a"].lambdas == alone.lambdas
     other = model.fit_smooth_logit(df, "w", ["z"])
     assert np.allclose(both["b"].beta, other.beta, atol=1e-6)
+
+
+def test_two_sided_p_against_a_table(spark):
+    """Values of the normal distribution as printed in tables."""
+    from cohortline.functions.exprs import two_sided_p
+
+    table = [(0.0, 1.0), (0.674490, 0.5), (1.644854, 0.1), (1.959964, 0.05), (2.575829, 0.01), (3.290527, 0.001), (3.890592, 0.0001)]
+    got = spark.createDataFrame([(z,) for z, _ in table], "z double").select("z", two_sided_p(F.col("z")).alias("p")).collect()
+    for row, (_, p) in zip(sorted(got), table, strict=True):
+        assert abs(row.p - p) < 1e-6
+
+
+def test_models_fit_where_workers_cannot_import_the_package(tmp_path):
+    """Started from another folder, with a path that only the driver knows."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__
+from cohortline.session import local_session
+spark = local_session("2", 2, "2g")
+print(__spark_entry__.queries()["smooth_logit_plateau"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().endswith("1"), out.stderr[-2000:]
+
+
+def test_a_model_that_has_not_converged_is_an_error(spark):
+    from cohortline.operators.model import fit_smooth_logit
+
+    df = spark.range(400).select((F.col("id") % 2).alias("y"), (F.col("id") * 7 % 31).alias("x"))
+    with pytest.raises(ArithmeticError):
+        fit_smooth_logit(df, "y", ["x"], max_passes=1)
