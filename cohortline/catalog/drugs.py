@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cohortline.catalog.frames import READINGS, readings, rounded, with_items
+from cohortline.catalog.frames import READINGS, in_turn, readings, rounded, with_items
 from cohortline.catalog.registry import query
 from cohortline.functions import vocab
 from cohortline.functions.exprs import (
@@ -61,7 +61,7 @@ def respiratory_treatment(spark, folder):
     treated = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
     return load(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias(KEY),
-        F.when(treated, vocab.VENTILATION_TREATMENTS[0]).otherwise("surgery|other").alias("treatmentstring"),
+        F.when(treated, in_turn(vocab.VENTILATION_TREATMENTS, "l_orderkey")).otherwise("surgery|other").alias("treatmentstring"),
         (F.col("l_quantity").cast("long") * 100 + F.col("l_partkey") - 3000).alias("treatmentoffset"),
     )
 
@@ -165,7 +165,7 @@ def vasopressor_stays(spark, folder):
     given = (F.col("l_returnflag") == "A") & (F.col("l_quantity") > 45)
     lines = load(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias(KEY),
-        F.when(given, vocab.VASOPRESSOR_TREATMENTS[28]).otherwise("renal|dialysis").alias("treatmentstring"),
+        F.when(given, in_turn(vocab.VASOPRESSOR_TREATMENTS, "l_partkey")).otherwise("renal|dialysis").alias("treatmentstring"),
     )
     return meds.vasopressor_stays(lines)
 
@@ -573,13 +573,13 @@ def fluid_balance(spark, folder):
     lines = load(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "icustay_id")
     bolus = lines.filter(F.col("l_returnflag") == "A").select(
         "icustay_id",
-        F.lit(vocab.FLUID_ITEMS_BOLUS[0]).alias("itemid"),
+        in_turn(vocab.FLUID_ITEMS_BOLUS, "l_partkey").alias("itemid"),
         F.col("l_extendedprice").alias("amount"),
         F.when(F.col("l_linestatus") == "O", "mL").otherwise("units").alias("amountuom"),
     )
     rate = lines.filter(F.col("l_returnflag") == "N").select(
         "icustay_id",
-        F.lit(vocab.FLUID_ITEMS_RATE[0]).alias("itemid"),
+        in_turn(vocab.FLUID_ITEMS_RATE, "l_partkey").alias("itemid"),
         F.col("l_quantity").alias("amount"),
         F.when(F.col("l_linestatus") == "F", "L").otherwise("ml").alias("amountuom"),
         F.lit(2).alias("starttime"),

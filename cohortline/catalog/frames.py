@@ -104,6 +104,12 @@ def spans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def in_turn(values, number: str) -> Column:
+    """Each of the values in turn, by a whole number."""
+    listed = F.array(*[F.lit(v) for v in values])
+    return listed[F.pmod(F.col(number), F.lit(len(values))).cast("int")]
+
+
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 

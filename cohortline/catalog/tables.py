@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortline.catalog import drugs, kidney
 from cohortline.catalog.drugs import KEY, recode
-from cohortline.catalog.frames import DAY, PRESSURES, READINGS, pressures, rounded, with_items
+from cohortline.catalog.frames import DAY, PRESSURES, READINGS, in_turn, pressures, rounded, with_items
 from cohortline.catalog.registry import query
 from cohortline.functions import vocab
 from cohortline.operators.select import first_by, select_as
@@ -115,7 +115,7 @@ def offset_table(spark, folder):
     )
     given = (F.col("l_returnflag") == "A") & (F.col("l_quantity") > 45)
     treated = load(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias(KEY), F.when(given, vocab.VASOPRESSOR_TREATMENTS[0]).alias("treatmentstring")
+        F.col("l_orderkey").alias(KEY), F.when(given, in_turn(vocab.VASOPRESSOR_TREATMENTS, "l_partkey")).alias("treatmentstring")
     )
     people = _people(spark, folder)
     return tables.offset_table(
