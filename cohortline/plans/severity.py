@@ -28,6 +28,8 @@ def _given(col: str) -> Column:
     return F.col(col).between(-120, DAY)
 
 
+# The cut-offs of the score ladders in this module; each ladder takes its first rung that holds.
+
 # --------------------------------------------------------------------------- one row per stay and source
 
 
