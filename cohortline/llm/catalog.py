@@ -91,5 +91,6 @@ QUERIES = {
 ORACLES = {
     "op1_pareto_mix": oracles.MIX_SQL,
     "op3_line_deletion_join": oracles.LINE_SQL,
+    "op4_parity_join": oracles.COMPONENT_SQL,
     "op6_impact_search": oracles.SEARCH_SQL,
 }

@@ -112,3 +112,30 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+# Components of documents whose sets of five-word shingles have a Jaccard similarity of 3/4 or more.
+COMPONENT_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM t
+),
+n AS (SELECT t.doc_id, count(s.shingle) AS n_shingles FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY t.doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT p.u, p.v FROM p JOIN n a ON a.doc_id = p.u JOIN n b ON b.doc_id = p.v
+  WHERE 100 * c >= 75 * (a.n_shingles + b.n_shingles - c)
+),
+both_ways AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+reach AS (
+  SELECT doc_id, doc_id AS found FROM n
+  UNION
+  SELECT both_ways.v, reach.found FROM reach JOIN both_ways ON both_ways.u = reach.doc_id WHERE reach.found < both_ways.v
+)
+SELECT n.doc_id, n.n_shingles, min(reach.found) AS component_id FROM n JOIN reach ON reach.doc_id = n.doc_id GROUP BY ALL
+"""
