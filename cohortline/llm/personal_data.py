@@ -157,7 +157,7 @@ def anchored(text: str, find: Automaton) -> list[Span]:
 def numeric(text: str) -> list[Span]:
     out: list[Span] = []
     for m in IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m.groups()):
+        if all(len(short) <= 3 and int(short or "0") <= 255 for short in (part.lstrip("0") for part in m.groups())):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
