@@ -17,7 +17,7 @@ from cohortline.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 
 # Texts are handled in chunks of about this many bytes; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -95,7 +95,7 @@ class Hasher:
 
     def powers(self, n: int) -> None:
         if len(self.up) < n:
-            size = max(n, CHUNK_BYTES * 2)
+            size = max(n, CHUNK_BYTES)
             self.up = np.cumprod(np.r_[_U64(1), np.full(size - 1, _BASE, _U64)])
             self.down = np.cumprod(np.r_[_U64(1), np.full(size - 1, _INVERSE, _U64)])
 

@@ -29,7 +29,6 @@ ignores null ids; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +42,8 @@ from cohortline.llm.graph import connected_components
 
 SMALLEST = 64  # sets below this size are band 0
 BUCKET_TEXT = 32 << 20  # bytes of text whose parts share a bucket
-FLUSH_UNITS = 30_000  # sets whose parts are packed together
+FLUSH_PARTS = 1_500_000  # parts that are packed together
+LEAST_BUCKETS = 16  # so that small inputs use more than one core
 BLOCK = 1024  # sets of one part compared in one task at a time
 _U64 = np.uint64
 
@@ -60,7 +60,7 @@ def band_end(band: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(band: np.ndarray) -> np.ndarray:
-    return 4 * band_end(band)
+    return np.maximum(256, band_end(band))
 
 
 def distinct_shingles(hasher: Hasher, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,26 +136,25 @@ def packed_parts(docs: DataFrame, id_col: str, buckets: int) -> DataFrame:
     """Rows (``bucket``, ``packed``): the sets of a batch and the upper half of their keys that fall into the bucket."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        unit = np.concatenate([h[0] for h in held])
-        keys = np.concatenate([h[1] for h in held])
+        fp, flag, keys = (np.concatenate([h[i] for h in held]) for i in range(3))
         bucket = (keys & _U64(0xFFFFFFFF)) % _U64(buckets)
         order = np.argsort(bucket, kind="stable")  # keeps the units in order
-        unit, keys, bucket = unit[order], (keys[order] >> _U64(32)).astype(np.uint32), bucket[order]
+        fp, flag, keys, bucket = fp[order], flag[order], (keys[order] >> _U64(32)).astype(np.uint32), bucket[order]
         edges = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
         squeeze = zstandard.ZstdCompressor(level=1)
         numbers, packed = [], []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            own = unit[lo:hi]
-            first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(axis=1)])
+            own, side = fp[lo:hi], flag[lo:hi]
+            first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (side[1:] != side[:-1])])
             counts = np.diff(np.r_[first, hi - lo]).astype(np.uint32)
             head = np.array([len(first)], np.uint32)
-            body = pack(head) + pack(own[first, 0]) + pack(own[first, 1].astype(np.uint8)) + pack(counts) + pack(keys[lo:hi])
+            body = pack(head) + pack(own[first]) + pack(side[first]) + pack(counts) + pack(keys[lo:hi])
             numbers.append(int(bucket[lo]))
             packed.append(squeeze.compress(body))
         yield record_batch(pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]), [numbers, packed])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, units, seen = Hasher(lower=True), [], 0, set()
+        hasher, held, kept, seen = Hasher(lower=True), [], 0, set()
         for rows, offsets, data in text_chunks(batches):
             owner, shingles = distinct_shingles(hasher, offsets, data)
             n, fp = fingerprints(owner, shingles, rows.num_rows)
@@ -167,11 +166,11 @@ def packed_parts(docs: DataFrame, id_col: str, buckets: int) -> DataFrame:
             for flag, band in enumerate(memberships(n)):
                 unit, keys = parts(owner, shingles, np.where(fresh, band, -1))
                 if len(unit):
-                    held.append((np.stack([fp[unit], np.full(len(unit), flag)], axis=1), keys))
-            units += int(fresh.sum())
-            if units >= FLUSH_UNITS:
-                yield from flush(held) if held else ()
-                held, units, seen = [], 0, set()
+                    held.append((fp[unit], np.full(len(unit), flag, np.uint8), keys))
+                    kept += len(keys)
+            if kept >= FLUSH_PARTS:
+                yield from flush(held)
+                held, kept, seen = [], 0, set()
         if held:
             yield from flush(held)
 
@@ -317,7 +316,7 @@ def near_pairs(blocks: DataFrame, most: int) -> DataFrame:
 
     At most ``most`` pairs per set and block; ``more`` tells whether some were left out.
     """
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_())])
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("fp")
@@ -343,9 +342,10 @@ def near_pairs(blocks: DataFrame, most: int) -> DataFrame:
         if not out_u:
             return schema.empty_table()
         u, v = np.concatenate(out_u), np.concatenate(out_v)
-        return pa.table([np.maximum(u, v), np.minimum(u, v), np.concatenate(more)], schema=schema)
+        key = np.full(len(u), table.column("key")[0].as_py())
+        return pa.table([key, np.maximum(u, v), np.minimum(u, v), np.concatenate(more)], schema=schema)
 
-    return blocks.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long, more boolean")
+    return blocks.groupBy("key", "i", "j").applyInArrow(compare, "key long, u long, v long, more boolean")
 
 
 def in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -361,7 +361,7 @@ def link_components(survivors: DataFrame, sets: DataFrame) -> DataFrame:
     """``node`` (a class) and ``component`` for every class that is linked to another."""
     keyed = scratch(survivors.select("fp", F.explode("keys").alias("key")))
     links = scratch(verified(first_pairs(keyed), sets))
-    tried = None
+    tried = left = None
     most = 8
     while True:
         components = scratch(connected_components(links))
@@ -375,6 +375,8 @@ def link_components(survivors: DataFrame, sets: DataFrame) -> DataFrame:
             F.max("component").alias("high"),
             F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("members"),
         )
+        if left is not None:  # all pairs of the other parts have been compared
+            per_key = per_key.join(left, "key", "left_semi")
         open_keys = per_key.filter("low <> high").groupBy("m", "members").agg(F.min("key").alias("key"))
         sizes = scratch(open_keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
         facts = sets.select("fp", "n", "band", "sketch")
@@ -389,7 +391,8 @@ def link_components(survivors: DataFrame, sets: DataFrame) -> DataFrame:
         new = scratch(verified(pairs, sets))
         if not new.isEmpty():
             links = links.unionByName(new)
-        if not found.filter("more").isEmpty():
+        left = scratch(found.filter("more").select("key").distinct())
+        if not left.isEmpty():
             most *= 8
             continue
         return connected_components(links) if not new.isEmpty() else components
@@ -402,7 +405,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame
     classes = scratch(
         info.filter("n > 0").groupBy("fp", "n").agg(F.min("id").alias("id"), F.first("a0").alias("a0"), F.first("a1").alias("a1"))
     )
-    shared = shared_parts(packed_parts(docs, id_col, buckets_for(size, BUCKET_TEXT)))
+    shared = shared_parts(packed_parts(docs, id_col, buckets_for(size, BUCKET_TEXT, LEAST_BUCKETS)))
     survivors = scratch(joining_parts(classes, shared))
     sets = scratch(survivor_sets(docs, survivors, id_col))
     components = link_components(survivors, sets)
