@@ -8,9 +8,9 @@ stay, and what a line is compared with does not depend on whether that other lin
 1. Equal lines are one line: its digest and its earliest place. All but the earliest go.
 2. Two near lines share their first or last half, give or take a word. A line none of whose halves occurs
    in another line has no near line; the neighbourhood is only emitted for the others.
-3. Each remaining line emits itself and every variant with one word deleted, as hashed keys. Equal variants
-   at the same position are a changed word; a variant equal to a whole line is an added or missing word. Per key only
-   the earliest line matters, so a key shared by any number of lines is one aggregate, never pairs.
+3. Each remaining line emits itself and every variant with one word deleted, as hashed keys with the position. Equal
+   variants are a changed word; a variant equal to a whole line is an added or missing word. Per key only the earliest
+   lines matter, so a key shared by any number of lines is one aggregate, never pairs.
 4. Every line keeps its earliest partners, and the edit distance to them is verified on the words.
 
 Defined results: a null text has no lines and stays null; an empty text stays empty; ties (the same document
@@ -26,30 +26,64 @@ from pyspark.sql import functions as F
 from cohortline.llm.common import scratch
 
 MIN_WORDS = 5
-SPACE = r"[\x20\x09\x0B-\x0D]+"
+# White space in a line other than one blank between two words.
+UNEVEN_SPACE = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+"
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+def spaced(line: Column) -> Column:
+    """The words of a line with one blank between them."""
+    return F.trim(F.regexp_replace(line, UNEVEN_SPACE, " "))
+
+
+def spaced_lines(text: Column) -> Column:
+    """The lines of a text, each as its words with one blank between them.
+
+    Most texts are spaced like that as they are; a search for plain strings tells so faster than a pattern.
+    """
+    uneven = text.startswith(" ") | text.endswith(" ")
+    for piece in ("  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r"):
+        uneven = uneven | text.contains(piece)
+    lines = F.split(text, "\n")
+    return F.when(uneven, F.transform(lines, spaced)).otherwise(lines)
+
+
+def word_count(line: Column) -> Column:
+    """Words of a line that ``spaced`` made."""
+    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
+def document_number(id_col: Column, text: Column) -> Column:
+    """One number that orders documents by id (null last), then by a hash of the text."""
+    spread = F.pmod(F.xxhash64(text), F.lit(1 << 32)).cast("decimal(20,0)")
+    number = F.coalesce(id_col.cast("decimal(20,0)"), F.lit((1 << 63) - 1).cast("decimal(20,0)"))
+    return (number * F.lit(1 << 32).cast("decimal(11,0)") + spread).cast("decimal(32,0)")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per line: ``place`` (which orders all lines), its words as ``line``, their ``digest``."""
+    """One row per line: ``doc`` and ``at``, and its words as ``line``."""
     text = F.col(text_col).cast("string")
-    parts = docs.select(
-        F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text")).alias("doc"),
-        F.posexplode(F.split(text, "\n")).alias("at", "line"),
-    )
-    place = F.struct("doc.none", "doc.id", "doc.text", "at")
-    return parts.select(place.alias("place"), F.array_join(words_of(F.col("line")), " ").alias("line")).withColumn(
-        "digest", F.unhex(F.md5("line"))
-    )
+    doc = document_number(F.col(id_col), text)
+    # Spaced inside the array: a projection would be computed again in every filter that is pushed below it.
+    return docs.select(doc.alias("doc"), F.posexplode(spaced_lines(text)).alias("at", "line"))
+
+
+def place_of(doc: Column, at: Column) -> Column:
+    """A number that orders all lines. A smallest decimal per group is found in a hash table, a smallest struct by sorting."""
+    return (doc * F.lit(1 << 31).cast("decimal(10,0)") + at.cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
+def digest_of(line: Column) -> Column:
+    return F.unhex(F.md5(line))
 
 
 def distinct_lines(lines: DataFrame, min_words: int) -> DataFrame:
-    """One row per different line that is long enough: ``digest``, ``place`` of the earliest, ``line``."""
-    counted = lines.filter(F.size(F.split("line", " ")) >= min_words)
-    return counted.groupBy("digest").agg(F.min_by("line", "place").alias("line"), F.min("place").alias("place"))
+    """One row per different line that is long enough.
+
+    ``line``, its number of ``words``, its ``digest``, the ``place`` of the earliest, and ``n`` occurrences.
+    """
+    counted = lines.filter(word_count(F.col("line")) >= min_words).select("line", place_of(F.col("doc"), F.col("at")).alias("place"))
+    grouped = counted.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+    return grouped.withColumns({"digest": digest_of(F.col("line")), "words": word_count(F.col("line"))})
 
 
 def with_shared_half(distinct: DataFrame) -> DataFrame:
@@ -58,47 +92,52 @@ def with_shared_half(distinct: DataFrame) -> DataFrame:
     If one word differs, the lines agree before it and after it, and the shorter of both sides is at most half of
     the line. With h = floor(n / 2) for the own length, and for one word less, the longer side covers it.
     """
-    split = F.split("line", " ")
-    n = F.size(split)
+    n = F.col("words")
     halves = []
     for length in (F.floor((n - 1) / 2), F.floor(n / 2)):
         h = length.cast("int")
-        halves.append(F.xxhash64(F.lit("first"), h, F.array_join(F.slice(split, 1, h), " ")))
-        halves.append(F.xxhash64(F.lit("last"), h, F.array_join(F.slice(split, n - h + 1, h), " ")))
-    keyed = distinct.select("digest", F.explode(F.array_distinct(F.array(*halves))).alias("half"))
+        halves.append(F.xxhash64(F.lit("first"), h, F.call_function("substring_index", F.col("line"), F.lit(" "), h)))
+        halves.append(F.xxhash64(F.lit("last"), h, F.call_function("substring_index", F.col("line"), F.lit(" "), -h)))
+    keyed = scratch(distinct.select("place", F.explode(F.array_distinct(F.array(*halves))).alias("half")))
     # Written first: a join of two plain inputs is one whose hot keys adaptive execution can split.
     met = scratch(keyed.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"))
-    found = keyed.join(met, "half", "left_semi").select("digest").distinct()
-    return distinct.join(found, "digest", "left_semi")
+    found = keyed.join(met, "half", "left_semi").select("place").distinct()
+    return distinct.select("place", "line").join(found, "place", "left_semi")
 
 
-def earliest_partners(candidates: DataFrame) -> DataFrame:
-    """The earliest lines that share a variant with a later one: ``place`` of the later, ``partner`` of the earlier."""
-    split = F.split("line", " ")
-    n = F.size(split)
+def _chain(words: Column) -> Column:
+    """Hashes of the first 0, 1, 2, ... words, each made from the one before it."""
+    start = F.array(F.xxhash64(F.lit("start")))
+    return F.aggregate(words, start, lambda made, w: F.concat(made, F.array(F.xxhash64(F.element_at(made, -1), w))))
 
-    def without(i: Column) -> Column:
-        return F.array_join(F.concat(F.slice(split, 1, i), F.slice(split, i + 2, n)), " ")
 
-    deleted = F.transform(
-        F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(without(i)).alias("key"), i.cast("int").alias("at"))
-    )
-    whole = F.array(F.struct(F.xxhash64("line").alias("key"), F.lit(-1).alias("at")))
-    variants = candidates.select("place", F.explode(F.concat(whole, deleted)).alias("v")).select("place", "v.key", "v.at")
-    # Per key: the earliest line as it is, and the earliest line for each position left out. A key that only one line
-    # has is of no use.
-    first = variants.groupBy("key", "at").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    per_key = first.groupBy("key").agg(
-        F.min(F.when(F.col("at") < 0, F.col("first"))).alias("whole"),
-        F.min(F.when(F.col("at") >= 0, F.col("first"))).alias("any"),
-        F.map_from_entries(
-            F.collect_list(F.when((F.col("at") >= 0) & (F.col("n") > 1), F.struct("at", "first")))
-        ).alias("same"),
-        F.sum("n").alias("n"),
+def earliest_partners(candidates: DataFrame) -> DataFrame:
+    """The earliest lines that share a variant with a later one: ``place`` of the later, ``partner`` of the earlier.
+
+    The key of a variant with word i left out is a hash of the words before i and the words after it, so a variant costs
+    one hash of two numbers. The line itself is listed under each split in two, where it meets the variants
+    of lines with one word more at that place.
+    """
+    words = F.split("line", " ")
+    # Beginnings by length, and ends from the whole line down to nothing.
+    split = scratch(candidates.select("place", _chain(words).alias("head"), F.reverse(_chain(F.reverse(words))).alias("tail")))
+
+    def key(i: Column, after: Column) -> Column:
+        return F.xxhash64(F.get("head", i), F.get("tail", after))
+
+    spots = F.sequence(F.lit(0), F.size("head") - 1)
+    whole = F.transform(spots, lambda i: F.struct(key(i, i).alias("key"), F.lit(True).alias("whole")))
+    left_out = F.transform(F.slice(spots, 1, F.size("head") - 1), lambda i: F.struct(key(i, i + 1).alias("key"), F.lit(False).alias("whole")))
+    variants = split.select("place", F.explode(F.concat(whole, left_out)).alias("v")).select("place", "v.key", "v.whole")
+    # Per key only the earliest whole line and the earliest line with a word left out matter.
+    per_key = variants.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(F.col("whole"), F.col("place"))).alias("first_whole"),
+        F.min(F.when(~F.col("whole"), F.col("place"))).alias("first_left_out"),
     )
-    useful = scratch(per_key.filter((F.col("n") > 1) & (F.col("whole").isNotNull() | (F.size("same") > 0))))
-    met = variants.join(useful.drop("n"), "key")
-    partners = F.when(F.col("at") < 0, F.array("any")).otherwise(F.array("whole", F.try_element_at("same", F.col("at"))))
+    useful = scratch(per_key.filter("n > 1").drop("n"))
+    met = variants.join(useful, "key")
+    partners = F.when(F.col("whole"), F.array("first_left_out")).otherwise(F.array("first_whole", "first_left_out"))
     links = met.select("place", F.explode(partners).alias("partner"))
     return links.filter(F.col("partner") < F.col("place")).distinct()
 
@@ -128,27 +167,29 @@ def near_lines(distinct: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The places of all lines that go: ``doc`` (none, id, text) and ``at``, counted from 0."""
+    """All lines that go: ``doc`` (see ``document_number``) and ``at``, counted from 0."""
     lines = lines_of(docs, id_col, text_col)
     distinct = scratch(distinct_lines(lines, min_words))
-    near = near_lines(distinct).select(F.col("place").alias("earliest"), F.lit(True).alias("near"))
-    verdict = distinct.select("digest", F.col("place").alias("earliest")).join(near, "earliest", "left")
-    long_enough = lines.filter(F.size(F.split("line", " ")) >= min_words).select("place", "digest")
-    judged = long_enough.join(verdict, "digest")
-    gone = judged.filter(F.col("near") | (F.col("place") > F.col("earliest")))
-    return gone.select(F.struct("place.none", "place.id", "place.text").alias("doc"), "place.at").distinct()
+    near = scratch(near_lines(distinct).withColumn("near", F.lit(True)))
+    # From here on only lines that occur again or are near an earlier one matter.
+    verdict = distinct.select("digest", "place", "n").join(near, "place", "left").filter("near OR n > 1")
+    verdict = scratch(verdict.select("digest", F.col("place").alias("earliest"), "near"))
+    long_enough = lines.filter(word_count(F.col("line")) >= min_words)
+    judged = long_enough.select("doc", "at", digest_of(F.col("line")).alias("digest")).join(verdict, "digest")
+    gone = judged.filter(F.col("near") | (place_of(F.col("doc"), F.col("at")) > F.col("earliest")))
+    return gone.select("doc", "at").distinct()
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that stay as text, and ``_dropped_lines`` and ``_kept_lines`` counted."""
-    gone = dropped_lines(docs, min_words, id_col, text_col).groupBy("doc").agg(F.collect_set("at").alias("_dropped_at"))
-    gone = gone.select(F.col("doc.none").alias("_n"), F.col("doc.id").alias("_i"), F.col("doc.text").alias("_t"), "_dropped_at")
+    gone = dropped_lines(docs, min_words, id_col, text_col).groupBy(F.col("doc").alias("_doc"))
+    gone = scratch(gone.agg(F.collect_set("at").alias("_dropped_at")))
     text = F.col(text_col).cast("string")
-    digest = F.xxhash64(text)
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("_i")) & (digest == F.col("_t")), "left")
+    joined = docs.join(gone, document_number(docs[id_col], text) == gone["_doc"], "left")
     parts = F.split(text, "\n")
-    stays = F.filter(parts, lambda line, i: ~F.array_contains(F.col("_dropped_at"), i))
-    kept = F.when(F.col("_dropped_at").isNull(), text).otherwise(F.array_join(stays, "\n"))
+    staying = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_dropped_at"))
+    kept_parts = F.transform(staying, lambda i: F.get(parts, i))
+    kept = F.when(F.col("_dropped_at").isNull(), text).otherwise(F.array_join(kept_parts, "\n"))
     count = F.coalesce(F.size("_dropped_at"), F.lit(0))
     return joined.withColumns(
         {
@@ -157,4 +198,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
             "_kept_lines": F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long")
             - F.when(F.col("_dropped_at").isNull(), 0).otherwise(count).cast("long"),
         }
-    ).drop("_n", "_i", "_t", "_dropped_at")
+    ).drop("_doc", "_dropped_at")
