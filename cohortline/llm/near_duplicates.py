@@ -362,7 +362,7 @@ def link_components(survivors: DataFrame, sets: DataFrame) -> DataFrame:
     keyed = scratch(survivors.select("fp", F.explode("keys").alias("key")))
     links = scratch(verified(first_pairs(keyed), sets))
     tried = left = None
-    most = 8
+    most = 1
     while True:
         components = scratch(connected_components(links))
         labelled = keyed.join(components, keyed["fp"] == components["node"], "left").select(
