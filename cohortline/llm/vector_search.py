@@ -14,7 +14,8 @@ Queries and blocks meet on (block, chunk of queries), so a task holds one block
 Defined results: vectors that are null, or hold a null or non-finite component, or have a null id, take no part; rows equal
 in id and vector count once; different vectors under one id are separate rows, and none of them is a candidate of a query with
 that id; missing components of shorter vectors are 0; ties go to the smaller id; an empty table gives an empty result.
-Components must lie within 2 ** 20 after scaling.
+Vectors of any length take part. Scores that 64-bit sums might not hold are bounded in floating point and computed in Python integers
+where they can be among the best; a scaled component or a best score beyond 64 bits is an error, as it is in SQL.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ def integer_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id`` and ``vec`` (array<int>) of the rows that take part, each once."""
     vector = F.col(vector_col)
     wide = F.transform(vector, lambda x: x.cast("double"))
-    whole = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= 1 << 12))
+    whole = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     found = rows.filter(F.col(id_col).isNotNull() & vector.isNotNull() & F.coalesce(whole, F.lit(False)))
-    scaled = F.transform(wide, lambda x: F.floor(x * 256).cast("int"))
+    too_large = F.raise_error(F.lit("a component times 256 does not fit into 64 bits")).cast("long")
+    scaled = F.transform(wide, lambda x: F.when(F.abs(x) < float(1 << 55), F.floor(x * 256)).otherwise(too_large))
     return found.select(F.col(id_col).cast("long").alias("id"), scaled.alias("vec")).distinct()
 
 
@@ -47,18 +49,24 @@ def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     """Lists of integers as rows, shorter ones filled up with 0."""
     vectors = vectors.combine_chunks()
     lengths = np.diff(vectors.offsets.to_numpy())
-    out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int32)
+    out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int64)
     out[np.arange(out.shape[1]) < lengths[:, None]] = vectors.flatten().to_numpy()
     return out
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """As 32-bit integers if all fit."""
+    fits = len(values) == 0 or (values.min(initial=0) >= -(1 << 31) and values.max(initial=0) < 1 << 31)
+    return values.astype(np.int32) if fits else values
+
+
 def build_index(vectors: DataFrame, blocks: int) -> DataFrame:
     """One row per block: ``ids``, ``values`` (rows by dimension) and, per dimension, ``postings`` by impact."""
     schema = pa.schema([("block", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("values", pa.binary()), ("postings", pa.binary())])
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        values = _matrix(table.column("vec"))
+        values = _narrow(_matrix(table.column("vec")))
         postings = np.argsort(values >> STEP_BITS, axis=0, kind="stable").T.astype(np.int32)
         row = [[table.column("block")[0].as_py()], [values.shape[1]], [pack(table.column("id").to_numpy())], [pack(values)], [pack(postings)]]
         return pa.table([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
@@ -82,6 +90,31 @@ def segments(values: np.ndarray, postings: np.ndarray) -> list[list[tuple[int, i
     return [found[size] for size in sorted(found, reverse=True)]
 
 
+def _exact_scores(values: np.ndarray, q: np.ndarray) -> list[int]:
+    wanted = q.tolist()
+    return [sum(a * b for a, b in zip(row, wanted, strict=True)) for row in values.tolist()]
+
+
+def search_long(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list:
+    """``search_block`` for components so large that sums may leave 64 bits: rows that the rounding error of floating
+    point sums cannot rule out are scored in Python integers."""
+    out: list[list] = [[], [], []]
+    wide = values.astype(np.float64)
+    for query_id, wanted in zip(query_ids, q, strict=True):
+        rows = np.flatnonzero(ids != query_id)
+        about = wide[rows] @ wanted.astype(np.float64)
+        error = (np.abs(wide[rows]) @ np.abs(wanted.astype(np.float64))) * (len(wanted) + 4) * 2.0**-51
+        if len(rows) > k:
+            left = about + error >= np.partition(about - error, len(rows) - k)[len(rows) - k]
+            rows = rows[left]
+        exact = _exact_scores(values[rows], wanted)
+        best = sorted(zip([-e for e in exact], ids[rows].tolist(), strict=True))[:k]
+        out[0].append(np.full(len(best), query_id))
+        out[1].append(np.array([i for _, i in best], np.int64))
+        out[2].append(np.array([-e for e, _ in best], np.int64))  # an error if it does not fit
+    return out
+
+
 def search_block(ids: np.ndarray, values: np.ndarray, groups: list, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list:
     """The best ``k`` rows of a block per query: arrays of query, id, score."""
     width = 1 << STEP_BITS
@@ -89,6 +122,8 @@ def search_block(ids: np.ndarray, values: np.ndarray, groups: list, query_ids: n
     q = np.zeros((len(queries), dims), np.int64)
     shared = min(dims, queries.shape[1])
     q[:, :shared] = queries[:, :shared]
+    if np.abs(q.astype(np.float64)).sum(axis=1).max(initial=0) * np.abs(values.astype(np.float64)).max(initial=0) > 1 << 58:
+        return search_long(ids, values, query_ids, q, k)
     # Twice the contribution, so that the middle of a step is an integer.
     scores = np.zeros((len(ids), len(q)), np.int64 if np.abs(q).sum(axis=1).max(initial=0) * 2 * np.abs(values).max(initial=0) > 1 << 30 else np.int32)
     doubled = np.ascontiguousarray(q.T.astype(scores.dtype))
@@ -143,7 +178,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
             return schema.empty_table()
         dims = block.column("dims")[0].as_py()
         ids = np.frombuffer(block.column("ids")[0].as_py(), np.int64)
-        values = np.frombuffer(block.column("values")[0].as_py(), np.int32).reshape(len(ids), dims)
+        packed = block.column("values")[0].as_py()
+        values = np.frombuffer(packed, np.int64 if len(packed) == 8 * len(ids) * dims else np.int32).reshape(len(ids), dims)
         postings = np.frombuffer(block.column("postings")[0].as_py(), np.int32).reshape(dims, len(ids))
         groups = segments(values, postings)
         query_ids, wanted = chunk.column("id").to_numpy(), _matrix(chunk.column("vec"))

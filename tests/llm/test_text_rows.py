@@ -287,3 +287,19 @@ def test_search_on_odd_rows(spark):
     got = vector_search.top_k(spark.createDataFrame(rows, schema), F.col("id") % 50 == 0).collect()
     assert sorted(map(tuple, got)) == [(0, 1, 6, 512 * 256), (0, 2, 7, 0), (0, 3, 1, 64 * 256 - 768 * 128)]
     assert vector_search.top_k(spark.createDataFrame([], schema), F.col("id") % 50 == 0).count() == 0
+
+
+def test_search_keeps_long_vectors(spark):
+    draw = np.random.default_rng(2)
+    for size, every in ((5_000.0, 3), (2.0**24, 7), (2.0**42, 7)):  # 64-bit sums, 64-bit components, sums beyond 2 ** 58
+        vectors = [(i, [float(x) for x in draw.normal(0, size if i % every == 3 % every else 0.5, 8)]) for i in range(300)]
+        vectors = [(i, v if every == 3 or i % 50 else [x % 1.0 for x in v]) for i, v in vectors]  # short queries, so that sums fit
+        df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+        got = vector_search.top_k(df, F.col("id") % 50 == 0).collect()
+        assert sorted(map(tuple, got)) == plain_top(vectors)
+
+
+def test_search_raises_rather_than_drops(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit into 64 bits"):
+        vector_search.top_k(df, F.col("id") % 50 == 0).collect()
