@@ -1,7 +1,7 @@
 """Quality rules and n-gram perplexity.
 
 The rules are counts on words, symbols, lines and repeated five-word windows. The language model is a character
-4-gram model with modified Kneser-Ney smoothing. Its counts cover every character of every text: tasks count,
+4-gram model with modified Kneser-Ney smoothing. Its counts cover every character of every distinct text: tasks count,
 Spark adds up. Characters fold into 64 classes (26 letters, digits, white space, punctuation, and 34 classes of all
 other characters by code point), so a model has at most 64 ** 4 entries of 12 bytes, about 200 MB, however large the
 corpus; that bound is what allows it to be broadcast. Entries are sorted by the hash of their n-gram and found
@@ -10,10 +10,12 @@ by binary search.
 A document's score is its mean negative log-probability per character, the logarithm of its perplexity. Every language has
 its own band around its median. A mean over n characters strays in proportion to 1 / sqrt(n), so the band is as wide as
 ``WIDTH`` times the spread between the quartiles of ``deviation * sqrt(n)``, over sqrt(n): wide for short documents
-and narrow for long ones. Median and quartiles come from all documents of the language that pass the base rules.
+and narrow for long ones. Median and quartiles come from the distinct texts of the language that pass the base rules, so
+copies do not narrow the band, and the spread counts as ``LEAST_SPREAD`` at least.
 
 Defined results: a null or empty text has no words, fails the base rules and has a null score; a null language
-is a language; repeated rows count as often as they occur; an empty table gives an empty result.
+is a language; every row gets a verdict, but a text counts once in the model and in the bands, however often it
+occurs; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from cohortline.llm.common import Hasher, record_batch, scratch, text_chunks, wh
 MIN_WORDS = 10
 MOST_REPEATED = 20  # percent
 WIDTH = 3.2
+LEAST_SPREAD = 0.1
 ORDER = 4
 CLASSES = 64
 SYMBOLS = b"#*$%&|<>"
@@ -76,12 +79,29 @@ def _dense(n: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.bincount(inverse, weights=values).astype(np.int64)
 
 
+def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose text hash the task has not met before."""
+    seen: set[int] = set()
+    for batch in batches:
+        fresh = []
+        for key in batch.column(TEXT_HASH).to_pylist():
+            fresh.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """``text`` and its hash, with all copies of a text in one task; a task passes on one copy of a text, so that copies do not pile up."""
+    hashed = whole_texts(docs).withColumn(TEXT_HASH, F.xxhash64("text"))
+    return hashed.mapInArrow(unseen, f"text string, {TEXT_HASH} long").repartition(TEXT_HASH)
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
-    """How often each 4-gram of character classes occurs in all texts: ``gram``, ``n``."""
+    """How often each 4-gram of character classes occurs in the distinct texts: ``gram``, ``n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**ORDER, np.int32)  # 64 MB, for all texts of the task
-        for _, offsets, data in text_chunks(batches):
+        for _, offsets, data in text_chunks(unseen(batches)):
             owner, classes = characters(offsets, data)
             np.add.at(total, grams(owner, classes, ORDER), 1)
             if total.max() > 1 << 30:
@@ -95,7 +115,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             part = found[lo : lo + 100_000]
             yield record_batch(pa.schema([("gram", pa.int64()), ("n", pa.int64())]), [part, total[part].astype(np.int64)])
 
-    counted = whole_texts(docs).mapInArrow(run, "gram long, n long")
+    counted = distinct_texts(docs).mapInArrow(run, "gram long, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -210,6 +230,7 @@ def _duplicate_lines(text: str) -> int:
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+TEXT_HASH = "_text_hash"
 
 
 def measure(docs: DataFrame, tables: list[tuple], id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
@@ -236,19 +257,20 @@ def measure(docs: DataFrame, tables: list[tuple], id_col: str = "doc_id", lang_c
             total = np.bincount(char_owner, weights=log_probability(tables, char_owner, classes), minlength=texts)
             length = np.bincount(char_owner, minlength=texts)
             entropy = pa.array(-total / np.maximum(length, 1), pa.float64(), mask=length == 0)
-            fields = [(id_col, rows.column(0).type), (lang_col, rows.column(1).type), *[(m, pa.int64()) for m in MEASURES]]
+            fields = [(id_col, rows.column(0).type), (lang_col, rows.column(1).type), (TEXT_HASH, pa.int64()), *[(m, pa.int64()) for m in MEASURES]]
             schema = pa.schema([*fields, ("n_scored", pa.int64()), ("cross_entropy", pa.float64())])
-            yield record_batch(schema, [rows.column(0), rows.column(1), *columns, length, entropy])
+            yield record_batch(schema, [rows.column(0), rows.column(1), rows.column(2), *columns, length, entropy])
 
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, lang_col)]
-    numbers = [f"{m} long" for m in MEASURES]
-    return whole_texts(docs, id_col, lang_col).mapInArrow(run, ", ".join([*kept, *numbers, "n_scored long, cross_entropy double"]))
+    numbers = [f"{m} long" for m in (TEXT_HASH, *MEASURES)]
+    hashed = docs.withColumn(TEXT_HASH, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return whole_texts(hashed, id_col, lang_col, TEXT_HASH).mapInArrow(run, ", ".join([*kept, *numbers, "n_scored long, cross_entropy double"]))
 
 
 def medians(measured: DataFrame, lang_col: str) -> DataFrame:
-    """The median cross entropy of each language; base failures do not count."""
+    """The median cross entropy of each language."""
     middle = F.percentile_approx("cross_entropy", 0.5, 10_000).alias("middle")
-    return measured.filter(~F.col("base_failed")).groupBy(F.col(lang_col).alias("_lang")).agg(middle)
+    return measured.groupBy(F.col(lang_col).alias("_lang")).agg(middle)
 
 
 def judge(docs: DataFrame, width: float = WIDTH, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
@@ -256,15 +278,16 @@ def judge(docs: DataFrame, width: float = WIDTH, id_col: str = "doc_id", lang_co
     measured = scratch(measure(docs, fit(docs), id_col, lang_col)).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     )
-    middles = scratch(medians(measured, lang_col))
-    centred = measured.join(middles, measured[lang_col].eqNullSafe(middles["_lang"]), "left").drop("_lang")
+    passing = measured.filter(~F.col("base_failed"))
+    once = scratch(passing.groupBy(lang_col, TEXT_HASH).agg(*[F.min(c).alias(c) for c in ("cross_entropy", "n_scored")]))
+    middles = scratch(medians(once, lang_col))
+    centred = once.join(middles, once[lang_col].eqNullSafe(middles["_lang"]))
     root = F.sqrt(F.greatest("n_scored", F.lit(1)))
     strays = (F.col("cross_entropy") - F.col("middle")) * root
     quartiles = F.percentile_approx(strays, [0.25, 0.75], 10_000)
-    spreads = scratch(
-        centred.filter(~F.col("base_failed")).groupBy(F.col(lang_col).alias("_lang")).agg((quartiles[1] - quartiles[0]).alias("spread"))
-    )
-    joined = centred.join(spreads, centred[lang_col].eqNullSafe(spreads["_lang"]), "left")
+    spread = F.greatest(quartiles[1] - quartiles[0], F.lit(LEAST_SPREAD))
+    bands = scratch(centred.groupBy("_lang", "middle").agg(spread.alias("spread")))
+    joined = measured.join(bands, measured[lang_col].eqNullSafe(bands["_lang"]), "left")
     reach = F.lit(float(width)) * F.col("spread") / root
     inside = F.col("cross_entropy").between(F.col("middle") - reach, F.col("middle") + reach)
     return joined.select(

@@ -222,6 +222,20 @@ def test_junk_is_rejected(spark):
     assert sum(got.values()) >= 58
 
 
+@pytest.mark.parametrize("n_copies", [150, 400])
+def test_copies_leave_the_band(spark, n_copies):
+    import random
+
+    draw = random.Random(6)
+    words = ["".join(draw.choice("aeioulnrst") for _ in range(draw.randint(2, 9))) for _ in range(400)]
+    clean = [(i, "en", " ".join(draw.choice(words) for _ in range(150))) for i in range(100)]
+    copies = [(1000 + i, "en", clean[0][2]) for i in range(n_copies)]
+    rows = spark.createDataFrame(clean + copies, "doc_id long, lang string, text string")
+    got = {r.doc_id: r.kept for r in quality_rules.judge(rows).collect()}
+    assert sum(got[i] for i, _, _ in clean) >= 95
+    assert all(got[i] for i, _, _ in copies)
+
+
 # --- importance resampling
 
 
