@@ -7,6 +7,14 @@ other characters by code point), so a model has at most 64 ** 4 entries of 12 by
 corpus; that bound is what allows it to be broadcast. Entries are sorted by the hash of their n-gram and found
 by binary search.
 
+The spelling model sees four characters and has a fixed largest size; a second model of token trigrams grows with the
+corpus. Its tokens are words, and single code points of three or more bytes (CJK, emoji). Counts, continuation counts,
+discounts and the weights of contexts are Spark aggregations and joins over hashes, nothing of it comes to the driver
+but one row of totals per order. Smoothing is interpolated Kneser-Ney with one discount per order; every occurrence is
+scored by the counts without itself, as otherwise a word that occurs once would predict itself. A text whose
+negative log-probability per token lies above the band of its language is rejected: words in random order, lists of keywords,
+digits. Low values are no objection, near copies have them.
+
 A document's score is its mean negative log-probability per character, the logarithm of its perplexity. Every language has
 its own band around its median. A mean over n characters strays in proportion to 1 / sqrt(n), so the band is as wide as
 ``WIDTH`` times the spread between the quartiles of ``deviation * sqrt(n)``, over sqrt(n): wide for short documents
@@ -24,18 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import Hasher, record_batch, scratch, text_chunks, whole_texts
+from cohortline.llm.common import Hasher, mix, record_batch, scratch, text_chunks, whole_texts
 
 MIN_WORDS = 10
 MOST_REPEATED = 20  # percent
 WIDTH = 3.2
 LEAST_SPREAD = 0.1
+LEAST_WORD_SPREAD = 0.5  # a text may have about five times the middle word perplexity of its language
 ORDER = 4
 CLASSES = 64
 SYMBOLS = b"#*$%&|<>"
+FLUSH_TOKENS = 1 << 20  # n-grams are put together within so many tokens of a task
 _U64 = np.uint64
 
 
@@ -208,6 +218,103 @@ def fit(docs: DataFrame) -> list[tuple]:
     return kneser_ney(table.column("gram").to_numpy(), table.column("n").to_numpy())
 
 
+def tokens(hasher: Hasher, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of each token: a word, or a code point of three or more bytes."""
+    if len(data) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hasher.powers(len(data))
+    lead = (data & 0xC0) != 0x80
+    wide = (data[lead] >= 0xE0)[np.cumsum(lead) - 1]
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    word = ~hasher.space[data]
+    joined = np.zeros(len(data), bool)  # to the byte before
+    joined[1:] = word[:-1] & (owner[1:] == owner[:-1]) & ~(lead[1:] & (wide[1:] | wide[:-1]))
+    starts = np.flatnonzero(word & ~joined)
+    if len(starts) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sums = np.add.reduceat(hasher.table[data] * hasher.up[: len(data)], starts)
+    return owner[starts], mix(sums * hasher.down[starts]).view(np.int64)
+
+
+def trigrams(docs: DataFrame) -> DataFrame:
+    """Token trigrams of the distinct texts, put together within a task: hashes ``u``, ``v``, ``w`` (0 before the start) and
+    the hash of the text of every occurrence."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("w", pa.int64()), ("texts", pa.list_(pa.int64()))])
+
+    def flush(parts: list) -> Iterator[pa.RecordBatch]:
+        u, v, w, text = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((w, v, u))
+        u, v, w, text = u[order], v[order], w[order], text[order]
+        first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
+        ends = np.r_[first, len(u)]
+        for lo in range(0, len(first), 50_000):
+            at, edges = first[lo : lo + 50_000], ends[lo : lo + 50_001]
+            lists = pa.ListArray.from_arrays(pa.array((edges - edges[0]).astype(np.int32)), pa.array(text[edges[0] : edges[-1]]))
+            yield record_batch(schema, [u[at], v[at], w[at], lists])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, parts, size = Hasher(lower=False), [], 0
+        for rows, offsets, data in text_chunks(unseen(batches)):
+            owner, w = tokens(hasher, offsets, data)
+            if len(w) == 0:
+                continue
+            before = [np.zeros(len(w), np.int64) for _ in range(2)]
+            for back, column in enumerate(before, 1):
+                column[back:] = np.where(owner[back:] == owner[:-back], w[:-back], 0)
+            parts.append((before[1], before[0], w, rows.column(TEXT_HASH).to_numpy()[owner]))
+            size += len(w)
+            if size >= FLUSH_TOKENS:
+                yield from flush(parts)
+                parts, size = [], 0
+        if parts:
+            yield from flush(parts)
+
+    return distinct_texts(docs).mapInArrow(run, "u long, v long, w long, texts array<long>")
+
+
+def _discount(counts: DataFrame) -> float:
+    """Absolute discount from how many n-grams occur once and twice."""
+    once, twice = counts.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    return min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
+
+
+def _contexts(counts: DataFrame, *keys: str) -> DataFrame:
+    return counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.count("*").alias("types"))
+
+
+def _smoothed(n: Column, total: Column, types: Column, discount: float, below: Column) -> Column:
+    inside = (F.greatest(n - discount, F.lit(0.0)) + discount * types * below) / total
+    return F.when(total > 0, inside).otherwise(below)
+
+
+def token_scores(docs: DataFrame) -> DataFrame:
+    """Per text hash, the mean negative log-probability of its tokens (``word_entropy``) and their number (``n_tokens``)."""
+    gathered = scratch(trigrams(docs))
+    three = scratch(gathered.groupBy("u", "v", "w").agg(F.sum(F.size("texts").cast("long")).alias("n")))
+    two = scratch(three.groupBy("v", "w").agg(F.count("*").alias("n")))
+    one = scratch(two.groupBy("w").agg(F.count("*").alias("n")))
+    d1, d2, d3 = _discount(one), _discount(two), _discount(three)
+    every = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def unigram(n: Column) -> Column:  # over the vocabulary, what discounts free is dealt evenly
+        return (F.greatest(n - d1, F.lit(0.0)) + d1) / max(every, 1)
+
+    n, total, types, of_one = F.col("n"), F.col("total"), F.col("types"), F.col("of_one")
+    last = (n == 1).cast("int")
+    known = two.join(_contexts(two, "v"), "v").join(one.select("w", n.alias("of_one")), "w")
+    known = known.select(
+        "v",
+        "w",
+        _smoothed(n, total, types, d2, unigram(of_one)).alias("below"),
+        _smoothed(n - 1, total - 1, types - last, d2, unigram(of_one - last)).alias("below_without"),
+    )
+    below = F.when(n == 1, F.col("below_without")).otherwise(F.col("below"))
+    scored = three.join(_contexts(three, "u", "v"), ["u", "v"]).join(scratch(known), ["v", "w"])
+    scored = scored.select("u", "v", "w", F.log(_smoothed(n - 1, total - 1, types - last, d3, below)).alias("log"))
+    each = gathered.join(scored, ["u", "v", "w"]).select("log", F.explode("texts").alias(TEXT_HASH))
+    return each.groupBy(TEXT_HASH).agg((-F.avg("log")).alias("word_entropy"), F.count("*").alias("n_tokens"))
+
+
 def _repeated_words(hasher: Hasher, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per text, words inside five-word windows that occur at least twice in it."""
     shingles, valid = hasher.shingles(hashes, first, short=False)
@@ -273,8 +380,23 @@ def medians(measured: DataFrame, lang_col: str) -> DataFrame:
     return measured.groupBy(F.col(lang_col).alias("_lang")).agg(middle)
 
 
+def _word_bands(once: DataFrame, lang_col: str) -> DataFrame:
+    """Per language the median word entropy, the spread between its quartiles, and that of strays times the root of the length.
+
+    Texts on different subjects differ however long they are, so the band does not shrink below the first spread.
+    """
+    quartiles = F.percentile_approx("word_entropy", [0.25, 0.5, 0.75], 10_000)
+    middles = once.groupBy(F.col(lang_col).alias("_word_lang")).agg(
+        quartiles[1].alias("word_middle"), F.greatest(quartiles[2] - quartiles[0], F.lit(LEAST_WORD_SPREAD)).alias("word_spread")
+    )
+    centred = once.join(middles, once[lang_col].eqNullSafe(middles["_word_lang"]))
+    strays = F.percentile_approx((F.col("word_entropy") - F.col("word_middle")) * F.sqrt("n_tokens"), [0.25, 0.75], 10_000)
+    return centred.groupBy("_word_lang", "word_middle", "word_spread").agg((strays[1] - strays[0]).alias("word_stray"))
+
+
 def judge(docs: DataFrame, width: float = WIDTH, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """Measures, ``base_failed``, ``perplexity``, the band of the language at this length, and ``kept`` per document."""
+    """Measures, ``base_failed``, ``perplexity`` and ``word_perplexity``, the bands of the language at this length, and
+    ``kept`` per document."""
     measured = scratch(measure(docs, fit(docs), id_col, lang_col)).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     )
@@ -287,9 +409,14 @@ def judge(docs: DataFrame, width: float = WIDTH, id_col: str = "doc_id", lang_co
     quartiles = F.percentile_approx(strays, [0.25, 0.75], 10_000)
     spread = F.greatest(quartiles[1] - quartiles[0], F.lit(LEAST_SPREAD))
     bands = scratch(centred.groupBy("_lang", "middle").agg(spread.alias("spread")))
+    token_scored = scratch(token_scores(docs))
+    word_bands = scratch(_word_bands(once.join(token_scored, TEXT_HASH), lang_col))
+    measured = measured.join(token_scored, TEXT_HASH, "left")
     joined = measured.join(bands, measured[lang_col].eqNullSafe(bands["_lang"]), "left")
+    joined = joined.join(word_bands, joined[lang_col].eqNullSafe(word_bands["_word_lang"]), "left")
+    most = F.col("word_middle") + width * F.greatest("word_spread", F.col("word_stray") / F.sqrt("n_tokens"))
     reach = F.lit(float(width)) * F.col("spread") / root
-    inside = F.col("cross_entropy").between(F.col("middle") - reach, F.col("middle") + reach)
+    inside = F.col("cross_entropy").between(F.col("middle") - reach, F.col("middle") + reach) & (F.col("word_entropy") <= most)
     return joined.select(
         id_col,
         *MEASURES,
@@ -298,4 +425,6 @@ def judge(docs: DataFrame, width: float = WIDTH, id_col: str = "doc_id", lang_co
         F.exp("cross_entropy").alias("perplexity"),
         F.exp(F.col("middle") - reach).alias("lowest_perplexity"),
         F.exp(F.col("middle") + reach).alias("highest_perplexity"),
+        F.exp("word_entropy").alias("word_perplexity"),
+        F.exp(most).alias("highest_word_perplexity"),
     )

@@ -236,6 +236,40 @@ def test_copies_leave_the_band(spark, n_copies):
     assert all(got[i] for i, _, _ in copies)
 
 
+def test_words_in_random_order_are_rejected(spark):
+    import random
+
+    draw = random.Random(8)
+    # Equal ends, so that four characters say nothing about the order of words.
+    stems = ["tala" + "".join(draw.choice("aeioulnrst") for _ in range(4)) + "nana" for _ in range(300)]
+    after = {w: draw.sample(stems, 4) for w in stems}
+
+    def walk(n):
+        out = [draw.choice(stems)]
+        while len(out) < n:
+            out.append(draw.choice(after[out[-1]]))
+        return out
+
+    clean = [walk(draw.randint(150, 250)) for _ in range(200)]
+    salad = [draw.sample(words, len(words)) for words in clean[:8]]
+    rows = [(i, "en", " ".join(words)) for i, words in enumerate(clean + salad)]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert sum(got[i] for i in range(200)) >= 190
+    assert not any(got[i] for i in range(200, 208))
+
+
+def test_tokens_are_words_and_wide_code_points():
+    hasher = quality_rules.Hasher(lower=False)
+
+    def found(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return quality_rules.tokens(hasher, np.array([0, len(data)]), data)[1].tolist()
+
+    assert found("日本 é1") == found("日") + found("本") + found("é1")
+    assert found("ab日c d") == found("ab") + found("日") + found("c") + found("d")
+    assert len(set(found("日月火水木 1 2 12"))) == 8
+
+
 # --- importance resampling
 
 
