@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.llm.common import Hasher, buckets_for, mix, pack, record_batch, scratch, text_bytes, text_chunks, whole_texts
@@ -114,8 +114,12 @@ def memberships(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return band, above
 
 
+def text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
 def describe(docs: DataFrame, id_col: str) -> DataFrame:
-    """Per document: ``id``, ``n`` shingles, ``fp`` of the set, non-empty parts ``a0`` in its band and ``a1`` in the next."""
+    """Per document: ``id``, ``text_hash``, ``n`` shingles, ``fp`` of the set, non-empty parts ``a0`` in its band and ``a1`` in the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
@@ -124,12 +128,12 @@ def describe(docs: DataFrame, id_col: str) -> DataFrame:
             owner, shingles = distinct_shingles(hasher, offsets, data)
             n, fp = fingerprints(owner, shingles, texts)
             a = [np.bincount(parts(owner, shingles, m)[0], minlength=texts) for m in memberships(n)]
-            schema = pa.schema([("id", rows.column(0).type), *[(c, pa.int64()) for c in ("n", "fp", "a0", "a1")]])
-            yield record_batch(schema, [rows.column(0), n, fp, *a])
+            schema = pa.schema([("id", rows.column(0).type), *[(c, pa.int64()) for c in ("text_hash", "n", "fp", "a0", "a1")]])
+            yield record_batch(schema, [rows.column(0), rows.column(1), n, fp, *a])
 
     kept = docs.schema[id_col].dataType.simpleString()
-    texts = whole_texts(docs, id_col).withColumnRenamed(id_col, "id")
-    return texts.mapInArrow(run, f"id {kept}, n long, fp long, a0 long, a1 long")
+    hashed = docs.select(F.col(id_col).alias("id"), text_hash(docs).alias("text_hash"), "text")
+    return whole_texts(hashed, "id", "text_hash").mapInArrow(run, f"id {kept}, text_hash long, n long, fp long, a0 long, a1 long")
 
 
 def packed_parts(docs: DataFrame, id_col: str, buckets: int) -> DataFrame:
@@ -399,7 +403,7 @@ def link_components(survivors: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document: ``id``, ``n``, ``fp`` of its set and ``component_id``, the smallest id reachable by links."""
+    """Per document: ``id``, ``text_hash``, ``n``, ``fp`` of its set, ``component`` and ``component_id``, the smallest id reachable by links."""
     size = text_bytes(docs)
     info = scratch(describe(docs, id_col))
     classes = scratch(
@@ -413,9 +417,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame
         "fp", "n", "id", F.coalesce("component", "fp").alias("component")
     )
     smallest = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = labelled.join(smallest, "component").select(F.col("fp").alias("_fp"), F.col("n").alias("_n"), "component_id")
+    named = labelled.join(smallest, "component").select(F.col("fp").alias("_fp"), F.col("n").alias("_n"), "component", "component_id")
     out = info.join(named, (info["fp"] == named["_fp"]) & (info["n"] == named["_n"]), "left")
-    return out.select("id", "n", "fp", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "text_hash", "n", "fp", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -427,8 +431,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without those that have an earlier near duplicate; documents without shingles all stay.
 
-    Of several equal rows under the smallest id of a component, all stay; a component of null ids stays whole.
+    The first of a component is the document with the smallest id, null ids last, and of these the one with the smallest
+    hash of its text. Documents are judged by id and text, so different texts under one id have their own verdicts. Of
+    several rows equal in id and text, all stay if one does.
     """
-    found = near_duplicate_classes(docs, id_col)
-    gone = found.filter((F.col("n") > 0) & (F.col("component_id") < F.col("id"))).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    found = scratch(near_duplicate_classes(docs, id_col).filter("n > 0"))
+    order = F.struct(F.col("id").isNull(), "id", "text_hash")
+    first = found.groupBy("component").agg(F.min(order).alias("first"))
+    gone = found.join(first, "component").filter(order > F.col("first")).select(F.col("id").alias("_gone"), F.col("text_hash").alias("_gone_text"))
+    same = docs[id_col].eqNullSafe(F.col("_gone")) & (text_hash(docs) == F.col("_gone_text"))
+    return docs.join(gone.distinct(), same, "left_anti")

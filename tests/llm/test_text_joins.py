@@ -76,6 +76,16 @@ def test_keep_first_keeps_columns_and_strangers(spark):
     assert ids == sorted(d for d, t in texts() if d is not None and (want[d][1] == d or not shingles(t)))
 
 
+def test_keep_first_judges_by_id_and_text(spark):
+    one, two, three = (" ".join(f"{name}{i}" for i in range(60)) for name in ("a", "b", "c"))
+    rows = [(1, one), (2, one), (2, two), (None, one), (None, three), (None, three + " tail"), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in near_duplicates.keep_first_of_each(docs).collect()}
+    thirds = kept & {(None, three), (None, three + " tail")}
+    assert len(thirds) == 1
+    assert kept - thirds == {(1, one), (2, two), (None, None), (3, "")}
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(200, 260)] + [(5, 9), (9, 7), (300, 5), (7, 7)]
     df = spark.createDataFrame(edges, "u long, v long")
