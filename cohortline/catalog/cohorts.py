@@ -190,7 +190,7 @@ WHERE s.min_offset <= {10 * DAY} AND s.max_offset - s.min_offset >= {10 * DAY}""
 )
 def reading_position_cohort(spark, folder):
     return pressure_cohort(
-        pressures(spark, folder), "user_id", "off", window=10 * DAY, min_readings=22, by_position=True
+        pressures(spark, folder), "user_id", "off", window=10 * DAY, min_readings=22, by_position=True, ties=["event_id"]
     )
 
 

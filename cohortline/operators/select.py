@@ -122,19 +122,26 @@ def reading_span(df: DataFrame, keys: Sequence[str], time: str, values: Sequence
     )
 
 
-def reading_ordinals(df: DataFrame, keys: Sequence[str], time: str, values: Sequence[str]) -> DataFrame:
+def reading_ordinals(
+    df: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], ties: Sequence[str] = ()
+) -> DataFrame:
     """Ordinal, among all rows in time order, of the first and of the last row with any value present.
 
-    Counts times up to the two instead of numbering every row, so nothing is sorted per key. Rows of one key
-    and time count once.
+    Every row counts, rows of one time too; ``ties`` order them, and without it a row stands behind all rows of its
+    time. Counts rows up to the two instead of numbering every row, so nothing is sorted per key.
     """
-    ends = reading_span(df, keys, time, values)
+    place = F.struct(*[F.col(c) for c in (time, *ties)])
+    placed = df.filter(F.col(time).isNotNull()).select(
+        *keys, place.alias("_place"), F.coalesce(*[F.col(v) for v in values]).isNotNull().alias("_present")
+    )
+    at = F.when(F.col("_present"), F.col("_place"))
+    ends = placed.groupBy(*keys).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
     return (
-        lookup_join(df.select(*keys, time).distinct(), ends, keys)
+        lookup_join(placed, ends.filter(F.col("_first").isNotNull()), keys)
         .groupBy(*keys)
         .agg(
-            F.count(F.when(F.col(time) <= F.col("min_offset"), 1)).alias("min_pos"),
-            F.count(F.when(F.col(time) <= F.col("max_offset"), 1)).alias("max_pos"),
+            F.count_if(F.col("_place") <= F.col("_first")).alias("min_pos"),
+            F.count_if(F.col("_place") <= F.col("_last")).alias("max_pos"),
         )
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +48,14 @@ def pressure_cohort(
     min_readings: int = 12,
     span_only: bool = False,
     by_position: bool = False,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Stays whose readings start in the first window, last at least that long, number enough in it,
     and include a mean or a full systolic/diastolic pair there.
 
     ``span_only`` applies the first criterion alone. ``by_position`` tests the ordinal of the last
-    present reading among all rows up to the window's end instead of counting present ones.
+    present reading among all rows up to the window's end instead of counting present ones; ``ties`` order rows of
+    one time.
     """
     spans = pressure_spans(readings, key, time, systolic, diastolic, mean, window)
     lasting = (F.col("min_offset") <= window) & (F.col("max_offset") - F.col("min_offset") >= window)
@@ -60,7 +64,7 @@ def pressure_cohort(
     usable = spans.filter(lasting & (F.col("usable") == 1))
     if by_position:
         early = readings.filter(F.col(time) <= window)
-        enough = reading_ordinals(early, [key], time, [systolic, mean]).filter(F.col("max_pos") >= min_readings)
+        enough = reading_ordinals(early, [key], time, [systolic, mean], ties).filter(F.col("max_pos") >= min_readings)
         return restrict(usable, enough, key).select(key, "min_offset", "max_offset")
     return usable.filter(F.col("n_early") >= min_readings).select(key, "min_offset", "max_offset")
 

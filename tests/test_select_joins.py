@@ -35,6 +35,13 @@ def test_reading_span_and_ordinals(spark, rows):
     assert rows(select.reading_ordinals(df, ["k"], "t", ["v"])) == [(1, 2, 4)]
 
 
+def test_ordinals_count_every_row_of_one_time(spark, rows):
+    data = [(1, 0, None, 1), (1, 0, 1.0, 2), (1, 0, None, 3), (1, 5, None, 4), (1, 7, 2.0, 5), (1, 7, None, 6), (1, 8, None, 7), (1, None, 9.0, 8)]
+    df = spark.createDataFrame(data, "k long, t long, v double, i long")
+    assert rows(select.reading_ordinals(df, ["k"], "t", ["v"], ["i"])) == [(1, 2, 5)]
+    assert rows(select.reading_ordinals(df, ["k"], "t", ["v"])) == [(1, 3, 6)]
+
+
 def test_exclude_with_null_in_list(spark, rows):
     df = spark.createDataFrame([(1,), (2,), (3,)], "k long")
     listed = spark.createDataFrame([(2,), (None,)], "k long")

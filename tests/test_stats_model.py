@@ -138,7 +138,7 @@ def test_smooth_logit_recovers_a_curve(spark):
 def test_curve_slope_and_plateau_bounds(spark, rows):
     df = spark.createDataFrame([(1.0, 0.10), (1.4, 0.9), (2.0, 0.20), (4.0, 0.20), (5.0, 0.10)], "x double, y double")
     slopes = model.curve_slope(df, "x", "y")
-    assert [(a, round(b, 9)) for a, b in rows(slopes)] == [(1.0, 10.0), (2.0, 0.0), (4.0, -10.0)]
+    assert [(a, r, round(b, 9)) for a, r, b in rows(slopes)] == [(1.0, 2.0, 10.0), (2.0, 4.0, 0.0), (4.0, 5.0, -10.0)]
     assert rows(model.plateau(slopes, 0.1, 1.0, 4.0)) == [(2.0, 2.0)]
     assert rows(model.plateau(slopes, 0.1, 2.0, 4.0)) == [(None, None)]
 
