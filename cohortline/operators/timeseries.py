@@ -161,34 +161,78 @@ class Trailing:
     current: bool = False
 
 
-def _combine(kind: str, col: Column) -> Column:
-    return F.sum(col) if kind == "sum" else F.min(col)
-
-
 def trailing_agg(df: DataFrame, key: str, time: str, value: str, windows: Sequence[Trailing]) -> DataFrame:
     """Every row with its trailing-window aggregates, NULL where the window is empty or the key or time is NULL.
 
-    ``time`` is a long. RANGE frames replace a range self-join, whose work grows with the square of the readings
-    per key. The time axis is cut into tiles as long as the longest look-back: a row's windows reach no further than the
-    tile before its own, so each row also stands in the next tile, as context only. A task sorts the readings of
-    one key within two look-backs, however long the key's history is.
+    ``time`` is a long. A range self-join or a sliding frame does work that grows with the square of the readings in a
+    look-back. Here every row is aggregated twice per look-back, however dense the readings are: time is cut
+    into cells of one look-back, so a window is the end of the cell before and the beginning of its own, and both are
+    running aggregates (``_with_look_back``).
+
+    Rows are dealt once, by key and tile of the longest look-back. Each row also stands in the next tile, as context;
+    shorter look-backs use what of it they reach. A task sorts the readings of one key within two look-backs.
     """
-    reach = max(w.lookback for w in windows)
+    look_backs = sorted({w.lookback for w in windows}, reverse=True)
+    width = look_backs[0] + 1
     placed = F.col(key).isNotNull() & F.col(time).isNotNull()
-    tile = floor_div(F.col(time), reach + 1)
+    at = floor_div(F.col(time), width)
     # Rows without a place have no windows; a hash of the row spreads them.
-    own = F.struct(F.when(placed, tile).otherwise(F.xxhash64(*df.columns)).alias("at"), F.lit(False).alias("context"))
-    after = F.struct((tile + 1).alias("at"), F.lit(True).alias("context"))
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))
+    own = F.struct(F.when(placed, at).otherwise(spread).alias("at"), F.lit(False).alias("context"))
+    after = F.struct((at + 1).alias("at"), F.lit(True).alias("context"))
     copies = F.when(placed, F.array(own, after)).otherwise(F.array(own))
-    tiled = df.withColumn("_tile", F.explode(copies))
-    ordered = Window.partitionBy(key, F.col("_tile.at")).orderBy(time)
-    framed = {
-        w.name: F.when(
-            placed,
-            _combine(w.agg, F.col(time if w.agg == "min_time" else value)).over(
-                ordered.rangeBetween(-w.lookback, 0 if w.current else -1)
-            ),
-        )
-        for w in windows
-    }
-    return tiled.withColumns(framed).filter(~F.col("_tile.context")).drop("_tile")
+    tiled = df.withColumn("_copy", F.explode(copies)).withColumns({"_tile": F.col("_copy.at"), "_context": F.col("_copy.context")})
+    out = tiled.drop("_copy").repartition(F.col(key), F.col("_tile"))
+    for reach in look_backs:
+        out = out.filter(~F.col("_context") | (F.col(time) >= F.col("_tile") * width - reach))
+        at_hand = [w for w in windows if w.lookback == reach]
+        out = _with_look_back(out, key, time, value, at_hand, width, last=reach == look_backs[-1])
+    return out.select(*df.columns, *[F.when(placed, F.col(w.name)).alias(w.name) for w in windows])
+
+
+def _with_look_back(
+    tiled: DataFrame, key: str, time: str, value: str, windows: Sequence[Trailing], width: int, last: bool
+) -> DataFrame:
+    """The windows of one look-back. After the last one context rows are no longer needed.
+
+    The part of a window in its own cell runs forwards in time. For the part in the cell before, each row sends a
+    copy into the next cell at its own time plus the look-back: the copies at or after a row's time are the rows that
+    its window still reaches, so that part is a running aggregate backwards in time. Copies come first among equals. Neither
+    frame is ever replayed, as both begin at the first row of a cell.
+    """
+    reach = windows[0].lookback
+    t = F.col(time)
+    cell = floor_div(t, reach + 1)
+    forwards = Window.partitionBy(key, "_tile", "_cell").orderBy(time)
+    out = tiled.withColumn("_cell", cell)
+    out = out.withColumns(
+        {
+            f"_in_{i}": _total(w, time, value).over(forwards.rangeBetween(Window.unboundedPreceding, 0 if w.current else -1))
+            for i, w in enumerate(windows)
+        }
+    )
+    stays = F.struct(F.col("_cell").alias("cell"), t.alias("at"), F.lit(False).alias("sent"))
+    sent = F.struct((F.col("_cell") + 1).alias("cell"), (t + reach).alias("at"), F.lit(True).alias("sent"))
+    reaches = F.col("_context") | ((F.col("_cell") + 1) * (reach + 1) < (F.col("_tile") + 1) * width)
+    kept = ~F.col("_context") if last else F.lit(True)
+    copies = F.array_compact(F.array(F.when(kept, stays), F.when(reaches, sent)))
+    out = out.withColumn("_copy", F.explode(copies)).withColumns({"_cell": F.col("_copy.cell"), "_sent": F.col("_copy.sent")})
+    backwards = (
+        Window.partitionBy(key, "_tile", "_cell")
+        .orderBy(F.col("_copy.at").desc(), F.col("_sent").desc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    out = out.withColumns({f"_before_{i}": _total(w, time, value, F.col("_sent")).over(backwards) for i, w in enumerate(windows)})
+    both = {}
+    for i, w in enumerate(windows):
+        here, before = F.col(f"_in_{i}"), F.col(f"_before_{i}")
+        both[w.name] = F.coalesce(here + before, here, before) if w.agg == "sum" else F.least(here, before)
+    made = ["_cell", "_copy", "_sent", *[f"{part}_{i}" for part in ("_in", "_before") for i in range(len(windows))]]
+    return out.filter(~F.col("_sent")).withColumns(both).drop(*made)
+
+
+def _total(w: Trailing, time: str, value: str, only: Column | None = None) -> Column:
+    """Sum or minimum as the window wants it, over the rows that count."""
+    col = F.col(time if w.agg == "min_time" else value)
+    col = col if only is None else F.when(only, col)
+    return F.sum(col) if w.agg == "sum" else F.min(col)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,14 +94,36 @@ def test_trailing_agg_against_brute_force(spark, rows):
 
 
 def test_trailing_agg_bounds_what_a_task_sorts(spark):
-    """20,000 readings of one key a quarter of an hour apart: no window group exceeds two look-backs."""
-    df = spark.range(20_000).select(F.lit(1).alias("k"), (F.col("id") * 15).alias("t"), F.lit(1.0).alias("v"))
-    out = trailing_agg(df, "k", "t", "v", [Trailing("s", "sum", 24 * 60, True)])
+    """20,000 readings of one key a quarter of an hour apart: rows are dealt once, by key and tile of one look-back."""
+    df = spark.range(20_000).select((F.col("id") % 1).alias("k"), (F.col("id") * 15).alias("t"), F.lit(1.0).alias("v"))
+    out = trailing_agg(df, "k", "t", "v", [Trailing("s", "sum", 24 * 60, True), Trailing("m", "min", 60)])
     assert out.agg(F.max("s")).first()[0] == 97.0
-    tiles = out.groupBy(F.floor(F.col("t") / (24 * 60 + 1))).count()
-    assert 2 * tiles.agg(F.max("count")).first()[0] <= 2 * 97
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "_tile" in plan and "Window" in plan
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, (\w+)#", plan) == [("k", "_tile")]
+
+
+def test_no_trailing_frame_is_replayed(spark):
+    """Every frame begins at the first row of its cell, so each row enters an aggregate once."""
+    df = spark.range(10).select((F.col("id") % 1).alias("k"), F.col("id").alias("t"), F.col("id").alias("v"))
+    windows = [Trailing("a", "min", 7), Trailing("b", "sum", 7, True), Trailing("c", "min_time", 3, True)]
+    plan = trailing_agg(df, "k", "t", "v", windows)._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+), ([^)]+\(?\)?)\)", plan)
+    assert frames and all(begin == "unboundedpreceding$()" for _, begin, _ in frames)
+
+
+def test_dense_readings_take_linear_time(spark):
+    """Four times the readings in a look-back must not take ten times as long (16 if frames were replayed)."""
+    import time
+
+    def seconds(n):
+        df = spark.range(0, n, 1, 1).select((F.col("id") % 1).alias("k"), F.col("id").alias("t"), (F.col("id") % 101).cast("double").alias("v"))
+        out = trailing_agg(df, "k", "t", "v", [Trailing("s", "sum", n, True), Trailing("m", "min", n)])
+        begin = time.perf_counter()
+        assert out.agg(F.max("s")).first()[0] == df.agg(F.sum("v")).first()[0]
+        return time.perf_counter() - begin
+
+    seconds(1_000)
+    assert seconds(160_000) < 5 * max(seconds(40_000), 0.4)
 
 
 @pytest.mark.parametrize("by", [["k"], []])
