@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,7 +41,7 @@ def merge_intervals(
     """
     keys = list(keys)
     df = df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end"))
-    cold, hot = split_hot(df, keys, hot_rows, _lo=F.min("start"), _hi=F.max("start"))
+    cold, hot = split_hot(df, keys, hot_rows)
     merged = _islands(cold, keys, mode)
     if hot is not None:
         merged = merged.unionByName(_islands_in_tiles(hot, keys, mode))
@@ -75,25 +76,18 @@ def _close(df: DataFrame, by: list[str], mode: str) -> DataFrame:
 
 
 def _islands_in_tiles(hot: DataFrame, keys: list[str], mode: str) -> DataFrame:
-    """The same for keys too large for one task: a two-level scan over tiles of the time axis.
+    """The same for keys too large for one task: a two-level scan over tiles of about equally many starts.
 
     Intervals with one start act like the longest of them, so they are reduced first. Then each tile
     reports how far it reaches, a scan over the tiles tells every tile what came before it, and the
-    rows of a tile are numbered on their own. A hot key has about ``8 * _n / _limit`` tiles; the frames with
-    one row per tile are written, so their size decides how they are joined.
+    rows of a tile are numbered on their own. There is one row per tile in the frames joined back; they are
+    written, so their size decides how they are joined.
     """
-    pieces = F.ceil(F.col("_n") * 8 / F.col("_limit"))
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / pieces, F.lit(1e-9))
-    tiled = (
-        hot.withColumn("_tile", F.least(F.floor((F.col("start") - F.col("_lo")) / width), pieces).cast("long"))
-        .groupBy(*keys, "_tile", "start")
-        .agg(F.max("end").alias("end"))
-    )
     by = [*keys, "_tile"]
     earlier = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     carry = F.max("_r") if mode == "union" else F.last("_r")
-    tiled = cut_lineage(tiled)
-    reach = cut_lineage(tiled.groupBy(*by).agg(_reach(mode).alias("_r")).select(*by, carry.over(earlier).alias("_carry")))
+    tiled, reached = equal_tiles(hot, keys, mode)
+    reach = cut_lineage(reached.select(*by, carry.over(earlier).alias("_carry")))
 
     in_tile = Window.partitionBy(*by).orderBy("start", "end")
     here = _reach_before(mode, in_tile)
@@ -113,6 +107,31 @@ def _islands_in_tiles(hot: DataFrame, keys: list[str], mode: str) -> DataFrame:
     return _close(numbered, [*keys, "_island"], mode).drop("_island")
 
 
+# A hot key's rows are dealt to this many tiles per task-sized piece.
+TILES_PER_PIECE = 8
+
+
+def equal_tiles(hot: DataFrame, keys: Sequence[str], mode: str = "union") -> tuple[DataFrame, DataFrame]:
+    """One interval per key and start in tiles of about equal row counts, and one row ``_rows, _r`` (how far it reaches) per tile.
+
+    The borders come from a rank sketch of (key, start): the sample that a range partitioning draws. They depend on how
+    many starts lie where and not on the span of time, so one far-off start changes nothing. The counts are checked:
+    if a tile holds more than a piece of ``_limit`` rows, the rows are dealt again to twice as many. What was dealt
+    is written, so a task that runs again finds its tile as it was.
+    """
+    longest = cut_lineage(hot.groupBy(*keys, "start", "_limit").agg(F.max("end").alias("end")))
+    rows, limit = longest.agg(F.count(F.lit(1)), F.max("_limit")).first()
+    pieces = max(1, math.ceil(TILES_PER_PIECE * (rows or 0) / (limit or 1)))
+    while True:
+        dealt = longest.drop("_limit").repartitionByRange(pieces, *keys, "start")
+        tiled = cut_lineage(dealt.withColumn("_tile", F.spark_partition_id()))
+        reached = cut_lineage(tiled.groupBy(*keys, "_tile").agg(F.count(F.lit(1)).alias("_rows"), _reach(mode).alias("_r")))
+        largest = reached.agg(F.max("_rows")).first()[0]
+        if largest is None or largest <= max(limit, 1) or pieces >= rows:
+            return tiled, reached
+        pieces = min(2 * pieces, rows)
+
+
 def covered_time(merged: DataFrame, keys: Sequence[str], horizons: Mapping[str, float]) -> DataFrame:
     """Covered time up to each horizon: intervals starting by then, cut at the horizon, summed."""
     cuts = [

@@ -7,6 +7,7 @@ from cohortline.operators.intervals import (
     clean_intervals,
     clipped_duration,
     covered_time,
+    equal_tiles,
     inverted_intervals,
     merge_intervals,
 )
@@ -74,3 +75,24 @@ def test_clipped_duration(spark, rows):
     clipped = rows(clipped_duration(df, ["k"], F.col("s"), F.col("e"), {"d": 24.0}, clip_start=True))
     assert clipped[0] == (1, 3.0 + 14.0, 2)
     assert got[1] == (2, 23.0, 1)  # an open end runs to the horizon
+
+
+@pytest.mark.parametrize("mode", ["union", "last_end"])
+def test_tiles_hold_equally_many_rows_whatever_the_span(spark, rows, mode):
+    """20,000 intervals of one key, one start far off: no tile has more than twice the mean."""
+    data = spark.range(20_000).select(
+        (F.col("id") % 1).alias("k"),
+        F.when(F.col("id") == 7, F.lit(10**12)).otherwise(F.col("id") * 3).alias("start"),
+    ).withColumn("end", F.col("start") + F.when(F.col("start") % 5 == 0, 9).otherwise(1))
+    tiled, reached = equal_tiles(data.withColumn("_limit", F.lit(2_500.0)), ["k"], mode)
+    counts = [r["_rows"] for r in reached.collect()]
+    assert sum(counts) == tiled.count() == 20_000 and len(counts) >= 60
+    assert max(counts) <= 2 * sum(counts) / len(counts)
+    split = merge_intervals(data, ["k"], "start", "end", mode, hot_rows=2_500)
+    assert rows(split) == rows(merge_intervals(data, ["k"], "start", "end", mode))
+
+
+def test_a_start_that_repeats_fills_no_tile(spark, rows):
+    data = spark.range(6_000).select((F.col("id") % 1).alias("k"), F.when(F.col("id") < 5_000, 50).otherwise(F.col("id")).alias("s"))
+    df = data.withColumn("e", F.col("s") + F.col("s") % 3)
+    assert rows(merge_intervals(df, ["k"], "s", "e", hot_rows=100)) == rows(merge_intervals(df, ["k"], "s", "e"))
