@@ -138,7 +138,7 @@ def asof(spark, folder):
         F.col("event_id").alias("weight_id"), "user_id", start, end, F.col("value").alias("weight")
     )
     points = r.select("event_id", "user_id", "off")
-    return joins.asof_interval(points, weights, "user_id", "off", "s", "e", 2880).select(
+    return joins.asof_interval(points, weights, "user_id", "off", "s", "e").select(
         "event_id", "user_id", "weight_id", "weight"
     )
 

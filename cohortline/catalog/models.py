@@ -88,6 +88,21 @@ def curve_slope(spark, folder):
     return rounded(model.curve_slope(_curve(spark, folder), "x", "y", step=2.5), 6, "slope")
 
 
+# A dense curve: a point per price in units of 10, far closer than a 64th of a step.
+PRICE_CURVE = """c AS (SELECT round(l_extendedprice / 1000, 2) AS x, max(l_tax) + min(l_discount) AS y FROM lineitem GROUP BY 1),
+g AS (SELECT min(x) AS x, arg_min(y, x) AS y FROM c
+  UNION ALL
+  SELECT n.x, n.y FROM (SELECT g.x AS a, min(c.x) AS x, arg_min(c.y, c.x) AS y FROM g JOIN c ON c.x - g.x >= 1.5 GROUP BY g.x) n),
+s AS (SELECT x, lead(x) OVER (ORDER BY x) AS "right", 100 * (lead(y) OVER (ORDER BY x) - y) / (lead(x) OVER (ORDER BY x) - x) AS slope FROM g)"""
+
+
+@query("curve_slope_dense", f"WITH RECURSIVE {PRICE_CURVE} SELECT x, \"right\", round(slope, 6) + 0.0 AS slope FROM s WHERE slope IS NOT NULL")
+def curve_slope_dense(spark, folder):
+    lines = load(spark, folder, "lineitem").groupBy(F.round(F.col("l_extendedprice") / 1000, 2).alias("x"))
+    curve = lines.agg((F.max("l_tax") + F.min("l_discount")).alias("y"))
+    return rounded(model.curve_slope(curve, "x", "y", step=1.5), 6, "slope")
+
+
 @query(
     "plateau_range",
     f"WITH RECURSIVE {CURVE} SELECT min(x) AS plateau_low, max(x) AS plateau_high FROM s WHERE abs(slope) < 0.25 AND x > 4 AND x < 45",

@@ -121,7 +121,7 @@ def equal_tiles(hot: DataFrame, keys: Sequence[str], mode: str = "union") -> tup
     """
     longest = cut_lineage(hot.groupBy(*keys, "start", "_limit").agg(F.max("end").alias("end")))
     rows, limit = longest.agg(F.count(F.lit(1)), F.max("_limit")).first()
-    pieces = max(1, math.ceil(TILES_PER_PIECE * (rows or 0) / (limit or 1)))
+    pieces = max(1, min(rows, math.ceil(TILES_PER_PIECE * rows / (limit or 1))))
     while True:
         dealt = longest.drop("_limit").repartitionByRange(pieces, *keys, "start")
         tiled = cut_lineage(dealt.withColumn("_tile", F.spark_partition_id()))

@@ -3,8 +3,8 @@
 Equi joins are left to Catalyst: it broadcasts a side it knows to be small, and adaptive execution splits skewed
 partitions where both sides come straight from an exchange. It does not where one side was aggregated on the
 join key, the usual case for readings joined to one row per stay, so ``lookup_join`` writes that side first. Joins with
-a time condition get a slice of the time axis as a second join key: a key with a long history is spread over many
-tasks and only neighbours are compared.
+a time condition number the points of a key in time order and join on key and number: a key with a long history is
+spread over all tasks and nothing is compared that does not meet.
 """
 
 from __future__ import annotations
@@ -12,15 +12,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.exprs import floor_div
 from cohortline.session import cut_lineage
 
-# An interval is listed under slices no narrower than its length, in steps of this factor.
-SLICE_FACTOR = 4
-
 
 def lookup_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join many rows per key to a side with at most one row per key (inner, left, left_semi or left_anti).
@@ -65,8 +62,68 @@ def left_any_match(base: DataFrame, arms: Sequence[tuple[DataFrame, str]], key:
     return out.filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for _, c in arms]))
 
 
-def _covered_slices(start: Column, end: Column, width: int) -> Column:
-    return F.sequence(floor_div(start, width), floor_div(end, width))
+# Numbers of an interval's points are written out in runs of this many, so no row holds an unbounded list.
+RUN = 4096
+
+
+def _points_by_interval(
+    points: DataFrame, intervals: DataFrame, key: str, at: str, low: Column, high: Column
+) -> tuple[DataFrame, DataFrame]:
+    """The points numbered per key in time order, and the intervals under the number of each point in ``[low, high)``.
+
+    Gives ``_key, _number, _point`` and ``_key, _number, _interval``; an interval without points has one row
+    without a number. The points of an interval are consecutive, so two counts say which they are and no point is compared
+    with an interval that does not contain it: the work is that of the points, the intervals and the result.
+
+    Points and the two ends of every interval stand in one order of (key, time), dealt into tiles of about equally many
+    rows by a range partitioning, however they bunch up at one key or time. A tile counts its own points, and a tile that
+    continues a key adds the points of the tiles before it; at most one key continues from one tile into the next, so
+    these additions are fewer than the tiles. Equal intervals are one row until the end.
+    """
+    point = F.struct(*[F.col(c) for c in points.columns])
+    interval = F.struct(*[F.col(c) for c in intervals.columns])
+    none = {name: F.lit(None).cast(df.select(c).schema[0].dataType) for name, df, c in (("p", points, point), ("i", intervals, interval))}
+    when = F.col(at).cast("long")
+    stands = points.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).select(
+        F.col(key).alias("_key"), when.alias("_at"), F.lit(1).alias("_is_point"), point.alias("_point"), none["i"].alias("_interval")
+    )
+    valid = intervals.filter(F.col(key).isNotNull() & (low < high))
+    ends = valid.select(
+        F.col(key).alias("_key"),
+        F.explode(F.array(low.cast("long"), high.cast("long"))).alias("_at"),
+        F.lit(0).alias("_is_point"),
+        none["p"].alias("_point"),
+        interval.alias("_interval"),
+    )
+    # Ends come before points of their time. A hash of the row orders what is otherwise equal.
+    order = ["_at", "_is_point", "_hash"]
+    events = stands.unionByName(ends).withColumn("_hash", F.xxhash64("_point", "_interval"))
+    tiled = cut_lineage(events.repartitionByRange("_key", *order).withColumn("_tile", F.spark_partition_id()))
+
+    in_tile = Window.partitionBy("_key", "_tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("_key").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    counts = tiled.groupBy("_key", "_tile").agg(F.sum("_is_point").alias("_n"))
+    carried = cut_lineage(counts.select("_key", "_tile", F.sum("_n").over(earlier).alias("_carried")).filter(F.col("_carried") > 0))
+    number = F.sum("_is_point").over(in_tile)
+    numbered = (
+        tiled.withColumn("_number", number)
+        .join(carried, ["_key", "_tile"], "left")
+        .withColumn("_number", F.col("_number") + F.coalesce(F.col("_carried"), F.lit(0)))
+    )
+    placed = numbered.filter(F.col("_is_point") == 1).select("_key", "_number", "_point")
+    # A point's number counts itself, so the points of an interval are those after its first end's count.
+    spans = (
+        numbered.filter(F.col("_is_point") == 0)
+        .groupBy("_key", "_interval")
+        .agg(F.min("_number").alias("_from"), F.max("_number").alias("_to"), (F.count(F.lit(1)) / 2).cast("int").alias("_copies"))
+    )
+    runs = F.when(F.col("_to") > F.col("_from"), F.sequence(floor_div(F.col("_from"), RUN), floor_div(F.col("_to") - 1, RUN)))
+    in_runs = spans.withColumn("_run", F.explode_outer(runs)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    own = F.sequence(
+        F.greatest(F.col("_from"), F.col("_run") * RUN) + 1, F.least(F.col("_to"), (F.col("_run") + 1) * RUN)
+    )
+    listed = in_runs.select("_key", "_interval", F.explode_outer(F.when(F.col("_run").isNotNull(), own)).alias("_number"))
+    return placed, listed
 
 
 def band_join(
@@ -79,67 +136,34 @@ def band_join(
     high: int,
     how: str = "inner",
 ) -> DataFrame:
-    """Events with ``base_time + low <= event_time <= base_time + high`` for the same key.
+    """Events with ``base_time + low <= event_time <= base_time + high`` for the same key (``how`` inner or left).
 
-    Times are integers. The slice is as wide as the band, so a base row reaches at most two slices
-    and an event sits in exactly one: every pair is formed once.
+    Times are integers. A base row stands for the interval of times it reaches, and is joined to its events by key and
+    number (see ``_points_by_interval``), so keys and times at which most rows stand are spread like all others. With
+    ``left`` a base row without an event, a NULL key or a NULL time stays, with NULLs.
     """
-    width = high - low + 1
-    reach = base.filter(F.col(base_time).isNotNull()).withColumn(
-        "_slice", F.explode(_covered_slices(F.col(base_time) + low, F.col(base_time) + high, width))
-    )
-    placed = events.withColumn("_slice", floor_div(F.col(event_time).cast("long"), width))
-    near = F.col(event_time).between(F.col(base_time) + low, F.col(base_time) + high)
-    pairs = reach.join(placed, [key, "_slice"]).filter(near).drop("_slice")
+    first, last = F.col(base_time).cast("long") + low, F.col(base_time).cast("long") + high + 1
+    placed, listed = _points_by_interval(events, base, key, event_time, first, last)
+    pairs = listed.join(placed, ["_key", "_number"], how)
+    others = [c for c in events.columns if c != key]
+    out = pairs.select("_interval.*", *[F.col("_point")[c].alias(c) for c in others])
     if how == "inner":
-        return pairs
-    matched = pairs.select(key, base_time).distinct()
-    rest = base.join(matched, (base[key] == matched[key]) & (base[base_time] == matched[base_time]), "left_anti")
-    return pairs.unionByName(rest, allowMissingColumns=True)
+        return out
+    return out.unionByName(base.filter(F.col(key).isNull() | F.col(base_time).isNull()), allowMissingColumns=True)
 
 
-def asof_interval(
-    points: DataFrame,
-    intervals: DataFrame,
-    key: str,
-    time: str,
-    start: str,
-    end: str,
-    width: int,
-) -> DataFrame:
-    """Left join of points to the half-open intervals ``[start, end)`` that contain them.
+def asof_interval(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, end: str) -> DataFrame:
+    """Left join of points to the half-open intervals ``[start, end)`` of their key that contain them.
 
-    Times are integers; ``width`` should be near the usual interval length. Slices come in levels, each
-    ``SLICE_FACTOR`` times as wide as the one before. An interval is listed on the first level whose slices are
-    as long as itself, so under two slices at most however long it is; a point looks on every level that has an interval.
-    A point with no interval stays with NULLs.
+    Times are integers. Points and intervals are joined by key and number of the point (see ``_points_by_interval``), so an
+    interval costs what it contains, however long it is, and intervals may overlap. A point with no interval, no key or no
+    time stays with NULLs.
     """
-    length = F.greatest(F.col(end).cast("long") - F.col(start).cast("long"), F.lit(1))
-    level = F.greatest(F.lit(0), F.ceil(F.log(length / F.lit(width)) / F.log(F.lit(float(SLICE_FACTOR))) - 1e-9)).cast("int")
-    listed = intervals.filter(F.col(start) < F.col(end)).withColumn("_level", level)
-    # At most a few dozen levels fit between a slice and the longest possible interval.
-    found = sorted(r[0] for r in listed.select("_level").distinct().collect()) or [0]
-    wide = F.lit(width).cast("long") * F.pow(F.lit(SLICE_FACTOR), F.col("_level")).cast("long")
-    first, last = floor_div(F.col(start).cast("long"), wide), floor_div(F.col(end).cast("long") - 1, wide)
-    listed = listed.withColumn("_slice", F.explode(F.sequence(first, last)))
-    spots = [
-        F.struct(F.lit(n).alias("_level"), floor_div(F.col(time).cast("long"), width * SLICE_FACTOR**n).alias("_slice")) for n in found
-    ]
-    i = listed.withColumnRenamed(key, "_key").alias("i")
-    on = (
-        (F.col(f"p.{key}") == F.col("i._key"))
-        & (F.col("p._spot._level") == F.col("i._level"))
-        & (F.col("p._spot._slice") == F.col("i._slice"))
-        & (F.col(f"p.{time}") >= F.col(f"i.{start}"))
-        & (F.col(f"p.{time}") < F.col(f"i.{end}"))
-    )
-    if len(found) == 1:
-        return points.withColumn("_spot", spots[0]).alias("p").join(i, on, "left").drop("_key", "_slice", "_level", "_spot")
-    p = points.withColumn("_spot", F.explode(F.array(*spots)))
-    pairs = p.alias("p").join(i, on).drop("_key", "_slice", "_level", "_spot")
-    met = pairs.select(*[F.col(c).alias("_m_" + c) for c in points.columns]).distinct()
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("_m_" + c)) for c in points.columns])
-    return pairs.unionByName(points.join(met, same, "left_anti"), allowMissingColumns=True)
+    placed, listed = _points_by_interval(points, intervals, key, time, F.col(start), F.col(end))
+    others = [c for c in intervals.columns if c != key]
+    met = listed.filter(F.col("_number").isNotNull())
+    out = placed.join(met, ["_key", "_number"], "left").select("_point.*", *[F.col("_interval")[c].alias(c) for c in others])
+    return out.unionByName(points.filter(F.col(key).isNull() | F.col(time).isNull()), allowMissingColumns=True)
 
 
 def union_keys(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.exprs import logistic
 from cohortline.operators.quantiles import exact_quantiles
-from cohortline.session import remove_scratch, write_scratch
+from cohortline.session import cut_lineage, remove_scratch, write_scratch
 
 MAX_LEVELS = 200
 
@@ -427,37 +427,82 @@ def effect_curve(
     return effect_curves({"m": model}, df, {"m": column}, at, None if grid is None else {column: grid}).drop("model")
 
 
-# A curve is thinned to this many points per step before the walk along it.
-POINTS_PER_STEP = 64
-
-
 def curve_slope(
     curve: DataFrame, x: str, y: str, step: float = 1.0, scale: float = 100.0, by: Sequence[str] = ()
 ) -> DataFrame:
     """Slopes between anchors along each curve: ``x`` is the left anchor, ``right`` the next, ``slope`` per unit of x.
 
-    The first point is an anchor, and after each anchor the next point that is at least ``step`` further on. Of points
-    closer than ``step / POINTS_PER_STEP`` the first stands for all, so the walk is along at most that many
-    points per step, however many the curve had. ``by`` names the curves.
+    The first point is an anchor, and after each anchor the next point whose x less the anchor's is at least ``step``.
+    ``by`` names the curves. Of points with one x the lowest stands. Every point counts: each gets its successor, and
+    the anchors are found from the first point by doubling the jumps, so a curve of m anchors takes log2(m) joins on
+    (curve, x) however many points it has.
     """
-    cells = (
+    name = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+    points = (
         curve.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(*by, F.floor(F.col(x) * (POINTS_PER_STEP / step)).alias("_cell"))
-        .agg(F.min(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("p"))
+        .groupBy(name.alias("_curve"), F.col(x).cast("double").alias("_x"))
+        .agg(F.min(F.col(y).cast("double")).alias("_y"))
     )
-    points = cells.groupBy(*by).agg(F.sort_array(F.collect_list("p")).alias("_points"))
-    walked = F.aggregate(
-        F.col("_points"),
-        F.slice(F.col("_points"), 1, 1),
-        lambda anchors, p: F.when(p["x"] - F.element_at(anchors, -1)["x"] >= step, F.concat(anchors, F.array(p))).otherwise(anchors),
+    jumps = cut_lineage(_successors(points, step))
+    ahead = jumps.filter(F.col("_to").isNotNull()).select("_curve", "_x", "_to")
+    anchors = cut_lineage(jumps.groupBy("_curve").agg(F.min("_x").alias("_x")))
+    while not ahead.isEmpty():
+        further = anchors.join(ahead, ["_curve", "_x"]).select("_curve", F.col("_to").alias("_x"))
+        anchors = cut_lineage(anchors.unionByName(further))
+        then = ahead.select("_curve", F.col("_x").alias("_to"), F.col("_to").alias("_then"))
+        ahead = cut_lineage(ahead.join(then, ["_curve", "_to"]).select("_curve", "_x", F.col("_then").alias("_to")))
+    left = jumps.join(anchors, ["_curve", "_x"]).filter(F.col("_to").isNotNull())
+    right = jumps.select("_curve", F.col("_x").alias("_to"), F.col("_y").alias("_then"))
+    rise, run = F.col("_then") - F.col("_y"), F.col("_to") - F.col("_x")
+    return left.join(right, ["_curve", "_to"]).select(
+        *[F.col("_curve")[c].alias(c) for c in by], F.col("_x").alias("x"), F.col("_to").alias("right"), (scale * rise / run).alias("slope")
+    )
+
+
+def _successors(points: DataFrame, step: float) -> DataFrame:
+    """Points ``_curve, _x, _y`` with ``_to``, the first x of the curve with ``_to - _x >= step``.
+
+    The axis is cut into cells of one step. Each point asks in the cell where it would land: one scan of the cell from
+    the right, points and questions together, knows the nearest point so far. Where a cell has none, the first point
+    of the next filled cell answers, read off a frame with a few rows per cell. A question is asked a few units in the last
+    place early, and the difference itself decides between the answer and the point after it.
+    """
+
+    def cell_of(at: Column) -> Column:
+        return F.floor(at / F.lit(float(step)))
+
+    in_cell = Window.partitionBy("_curve", "_cell").orderBy("_x")
+    placed = cut_lineage(points.withColumn("_cell", cell_of(F.col("_x"))).withColumn("_next", F.lead("_x").over(in_cell)))
+    own = placed.groupBy("_curve", "_cell").agg(F.min(F.struct("_x", "_next")).alias("_own"))
+    none = F.lit(None).cast(own.schema["_own"].dataType)
+    near = [F.struct((F.col("_cell") + i).alias("cell"), (F.col("_own") if i == 0 else none).alias("own")) for i in (0, 1, 2)]
+    cells = own.select("_curve", F.explode(F.array(*near)).alias("c")).groupBy("_curve", F.col("c.cell").alias("_cell"))
+    after = Window.partitionBy("_curve").orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.when(
+        F.col("_own").isNotNull(),
+        F.struct(F.col("_own._x").alias("_x"), F.coalesce("_own._next", "_later_x").alias("_next")),
+    )
+    cells = (
+        cells.agg(F.max("c.own").alias("_own"))
+        .withColumn("_later_x", F.last("_own._x", True).over(after))
+        .withColumn("_later", F.last(filled, True).over(after))
+        .select("_curve", "_cell", "_later_x", "_later")
     )
-    after = F.slice("_anchors", 2, F.greatest(F.size("_anchors") - 1, F.lit(0)))
-    steps = F.zip_with("_anchors", after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pairs = points.withColumn("_anchors", walked).select(*by, F.explode(steps).alias("_p"))
-    rise, run = F.col("_p.b.y") - F.col("_p.a.y"), F.col("_p.b.x") - F.col("_p.a.x")
-    return pairs.filter(F.col("_p.b").isNotNull()).select(
-        *by, F.col("_p.a.x").alias("x"), F.col("_p.b.x").alias("right"), (scale * rise / run).alias("slope")
+    asked = F.col("_x") + step - (F.abs("_x") + step) * 2.0**-50
+    here = F.struct(F.col("_x").alias("_x"), F.col("_next").alias("_next"))
+    kept = placed.select("_curve", "_cell", F.col("_x").alias("_at"), here.alias("_here"), F.lit(None).cast("double").alias("_x"), F.lit(None).cast("double").alias("_y"))
+    asks = placed.select("_curve", cell_of(asked).alias("_cell"), asked.alias("_at"), F.lit(None).cast(kept.schema["_here"].dataType).alias("_here"), "_x", "_y")
+    from_right = (
+        Window.partitionBy("_curve", "_cell")
+        .orderBy(F.col("_at").desc(), F.col("_here").isNull())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    answered = kept.unionByName(asks).withColumn("_found", F.last("_here", True).over(from_right)).filter(F.col("_x").isNotNull())
+    found = F.col("_found").isNotNull()
+    first = F.when(found, F.col("_found._x")).otherwise(F.col("_later._x"))
+    second = F.when(found, F.coalesce("_found._next", "_later_x")).otherwise(F.col("_later._next"))
+    reached = F.when(first - F.col("_x") >= step, first).otherwise(second)
+    return answered.join(cut_lineage(cells), ["_curve", "_cell"], "left").select("_curve", "_x", "_y", reached.alias("_to"))
 
 
 def plateau(

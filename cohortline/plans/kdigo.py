@@ -62,7 +62,7 @@ def urine_rates(urine: DataFrame, weights: DataFrame) -> DataFrame:
     covered = trailing.withColumns(
         {f"uo_tm_{n}": F.round((F.col("t_us") - F.col(f"from_{n}")) / HOUR, 4) for n, _ in hours}
     )
-    weighed = asof_interval(covered, weights, KEY, "t_us", "start_us", "end_us", 7 * DAY)
+    weighed = asof_interval(covered, weights, KEY, "t_us", "start_us", "end_us")
     kg = F.nullif(F.col("weight"), F.lit(0.0))
     return weighed.withColumns(
         {f"uo_rt_{n}": F.round(F.col(f"uo_{n}") / kg / (F.col(f"uo_tm_{n}") + 1), 4) for n, _ in hours}

@@ -143,6 +143,37 @@ def test_curve_slope_and_plateau_bounds(spark, rows):
     assert rows(model.plateau(slopes, 0.1, 2.0, 4.0)) == [(None, None)]
 
 
+def walked(points, step):
+    """The study's walk over one curve: anchor to the next point at least a step on."""
+    points, out, j = sorted(points), [], 0
+    for i in range(1, len(points)):
+        if points[i][0] - points[j][0] >= step:
+            out.append((points[j][0], points[i][0], (points[i][1] - points[j][1]) / (points[i][0] - points[j][0])))
+            j = i
+    return out
+
+
+@pytest.mark.parametrize("step", [1.0, 0.1, 3.0])
+def test_the_anchor_walk_is_exact(spark, step):
+    """Points much closer than step / 64, wide gaps, one-point curves, decimals whose difference rounds below the step."""
+    rng = np.random.default_rng(2)
+    curves = {
+        "dense": rng.uniform(60, 64, 3000),
+        "gaps": np.concatenate([rng.uniform(a, a + 0.01, 200) for a in (-50, -3, 0, 2.5, 90)]),
+        "decimals": np.round(rng.uniform(60, 90, 900), 2),
+        "steps": np.arange(40) * step,
+        "one": np.array([5.0]),
+        "two": np.array([72.35, 73.35, 72.35 + step]),
+    }
+    data = [(n, float(a), float(np.sin(a))) for n, xs in curves.items() for a in dict.fromkeys(xs)]
+    df = spark.createDataFrame([*data, (None, 1.0, 2.0), (None, 9.0, 3.0), ("dense", None, 1.0), ("dense", 61.0, None)], "c string, x double, y double")
+    got = sorted(tuple(r) for r in model.curve_slope(df, "x", "y", step, 1.0, ["c"]).filter("c is not null").collect())
+    want = sorted((n, *r) for n in curves for r in walked({(a, b) for c, a, b in data if c == n}, step))
+    assert got == want
+    assert model.curve_slope(df, "x", "y", step, 1.0, ["c"]).filter("c is null").count() == 1
+    assert model.curve_slope(df.limit(0), "x", "y", step).count() == 0
+
+
 def test_models_fitted_together_equal_models_fitted_alone(spark):
     rng = np.random.default_rng(9)
     n = 1500
