@@ -11,6 +11,7 @@ from cohortline.llm import (
     mixing,
     near_duplicates,
     oracles,
+    periodic_runs,
     personal_data,
     quality_rules,
     resampling,
@@ -75,6 +76,11 @@ def suffix_dedup(spark, folder):
     return substring_dedup.dedup_substrings(documents(spark, folder), keep_bytes=False)
 
 
+def periodic(spark, folder):
+    texts = periodic_runs.with_planted_repeats(documents(spark, folder))
+    return periodic_runs.digest(periodic_runs.find_runs(texts))
+
+
 QUERIES = {
     "op1_pareto_mix": pareto_mix,
     "op2_toxicity_grammar": toxicity_grammar,
@@ -86,6 +92,7 @@ QUERIES = {
     "op8_perplexity_rules": perplexity_rules,
     "op9_rank_queue_bpe": rank_queue_bpe,
     "op10_suffix_dedup": suffix_dedup,
+    "op11_periodic_runs": periodic,
 }
 
 ORACLES = {
