@@ -11,11 +11,13 @@ from cohortline.llm import (
     mixing,
     near_duplicates,
     oracles,
+    packing,
     periodic_runs,
     personal_data,
     quality_rules,
     resampling,
     substring_dedup,
+    token_alignment,
     toxicity,
     vector_search,
 )
@@ -81,6 +83,19 @@ def periodic(spark, folder):
     return periodic_runs.digest(periodic_runs.find_runs(texts))
 
 
+def best_fit_packing(spark, folder):
+    pieces = packing.pieces(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    sums = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(sums, capacity=4096).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def alignment(spark, folder):
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.align(documents(spark, folder), *paths)
+
+
 QUERIES = {
     "op1_pareto_mix": pareto_mix,
     "op2_toxicity_grammar": toxicity_grammar,
@@ -93,6 +108,8 @@ QUERIES = {
     "op9_rank_queue_bpe": rank_queue_bpe,
     "op10_suffix_dedup": suffix_dedup,
     "op11_periodic_runs": periodic,
+    "op12_best_fit_packing": best_fit_packing,
+    "op13_token_alignment": alignment,
 }
 
 ORACLES = {
