@@ -116,3 +116,25 @@ def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
 
 def with_items(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def chained_sql(source: str, a: str, b: str, x: str, rounds: int, ridge: float = 0.0) -> str:
+    """WITH items up to ``chained``: ``source`` with ``<a>_impute`` and ``<b>_impute``, each filled in turn from the other and from ``x``.
+
+    Least squares by the normal equations of two regressors. The ridge stands on the standardised regressors, so
+    here on their variances.
+    """
+    items = [
+        f"""cv AS (SELECT var_pop({x}) AS v_x, var_pop({a}) AS v_{a}, var_pop({b}) AS v_{b} FROM {source}),
+cf0 AS (SELECT s.*, COALESCE({a}, avg({a}) OVER ()) AS {a}_impute, COALESCE({b}, avg({b}) OVER ()) AS {b}_impute FROM {source} s)"""
+    ]
+    for i in range(2 * rounds):
+        y, z = (a, b) if i % 2 == 0 else (b, a)
+        items.append(
+            f"""cm{i} AS (SELECT avg({y}) AS my, avg({x}) AS mx, avg({z}_impute) AS mz, var_pop({x}) + {ridge} * any_value(v_x) AS sxx,
+  var_pop({z}_impute) + {ridge} * any_value(v_{z}) AS szz, covar_pop({x}, {z}_impute) AS sxz, covar_pop({y}, {x}) AS syx,
+  covar_pop({y}, {z}_impute) AS syz FROM cf{i}, cv WHERE {y} IS NOT NULL),
+cf{i + 1} AS (SELECT cf{i}.* REPLACE (COALESCE({y}, my + ((syx * szz - syz * sxz) * ({x} - mx) + (syz * sxx - syx * sxz) * ({z}_impute - mz))
+  / (sxx * szz - sxz * sxz)) AS {y}_impute) FROM cf{i}, cm{i})"""
+        )
+    return ",\n".join([*items, f"chained AS (SELECT * FROM cf{2 * rounds})"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortline.catalog.frames import rounded
+from cohortline.catalog.frames import chained_sql, rounded
 from cohortline.catalog.registry import query
 from cohortline.functions.exprs import complement, logistic
 from cohortline.operators import model
@@ -27,6 +27,53 @@ def one_hot(spark, folder):
     return model.one_hot(orders, ["o_orderstatus", "o_orderpriority"])
 
 
+LEVELS = """lv AS (SELECT 0 AS c, 'customer' AS "column", o_custkey::VARCHAR AS level FROM orders UNION
+  SELECT 1, 'o_orderpriority', o_orderpriority FROM orders WHERE o_orderpriority <> '5-LOW'),
+n AS (SELECT *, row_number() OVER (ORDER BY c, level) - 1 AS position FROM lv)"""
+
+
+def _coded(spark, folder):
+    priority = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("o_orderpriority")
+    return load(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("customer"), priority)
+
+
+@query("number_levels", f'WITH {LEVELS} SELECT "column", level, position FROM n')
+def number_levels(spark, folder):
+    """Positions of the levels of a column with one per customer and of one with a few and NULLs."""
+    return model.number_levels(_coded(spark, folder), ["customer", "o_orderpriority"])
+
+
+@query(
+    "one_hot_sparse",
+    f"""WITH {LEVELS} SELECT o_orderkey, a.position || COALESCE(',' || b.position, '') AS positions FROM orders
+JOIN n a ON a.c = 0 AND a.level = o_custkey::VARCHAR LEFT JOIN n b ON b.c = 1 AND b.level = o_orderpriority""",
+)
+def one_hot_sparse(spark, folder):
+    out = model.encode_levels(_coded(spark, folder), ["customer", "o_orderpriority"])
+    return out.withColumn("positions", F.concat_ws(",", F.col("positions").cast("array<string>")))
+
+
+TWO_HOLES = """l AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_linenumber <> 3 THEN l_extendedprice / 1000 END AS price,
+  CASE WHEN l_returnflag <> 'R' THEN l_extendedprice * (1 + l_tax) / 1000 END AS charge FROM lineitem)"""
+
+
+@query(
+    "impute_two_targets",
+    f"WITH {TWO_HOLES}, {chained_sql('l', 'price', 'charge', 'l_quantity', 3)} SELECT l_orderkey, l_linenumber, "
+    "round(price_impute, 4) AS price_impute, round(charge_impute, 4) AS charge_impute FROM chained",
+)
+def impute_two_targets(spark, folder):
+    """Three rounds over two targets that miss different rows and some of the same."""
+    price = F.col("l_extendedprice") / 1000
+    lines = load(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity",
+        F.when(F.col("l_linenumber") != 3, price).alias("price"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice") * (1 + F.col("l_tax")) / 1000).alias("charge"),
+    )
+    out = model.impute_chained(lines, ["price", "charge"], ["l_quantity"], rounds=3, ridge=0.0)
+    return rounded(out, 4, "price_impute", "charge_impute").select("l_orderkey", "l_linenumber", "price_impute", "charge_impute")
+
+
 @query("impute_chained")
 def impute_chained(spark, folder):
     """Prices and taxes masked on some lines, filled from the other columns by chained regressions."""
@@ -192,6 +239,92 @@ def logit_fit(spark, folder):
     return spark.createDataFrame([(beta[0], beta[1])], "b0 double, b1 double")
 
 
+def _inverse_sql(name: str, matrix: str, k: int) -> str:
+    """Gauss-Jordan elimination, a pivot per turn: ``<name>`` has the inverse ``m`` (a list of rows) of the matrix of table ``matrix``."""
+    unit = f"[[CASE WHEN j <= {k} THEN m[i][j] WHEN j = i + {k} THEN 1.0 ELSE 0.0 END for j in range(1, {2 * k + 1})] for i in range(1, {k + 1})]"
+    pivot = f"""[[CASE WHEN i = p THEN m[p][j] / m[p][p] ELSE m[i][j] - m[i][p] * m[p][j] / m[p][p] END for j in range(1, {2 * k + 1})]
+    for i in range(1, {k + 1})]"""
+    return f"""{name}_turns AS (SELECT 1 AS p, {unit} AS m FROM {matrix}
+  UNION ALL SELECT p + 1, {pivot} FROM {name}_turns WHERE p <= {k}),
+{name} AS (SELECT [m[i][{k + 1}:] for i in range(1, {k + 1})] AS m FROM {name}_turns WHERE p = {k + 1})"""
+
+
+def _smooth_sql(segments: int, smoothing: float, turns: int) -> str:
+    """Penalised maximum likelihood for one smooth and one linear term of table ``d`` (y, x, z), up to table ``curve`` (x, fit, se at z = 0).
+
+    The basis comes from the closed form of a cubic B-spline on equal knots. The fit goes uphill with the largest possible
+    curvature, a quarter of X'X plus the penalty, whose inverse is found once; the covariance is the inverse at the end.
+    """
+    basis, k = segments + 3, segments + 4
+    spline = f"""[CASE i - seg WHEN 0 THEN (1 - u) ** 3 / 6 WHEN 1 THEN (3 * u ** 3 - 6 * u ** 2 + 4) / 6
+    WHEN 2 THEN (3 * u - 3 * u ** 3 + 3 * u ** 2 + 1) / 6 WHEN 3 THEN u ** 3 / 6 ELSE 0 END for i in range({basis})]"""
+    row = "list_concat(list_concat([1.0], [b[i] - c[i] for i in range(2, {0})]), [{1}])"
+    bend = f"""list_sum([(CASE a - r WHEN 0 THEN 1 WHEN 1 THEN -2 WHEN 2 THEN 1 ELSE 0 END)
+      * (CASE e - r WHEN 0 THEN 1 WHEN 1 THEN -2 WHEN 2 THEN 1 ELSE 0 END) for r in range({basis - 2})])"""
+    smooth = f"a BETWEEN 1 AND {basis - 1} AND e BETWEEN 1 AND {basis - 1}"
+    penalty = f"[[(CASE WHEN {smooth} THEN {smoothing} * {bend} ELSE 0 END) + (CASE WHEN a = e THEN 1e-8 ELSE 0 END) for e in range({k})] for a in range({k})]"
+
+    def moments(weight: str) -> str:
+        return "[" + ", ".join("[" + ", ".join(f"sum({weight} * r[{a}] * r[{e}])" for e in range(1, k + 1)) + "]" for a in range(1, k + 1)) + "]"
+
+    def plus(m: str) -> str:
+        return f"[[{m}[a][e] + pen[a][e] for e in range(1, {k + 1})] for a in range(1, {k + 1})]"
+
+    uphill = ", ".join(f"sum((y - 1 / (1 + exp(-list_dot_product(r, beta)))) * r[{a}])" for a in range(1, k + 1))
+    mu = "1 / (1 + exp(-list_dot_product(r, beta)))"
+    return f"""ends AS (SELECT min(x) AS lo, max(x) AS hi FROM d),
+placed AS (SELECT y, x, z, least(floor((x - lo) / (hi - lo) * {segments}), {segments - 1})::INT AS seg,
+  (x - lo) / (hi - lo) * {segments} - seg AS u FROM d, ends),
+raw AS (SELECT y, x, z, {spline} AS b FROM placed),
+centre AS (SELECT [{", ".join(f"avg(b[{i}])" for i in range(1, basis + 1))}] AS c FROM raw),
+design AS (SELECT y, {row.format(basis + 1, "z")}::DOUBLE[] AS r FROM raw, centre),
+pen AS (SELECT {penalty} AS pen),
+steepest AS (SELECT {plus("g")} AS m FROM (SELECT {moments("0.25")} AS g FROM design), pen),
+{_inverse_sql("reach", "steepest", k)},
+climb AS (SELECT 0 AS i, [0.0 for a in range({k})]::DOUBLE[] AS beta
+  UNION ALL
+  SELECT i + 1, [beta[a] + list_dot_product(m[a], [up[e] - list_dot_product(pen[e], beta) for e in range(1, {k + 1})]) for a in range(1, {k + 1})]::DOUBLE[]
+  FROM (SELECT i, any_value(beta) AS beta, [{uphill}] AS up FROM climb, design WHERE i < {turns} GROUP BY i), reach, pen),
+beta AS (SELECT beta FROM climb WHERE i = {turns}),
+curvature AS (SELECT {plus("g")} AS m FROM (SELECT {moments(f"({mu}) * (1 - {mu})")} AS g FROM design, beta), pen),
+{_inverse_sql("cov", "curvature", k)},
+points AS (SELECT DISTINCT x, {row.format(basis + 1, "0.0")}::DOUBLE[] AS r FROM raw, centre),
+curve AS (SELECT x, list_dot_product(r, beta) AS fit, sqrt(list_dot_product(r, [list_dot_product(m[a], r) for a in range(1, {k + 1})]::DOUBLE[])) AS se
+  FROM points, beta, cov)"""
+
+
+STUDY = """d AS (SELECT urgent::DOUBLE AS y, round(mean_price / 3000, 0)::DOUBLE AS x, (c_nationkey % 2 = 0)::INT::DOUBLE AS z FROM customer
+  JOIN (SELECT o_custkey, avg(o_totalprice) AS mean_price, max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS urgent
+        FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey)"""
+
+
+def _held_curve(spark, folder):
+    data = _study(spark, folder).withColumn("map", F.round(F.col("mean_price") / 3000, 0))
+    fit = model.fit_smooth_logit(data, "urgent", ["map"], ["sex"], segments=5, smoothing=2.0, tol=1e-13, max_passes=60)
+    return model.effect_curve(fit, data, "map", {"sex": 0})
+
+
+@query("smooth_held_curve", f"WITH RECURSIVE {STUDY}, {_smooth_sql(5, 2.0, 400)} SELECT x, round(fit, 5) + 0.0 AS fit, round(se, 5) AS se FROM curve")
+def smooth_held_curve(spark, folder):
+    """A smooth model with a given roughness penalty: curve and standard error from a fit that SQL makes by itself."""
+    return rounded(_held_curve(spark, folder), 5, "fit", "se").select("x", "fit", "se")
+
+
+@query(
+    "smooth_held_plateau",
+    f"""WITH RECURSIVE {STUDY}, {_smooth_sql(5, 2.0, 400)},
+c AS (SELECT x, 100 / (1 + exp(-fit)) AS y FROM curve),
+g AS (SELECT min(x) AS x, arg_min(y, x) AS y FROM c
+  UNION ALL
+  SELECT n.x, n.y FROM (SELECT g.x AS a, min(c.x) AS x, arg_min(c.y, c.x) AS y FROM g JOIN c ON c.x - g.x >= 2 GROUP BY g.x) n),
+s AS (SELECT x, (lead(y) OVER (ORDER BY x) - y) / (lead(x) OVER (ORDER BY x) - x) AS slope FROM g)
+SELECT min(x) AS plateau_low, max(x) AS plateau_high FROM s WHERE abs(slope) < 0.4 AND x > 10 AND x < 120""",
+)
+def smooth_held_plateau(spark, folder):
+    """Where the probability of that curve changes by less than 0.4 percentage points per unit."""
+    return model.plateau(model.curve_slope(_held_curve(spark, folder), "x", "prob", 2.0), 0.4, 10, 120)
+
+
 def _zeros(sizes) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS model, unnest(range({k}))::INT AS position, 0.0::DOUBLE AS score" for n, k in sizes.items())
 

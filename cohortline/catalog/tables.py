@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortline.catalog import drugs, kidney
 from cohortline.catalog.drugs import KEY, recode
-from cohortline.catalog.frames import DAY, PRESSURES, READINGS, in_turn, pressures, rounded, with_items
+from cohortline.catalog.frames import DAY, PRESSURES, READINGS, chained_sql, in_turn, pressures, rounded, with_items
 from cohortline.catalog.registry import query
 from cohortline.functions import vocab
 from cohortline.operators.select import first_by, select_as
@@ -319,6 +319,35 @@ def cleaning_with_imputation(spark, folder):
     return out.select(KEY, "age", "gender", "ethnicity", "height_impute", "weight_impute", "bmi", *PRESSURE_24H)
 
 
+# RAW with holes in heights and weights, filled before the fences are set.
+HOLES = RAW.replace("q AS (SELECT quantile_cont", """holes AS (SELECT * EXCLUDE (height_impute, weight_impute) REPLACE (
+    CASE WHEN unittype <> 'HOUSEHOLD' THEN admissionheight END AS admissionheight,
+    CASE WHEN age % 10 <> 3 THEN admissionweight END AS admissionweight) FROM kept),
+""" + chained_sql("holes", "admissionheight", "admissionweight", "age", 10, 1e-6) + """,
+filled AS (SELECT * EXCLUDE (admissionheight_impute, admissionweight_impute),
+  admissionheight_impute AS height_impute, admissionweight_impute AS weight_impute FROM chained),
+q AS (SELECT quantile_cont""").replace("AS w3 FROM kept", "AS w3 FROM filled").replace("FROM kept k, q", "FROM filled k, q")
+
+
+@query(
+    "cleaning_with_chained_targets",
+    with_items(READINGS, PRESSURES, PEOPLE, RESULTS, HOLES)
+    + """SELECT patientunitstayid, age, gender, ethnicity, round(height_impute, 4) AS height_impute, round(weight_impute, 4) AS weight_impute,
+  round(bmi, 4) AS bmi FROM fin""",
+)
+def cleaning_with_chained_targets(spark, folder):
+    """The cleaning pipeline with ten rounds of imputation for two targets, before fences and body mass index."""
+    holes = _raw(spark, folder).drop("height_impute", "weight_impute").withColumns(
+        {
+            "admissionheight": F.when(F.col("unittype") != "HOUSEHOLD", F.col("admissionheight")),
+            "admissionweight": F.when(F.col("age") % 10 != 3, F.col("admissionweight")),
+        }
+    )
+    out = _clean(spark, folder, (["admissionheight", "admissionweight"], ["age"], []), holes)
+    out = rounded(out, 4, "height_impute", "weight_impute", "bmi")
+    return out.select(KEY, "age", "gender", "ethnicity", "height_impute", "weight_impute", "bmi")
+
+
 @query(
     "week_outcome",
     """SELECT o_orderkey, CASE WHEN o_totalprice / 30000 > 7 THEN 'ALIVE' WHEN o_totalprice / 30000 <= 7

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortline.operators.skew import attach, split_hot
-from cohortline.session import cut_lineage
+from cohortline.operators.skew import attach, carried, deal
 
 
 def clamp_starts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -32,104 +30,56 @@ def merge_intervals(
     start: str,
     end: str,
     mode: str = "union",
-    hot_rows: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Merge overlapping and touching intervals per key into ``start``, ``end``.
 
     ``mode="union"`` covers every minute any interval covers. ``mode="last_end"`` ends a merged
     interval where its last member (by start, then end) ends, so a nested member shortens it.
-    """
-    keys = list(keys)
-    df = df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end"))
-    cold, hot = split_hot(df, keys, hot_rows)
-    merged = _islands(cold, keys, mode)
-    if hot is not None:
-        merged = merged.unionByName(_islands_in_tiles(hot, keys, mode))
-    return merged
-
-
-def _reach(mode: str) -> Column:
-    """How far the intervals of a group reach, as the mode sees it."""
-    return F.max("end") if mode == "union" else F.max_by("end", F.struct("start", "end"))
-
-
-def _reach_before(mode: str, by_row: Window) -> Column:
-    if mode == "union":
-        return F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
-    return F.lag("end").over(by_row)
-
-
-def _islands(df: DataFrame, keys: list[str], mode: str) -> DataFrame:
-    by_row = Window.partitionBy(*keys).orderBy("start", "end")
-    opened = df.withColumn("_before", _reach_before(mode, by_row)).withColumn(
-        "_opens", F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before")), 1).otherwise(0)
-    )
-    numbered = opened.withColumn("_island", F.sum("_opens").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
-    return _close(numbered, [*keys, "_island"], mode).drop("_island")
-
 
-def _close(df: DataFrame, by: list[str], mode: str) -> DataFrame:
-    # Both ends are built before renaming, so the second aggregate still sees the member columns.
-    return df.groupBy(*by).agg(F.min("start").alias("_s"), _reach(mode).alias("_e")).withColumnsRenamed(
-        {"_s": "start", "_e": "end"}
-    )
-
-
-def _islands_in_tiles(hot: DataFrame, keys: list[str], mode: str) -> DataFrame:
-    """The same for keys too large for one task: a two-level scan over tiles of about equally many starts.
-
-    Intervals with one start act like the longest of them, so they are reduced first. Then each tile
-    reports how far it reaches, a scan over the tiles tells every tile what came before it, and the
-    rows of a tile are numbered on their own. There is one row per tile in the frames joined back; they are
-    written, so their size decides how they are joined.
+    A two-level scan over tiles of about equally many starts, however many a key has and however far apart they lie (see
+    ``skew``). Intervals with one start act like the longest of them, so they are reduced first. Each tile reports how far
+    it reaches; where a key goes on in the next tile, that tile is told how far the tiles before it reached and how many
+    merged intervals they opened.
     """
+    keys = list(keys)
+    tiled, reached = equal_tiles(df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end")), keys, mode, pieces)
     by = [*keys, "_tile"]
-    earlier = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     carry = F.max("_r") if mode == "union" else F.last("_r")
-    tiled, reached = equal_tiles(hot, keys, mode)
-    reach = cut_lineage(reached.select(*by, carry.over(earlier).alias("_carry")))
+    before = carried(reached, keys, _carry=lambda whole, earlier: carry.over(earlier))
 
     in_tile = Window.partitionBy(*by).orderBy("start", "end")
-    here = _reach_before(mode, in_tile)
-    before = F.greatest(here, F.col("_carry")) if mode == "union" else F.coalesce(here, F.col("_carry"))
-    opened = attach(tiled, reach, by).withColumn("_before", before).withColumn(
+    if mode == "union":
+        here = F.max("end").over(in_tile.rowsBetween(Window.unboundedPreceding, -1))
+        upto = F.greatest(here, F.col("_carry"))
+    else:
+        upto = F.coalesce(F.lag("end").over(in_tile), F.col("_carry"))
+    opened = attach(tiled, before, by, "left").withColumn("_before", upto).withColumn(
         "_opens", F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before")), 1).otherwise(0)
     )
-    offsets = cut_lineage(
-        opened.groupBy(*by)
-        .agg(F.sum("_opens").alias("_o"))
-        .select(*by, F.coalesce(F.sum("_o").over(earlier), F.lit(0)).alias("_offset"))
-    )
+    opens = opened.groupBy(*by).agg(F.sum("_opens").alias("_o"))
+    offsets = carried(opens, keys, _offset=lambda whole, earlier: F.sum("_o").over(earlier))
     within = F.sum("_opens").over(in_tile.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = attach(opened.withColumn("_within", within), offsets, by).withColumn(
-        "_island", F.col("_offset") + F.col("_within")
+    numbered = attach(opened.withColumn("_within", within), offsets, by, "left").withColumn(
+        "_island", F.coalesce("_offset", F.lit(0)) + F.col("_within")
     )
-    return _close(numbered, [*keys, "_island"], mode).drop("_island")
-
+    # Both ends are built before renaming, so the second aggregate still sees the member columns.
+    merged = numbered.groupBy(*keys, "_island").agg(F.min("start").alias("_s"), _reach(mode).alias("_e"))
+    return merged.drop("_island").withColumnsRenamed({"_s": "start", "_e": "end"})
 
-# A hot key's rows are dealt to this many tiles per task-sized piece.
-TILES_PER_PIECE = 8
 
+def _reach(mode: str) -> Column:
+    """How far the intervals of a group reach, as the mode sees it."""
+    return F.max("end") if mode == "union" else F.max_by("end", F.struct("start", "end"))
 
-def equal_tiles(hot: DataFrame, keys: Sequence[str], mode: str = "union") -> tuple[DataFrame, DataFrame]:
-    """One interval per key and start in tiles of about equal row counts, and one row ``_rows, _r`` (how far it reaches) per tile.
 
-    The borders come from a rank sketch of (key, start): the sample that a range partitioning draws. They depend on how
-    many starts lie where and not on the span of time, so one far-off start changes nothing. The counts are checked:
-    if a tile holds more than a piece of ``_limit`` rows, the rows are dealt again to twice as many. What was dealt
-    is written, so a task that runs again finds its tile as it was.
-    """
-    longest = cut_lineage(hot.groupBy(*keys, "start", "_limit").agg(F.max("end").alias("end")))
-    rows, limit = longest.agg(F.count(F.lit(1)), F.max("_limit")).first()
-    pieces = max(1, min(rows, math.ceil(TILES_PER_PIECE * rows / (limit or 1))))
-    while True:
-        dealt = longest.drop("_limit").repartitionByRange(pieces, *keys, "start")
-        tiled = cut_lineage(dealt.withColumn("_tile", F.spark_partition_id()))
-        reached = cut_lineage(tiled.groupBy(*keys, "_tile").agg(F.count(F.lit(1)).alias("_rows"), _reach(mode).alias("_r")))
-        largest = reached.agg(F.max("_rows")).first()[0]
-        if largest is None or largest <= max(limit, 1) or pieces >= rows:
-            return tiled, reached
-        pieces = min(2 * pieces, rows)
+def equal_tiles(
+    df: DataFrame, keys: Sequence[str], mode: str = "union", pieces: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """One interval per key and start in tiles of equal row counts, and per key and tile ``_rows`` and how far it reaches, ``_r``."""
+    longest = df.groupBy(*keys, "start").agg(F.max("end").alias("end"))
+    tiled = deal(longest, keys, ["start"], pieces)
+    return tiled, tiled.groupBy(*keys, "_tile").agg(F.count(F.lit(1)).alias("_rows"), _reach(mode).alias("_r"))
 
 
 def covered_time(merged: DataFrame, keys: Sequence[str], horizons: Mapping[str, float]) -> DataFrame:

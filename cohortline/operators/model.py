@@ -9,29 +9,74 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortline.functions.exprs import logistic
+from cohortline.operators.joins import lookup_join
 from cohortline.operators.quantiles import exact_quantiles
 from cohortline.session import cut_lineage, remove_scratch, write_scratch
 
 MAX_LEVELS = 200
 
 
-def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted distinct levels of a categorical column; refuses a column with too many."""
-    found = [r[0] for r in df.select(col).distinct().limit(max_levels + 2).collect()]
-    found = sorted(v for v in found if v is not None)
-    if len(found) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels")
-    return found
+def _distinct_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct values of all columns in one pass: number of the column ``_c``, ``level`` as a string. NULL is no level."""
+    each = [F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("level")) for i, c in enumerate(cols)]
+    cells = df.select(F.explode(F.array(*each)).alias("x")).select(F.col("x.c").alias("_c"), "x.level")
+    return cells.filter(F.col("level").isNotNull()).distinct()
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Replace each categorical column by one 0/1 column ``<col>_<level>`` per level; NULL gives all zeros."""
-    for c in cols:
-        made = {f"{c}_{v}": F.when(F.col(c) == v, 1).otherwise(0) for v in levels(df, c, max_levels)}
-        df = df.withColumns(made).drop(c)
-    return df
+    """Replace each categorical column by one 0/1 column ``<col>_<level>`` per level; NULL gives all zeros.
+
+    The levels of all columns are found in one pass. Every level is a column of the frame, so a column with more than
+    ``max_levels`` is an error; ``encode_levels`` takes any number.
+    """
+    found = cut_lineage(_distinct_levels(df, cols))
+    many = found.groupBy("_c").count().filter(F.col("count") > max_levels).collect()  # at most one row per column
+    if many:
+        raise ValueError(f"more than {max_levels} levels in {', '.join(cols[r['_c']] for r in many)}; use encode_levels")
+    levels: list[list[str]] = [[] for _ in cols]
+    for row in found.collect():  # at most max_levels per column
+        levels[row["_c"]].append(row["level"])
+    made = {}
+    for c, own in zip(cols, levels):
+        numeric = isinstance(df.schema[c].dataType, T.NumericType)
+        for v in sorted(own, key=float if numeric else str):
+            made[f"{c}_{v}"] = F.when(F.col(c).cast("string") == v, 1).otherwise(0)
+    return df.withColumns(made).drop(*cols)
+
+
+def number_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """All levels of the columns with their position in an encoded row: ``column, level, position`` from 0 on.
+
+    Positions follow the order of the columns, then of the levels as strings. The levels are dealt by a range
+    partitioning, numbered within their tile and moved on by the size of the tiles before it, so a column may have any
+    number of them.
+    """
+    spread = _distinct_levels(df, cols).repartitionByRange("_c", "level")
+    dealt = cut_lineage(spread.withColumn("_tile", F.spark_partition_id()))
+    earlier = Window.orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)  # over one row per tile
+    tiles = dealt.groupBy("_tile").agg(F.count(F.lit(1)).alias("_n"))
+    tiles = tiles.select("_tile", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip"))
+    in_tile = F.row_number().over(Window.partitionBy("_tile").orderBy("_c", "level"))
+    names = F.array(*[F.lit(c) for c in cols])
+    numbered = dealt.withColumn("_i", in_tile).join(cut_lineage(tiles), "_tile")
+    return numbered.select(names[F.col("_c")].alias("column"), "level", (F.col("_skip") + F.col("_i") - 1).alias("position"))
+
+
+def encode_levels(df: DataFrame, cols: Sequence[str], numbered: DataFrame | None = None, name: str = "positions") -> DataFrame:
+    """One-hot rows in sparse form: the columns give way to ``name``, the rising positions of the ones as an array<long>.
+
+    ``numbered`` is what ``number_levels`` gave, for the same frame unless it is passed; a NULL and a level that is not in it have
+    no position. Levels are looked up by joins and never meet on the driver.
+    """
+    numbered = cut_lineage(number_levels(df, cols) if numbered is None else numbered)
+    for i, c in enumerate(cols):
+        own = numbered.filter(F.col("column") == c).select(F.col("level").alias(f"_level_{i}"), F.col("position").alias(f"_at_{i}"))
+        df = lookup_join(df.withColumn(f"_level_{i}", F.col(c).cast("string")), own, [f"_level_{i}"], "left").drop(f"_level_{i}")
+    found = F.array_sort(F.array_compact(F.array(*[F.col(f"_at_{i}") for i in range(len(cols))])))
+    return df.withColumn(name, found).drop(*cols, *[f"_at_{i}" for i in range(len(cols))])
 
 
 def impute_chained(
@@ -50,10 +95,9 @@ def impute_chained(
 
     Rows that miss the same targets are all filled by one linear map of their observed columns, so the
     second moments per missing pattern hold all a round needs: the data is read twice (means, moments)
-    however many rounds are run, and the fill is a plain column expression.
+    however many rounds are run. Patterns are those that occur, found by grouping; the maps go back to the rows by
+    a lookup of the pattern.
     """
-    if len(targets) > 8:
-        raise ValueError("at most 8 targets: there is one set of moments per missing pattern")
     cols = [*features, *targets]
     first = df.agg(
         *[f(c).alias(f"{c}__{n}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))]
@@ -61,49 +105,64 @@ def impute_chained(
     mean = {c: float(first[f"{c}__m"] or 0.0) for c in cols}
     sd = {c: float(first[f"{c}__s"] or 0.0) or 1.0 for c in cols}
     scaled = df.select(*[((F.col(c).cast("double") - mean[c]) / sd[c]).alias(f"z{i}") for i, c in enumerate(cols)])
-    n_features, n_targets = len(features), len(targets)
-    width, patterns = 1 + len(cols), 2**n_targets
-
-    def pattern_moments(batch: pd.DataFrame) -> np.ndarray:
-        z = batch.to_numpy(float)
-        code = np.isnan(z[:, n_features:]) @ (2 ** np.arange(n_targets))
-        u = np.hstack([np.ones((len(z), 1)), np.nan_to_num(z)])
-        out = np.zeros((patterns, width, width))
-        for p in np.unique(code):
-            rows = u[code == p]
-            out[int(p)] = rows.T @ rows
-        return out.ravel()
-
-    gram = _sum_over_rows(scaled, pattern_moments, patterns * width * width).reshape(patterns, width, width)
+    n_features, width = len(features), 1 + len(cols)
+    moments = _pattern_moments(scaled, n_features, width)
     # fill[p] maps the observed columns of a row of pattern p to all columns; the mean fill is zero here.
-    fill = np.repeat(np.eye(width)[None], patterns, axis=0)
+    fill = {p: np.eye(width) for p in moments}
     for _ in range(rounds):
-        for t in range(n_targets):
+        for t in range(len(targets)):
             at = 1 + n_features + t
             others = [i for i in range(width) if i != at]
-            full = sum(fill[p] @ gram[p] @ fill[p].T for p in range(patterns) if not p >> t & 1)
+            full = sum((fill[p] @ moments[p] @ fill[p].T for p in moments if p[t] == "0"), np.zeros((width, width)))
             system = full[np.ix_(others, others)] + ridge * max(full[0, 0], 1.0) * np.diag([0.0] + [1.0] * (width - 2))
             weights = np.linalg.lstsq(system, full[others, at], rcond=None)[0]
-            for p in range(patterns):
-                if p >> t & 1:
+            for p in moments:
+                if p[t] == "1":
                     fill[p][at] = weights @ fill[p][others]
 
-    code = F.lit(0)
-    for t, name in enumerate(targets):
-        code = code + F.when(F.col(name).isNull(), 2**t).otherwise(0)
-    observed = [F.lit(1.0)] + [
-        F.coalesce((F.col(c).cast("double") - mean[c]) / sd[c], F.lit(0.0)) for c in cols
-    ]
+    maps = [(p, [fill[p][1 + n_features + t].tolist() if p[t] == "1" else None for t in range(len(targets))]) for p in moments]
+    table = df.sparkSession.createDataFrame(maps, "_pattern string, _maps array<array<double>>")
+    observed = F.array(F.lit(1.0), *[F.coalesce((F.col(c).cast("double") - mean[c]) / sd[c], F.lit(0.0)) for c in cols])
     out = {}
     for t, name in enumerate(targets):
-        at, value = 1 + n_features + t, F.col(name).cast("double")
-        for p in range(patterns):
-            if p >> t & 1:
-                terms = [F.lit(float(w)) * c for w, c in zip(fill[p][at], observed) if w != 0.0]
-                predicted = mean[name] + sd[name] * sum(terms, F.lit(0.0))
-                value = F.when(F.col("_pattern") == p, predicted).otherwise(value)
-        out[name + suffix] = value
-    return df.withColumn("_pattern", code).withColumns(out).drop("_pattern")
+        terms = F.zip_with(F.col("_maps")[t], observed, lambda w, v: w * v)
+        predicted = mean[name] + sd[name] * F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)
+        out[name + suffix] = F.when(F.col(name).isNull(), predicted).otherwise(F.col(name).cast("double"))
+    pattern = F.concat(*[F.when(F.col(t).isNull(), "1").otherwise("0") for t in targets])
+    filled = lookup_join(df.withColumn("_pattern", pattern), table, ["_pattern"], "left").withColumns(out)
+    return filled.select(*df.columns, *out)
+
+
+def _pattern_moments(scaled: DataFrame, n_features: int, width: int) -> dict[str, np.ndarray]:
+    """Second moments of the rows of each missing pattern that occurs, named by a 0 or 1 per target.
+
+    Each task adds up its own patterns; what it has is regrouped by pattern and added again.
+    """
+    schema = "pattern string, v binary"
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            z = batch.to_numpy(float)
+            u = np.hstack([np.ones((len(z), 1)), np.nan_to_num(z)])
+            kinds, kind = np.unique(np.isnan(z[:, n_features:]), axis=0, return_inverse=True)
+            for i, missing in enumerate(kinds):
+                rows = u[kind.ravel() == i]
+                name = "".join("1" if m else "0" for m in missing)
+                held[name] = held.get(name, 0.0) + rows.T @ rows
+        yield pd.DataFrame({"pattern": list(held), "v": [m.tobytes() for m in held.values()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, v in zip(batch["pattern"], batch["v"]):
+                held[name] = held.get(name, 0.0) + np.frombuffer(v)
+        yield pd.DataFrame({"pattern": list(held), "v": [m.tobytes() for m in held.values()]})
+
+    sums = scaled.mapInPandas(partial, schema).repartition("pattern").mapInPandas(add, schema)
+    # Patterns that occur, each with a matrix of the model's size; sorted, so that sums over them do not depend on the tasks.
+    found = {r["pattern"]: np.frombuffer(r["v"]).reshape(width, width) for r in sums.toLocalIterator()}
+    return dict(sorted(found.items()))
 
 
 # --------------------------------------------------------------------------- smooth logistic model
@@ -266,6 +325,7 @@ def fit_smooth_logits(
     segments: int = 8,
     max_passes: int = 25,
     tol: float = 1e-6,
+    smoothing: float | None = None,
 ) -> dict[str, SmoothLogit]:
     """Penalised logistic regressions with smooth terms, any number of them over the same rows.
 
@@ -273,13 +333,21 @@ def fit_smooth_logits(
     matrices X'WX and X'Wz of every model that has not converged yet, so a study of many formulas
     reads the data as often as its slowest model. The driver only solves systems of that size.
     Each model uses the rows complete in its own columns. A model that has not settled within
-    ``max_passes`` is an error.
+    ``max_passes`` is an error. ``smoothing`` holds the weight of every roughness penalty instead of choosing it.
     """
     columns = list(dict.fromkeys(c for f in formulas.values() for c in f.columns))
     # Read once per pass, so the narrow numeric frame is written once instead of rebuilt every time.
     spark = df.sparkSession
     path = write_scratch(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna("all"))
-    data = spark.read.parquet(path)
+    try:
+        return _fit(spark.read.parquet(path), formulas, segments, max_passes, tol, smoothing)
+    finally:
+        remove_scratch(spark, path)
+
+
+def _fit(
+    data: DataFrame, formulas: Mapping[str, Formula], segments: int, max_passes: int, tol: float, smoothing: float | None
+) -> dict[str, SmoothLogit]:
 
     def complete(f: Formula, col: str) -> Column:
         return F.when(F.greatest(*[F.col(c).isNull() for c in f.columns]), None).otherwise(F.col(col))
@@ -305,7 +373,8 @@ def fit_smooth_logits(
         rate = min(max(spread[f"{n}__rate"], 1e-6), 1 - 1e-6)
         beta = np.zeros(1 + sum(t.width for t in terms) + len(f.linear))
         beta[0] = np.log(rate / (1 - rate))
-        models[n] = SmoothLogit(f.outcome, terms, list(f.linear), beta, [1.0] * len(terms), int(spread[f"{n}__n"]))
+        start = [1.0 if smoothing is None else float(smoothing)] * len(terms)
+        models[n] = SmoothLogit(f.outcome, terms, list(f.linear), beta, start, int(spread[f"{n}__n"]))
 
     _centre(data, list(models.values()), segments + 3)
     measures = {
@@ -319,7 +388,7 @@ def fit_smooth_logits(
     for turn in range(1, max_passes + 1):
         for m, (gram, rhs, zz, dev) in zip(active, _moments(data, active)):
             # The search settles in the first passes; holding it afterwards lets the coefficients converge.
-            if turn <= 8:
+            if turn <= 8 and smoothing is None:
                 _choose_smoothing(m, gram, rhs, zz)
             system = gram + m.penalty(m.lambdas)
             m.beta = np.linalg.solve(system, rhs)
@@ -331,7 +400,6 @@ def fit_smooth_logits(
                 active = [other for other in active if other is not m]
         if not active:
             break
-    remove_scratch(spark, path)
     if active:
         names = [n for n, m in models.items() if any(m is other for other in active)]
         raise ArithmeticError(f"not converged after {max_passes} passes: {', '.join(names)}")

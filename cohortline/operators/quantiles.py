@@ -7,14 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortline.operators.skew import attach, split_hot
-from cohortline.session import cut_lineage
-
-# The built-in percentile holds the distinct values of a group in memory, one table per measure.
-HELD_VALUES = 1_000_000
-
-# Fence posts around each wanted quantile, as distances in probability.
-_POSTS = (-0.004, -0.002, -0.001, 0.0, 0.001, 0.002, 0.004)
+from cohortline.operators.skew import attach, carried, deal
 
 
 def exact_quantiles(
@@ -22,83 +15,50 @@ def exact_quantiles(
     by: Sequence[str],
     measures: Mapping[str, Column],
     probs: Sequence[float],
-    hot_rows: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """One row per group; each measure is an array with one quantile per probability, NULL if it has no value.
 
-    The group and its measures are written once. Ordinary groups use the built-in exact percentile. Groups with too
-    many rows for it, such as the single group of a whole-table quantile, are solved by selection: see
-    ``_by_selection``.
+    One plan for groups of one row and of most of the table: equal values of a group become one row with their count, combined
+    before the shuffle; these rows are dealt in the order of (group, measure, value) into tiles of equal size (see
+    ``skew``). Running counts within a tile and what earlier tiles carry over give every value its ranks, and the values at the
+    wanted ranks are summed up. No task holds or sorts more than a tile.
     """
     by, names, probs = list(by), list(measures), list(probs)
-    grouped = df.select(*[F.col(b) for b in by], *[c.cast("double").alias(m) for m, c in measures.items()])
-    if not by:
-        grouped, by = grouped.withColumn("_all", F.lit(1)), ["_all"]
-    cold, hot = split_hot(grouped, by, hot_rows, default=HELD_VALUES // len(names))
-    ask = F.array(*[F.lit(float(p)) for p in probs])
-    out = cold.groupBy(*by).agg(*[F.percentile(m, ask).alias(m) for m in names])
-    if hot is not None:
-        out = out.unionByName(_by_selection(hot, by, names, probs))
-    return out.drop("_all")
-
-
-def _melt(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
-    """One row per present value: group, number of the measure ``_m``, value ``_v``."""
-    cells = F.array(*[F.struct(F.lit(i).alias("m"), F.col(m).alias("v")) for i, m in enumerate(names)])
+    cells = F.array(*[F.struct(F.lit(i).alias("m"), c.cast("double").alias("v")) for i, c in enumerate(measures.values())])
     long = df.select(*by, F.explode(cells).alias("_x")).select(*by, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
-    return long.filter(F.col("_v").isNotNull())
-
-
-def _ranks(total: Column, p: float) -> tuple[Column, Column, Column]:
-    """The two neighbouring ranks of a quantile and the weight of the upper one."""
-    at = (total - 1) * F.lit(float(p))
-    return F.floor(at), F.least(F.floor(at) + 1, total - 1), at - F.floor(at)
-
-
-def _assemble(solved: DataFrame, by: list[str], names: list[str]) -> DataFrame:
-    """Rows (group, ``_m``, ``_q`` array) to one row per group."""
-    return solved.groupBy(*by).agg(*[F.max(F.when(F.col("_m") == i, F.col("_q"))).alias(m) for i, m in enumerate(names)])
-
-
-def _by_selection(hot: DataFrame, by: list[str], names: list[str], probs: list[float]) -> DataFrame:
-    """Exact order statistics without sorting a whole group anywhere.
-
-    Approximate quantiles near each wanted one cut the values of a group into zones. Exact counts per
-    zone tell which zone holds each wanted rank; only those zones, a fraction of a percent of the
-    group each, are reduced to distinct values and scanned. The approximation decides how even the
-    zones are, never the result.
-    """
+    # A group without values keeps a row, with a count of 0.
     key = [*by, "_m"]
-    long = _melt(hot, by, names)
-    posts = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in _POSTS})
-    # One row per large group: written, so that its size decides how it is joined.
-    fences = cut_lineage(
-        long.groupBy(*key).agg(F.percentile_approx("_v", posts, 10000).alias("_fences"), F.count(F.lit(1)).alias("_total"))
+    dealt = deal(long.groupBy(*key, "_v").agg(F.count("_v").alias("_c")), key, ["_v"], pieces)
+
+    parts = dealt.groupBy(*key, "_tile").agg(F.sum("_c").alias("_n"))
+    others = carried(
+        parts,
+        key,
+        _skip=lambda whole, earlier: F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
+        _all=lambda whole, earlier: F.sum("_n").over(whole),
     )
-    passed = [F.when(F.col("_v") > F.col("_fences")[i], 1).otherwise(0) for i in range(len(posts))]
-    zoned = attach(long, fences.drop("_total"), key).withColumn("_zone", sum(passed, F.lit(0))).drop("_fences")
-    counts = zoned.groupBy(*key, "_zone").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*key).orderBy("_zone").rowsBetween(Window.unboundedPreceding, -1)
-    zones = counts.withColumn("_skip", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-
-    wanted = []
-    for i, p in enumerate(probs):
-        low, high, share = _ranks(F.col("_total"), p)
-        for rank, weight in ((low, 1 - share), (high, share)):
-            wanted.append(F.struct(F.lit(i).alias("i"), rank.alias("rank"), weight.alias("weight")))
-    ranks = fences.select(*key, F.explode(F.array(*wanted)).alias("_r")).select(*key, "_r.i", "_r.rank", "_r.weight")
-    targets = attach(zones, ranks, key).filter(
-        (F.col("rank") >= F.col("_skip")) & (F.col("rank") < F.col("_skip") + F.col("_c"))
+    in_tile = Window.partitionBy("_tile", *key)
+    upto = in_tile.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = dealt.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_own", F.sum("_c").over(in_tile))
+    ranked = attach(counted, others, [*key, "_tile"], "left").select(
+        *key,
+        "_v",
+        (F.coalesce("_skip", F.lit(0)) + F.col("_upto") - F.col("_c")).alias("_from"),
+        (F.coalesce("_skip", F.lit(0)) + F.col("_upto")).alias("_to"),
+        F.coalesce("_all", "_own").alias("_total"),
     )
-    targets = cut_lineage(targets.select(*key, "_zone", "i", "weight", (F.col("rank") - F.col("_skip")).alias("rank")))
 
-    place = [*key, "_zone"]
-    values = attach(zoned, targets.select(*place).distinct(), place, "left_semi")
-    values = values.groupBy(*place, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = attach(values.withColumn("_upto", F.sum("_c").over(upto)), targets, place).filter(
-        (F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_c"))
-    )
-    cells = [F.sum(F.when(F.col("i") == i, F.col("_v") * F.col("weight"))) for i in range(len(probs))]
-    solved = ranked.groupBy(*key).agg(F.array(*cells).alias("_q"))
-    return attach(hot.select(*by).distinct(), _assemble(solved, by, names), by, "left")
+    parts_of = {}
+    for j, p in enumerate(probs):
+        at = (F.col("_total") - 1) * F.lit(float(p))
+        low, share = F.floor(at), at - F.floor(at)
+        here = F.when((low >= F.col("_from")) & (low < F.col("_to")), F.col("_v") * (1 - share))
+        above = F.when((share > 0) & (low + 1 >= F.col("_from")) & (low + 1 < F.col("_to")), F.col("_v") * share)
+        parts_of[j] = F.coalesce(here + above, here, above)
+    of_group = []
+    for i, m in enumerate(names):
+        mine = F.col("_m") == i
+        wanted = F.array(*[F.sum(F.when(mine, parts_of[j])) for j in parts_of])
+        of_group.append(F.when(F.max(F.when(mine, F.col("_total"))) > 0, wanted).alias(m))
+    return ranked.groupBy(*by).agg(*of_group)

@@ -45,7 +45,7 @@ def null_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def describe(df: DataFrame, cols: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], pieces: int | None = None) -> DataFrame:
     """``variable, stat, value`` with count, mean, sd, min, quartiles and max."""
     moments = df.agg(
         *[
@@ -54,19 +54,19 @@ def describe(df: DataFrame, cols: Sequence[str], hot_rows: int | None = None) ->
             for n, f in (("count", F.count), ("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))
         ]
     )
-    quart = exact_quantiles(df, [], {c: F.col(c) for c in cols}, [0.25, 0.5, 0.75], hot_rows)
+    quart = exact_quantiles(df, [], {c: F.col(c) for c in cols}, [0.25, 0.5, 0.75], pieces)
     names = ["variable", "stat"]
     a = _stack(moments, [((c, n), F.col(f"{c}__{n}")) for c in cols for n in ("count", "mean", "sd", "min", "max")], names)
     b = _stack(quart, [((c, n), F.col(c)[i]) for c in cols for i, n in enumerate(("p25", "p50", "p75"))], names)
     return a.unionByName(b)
 
 
-def iqr_fence(df: DataFrame, cols: Sequence[str], k: float = 1.5, hot_rows: int | None = None) -> DataFrame:
+def iqr_fence(df: DataFrame, cols: Sequence[str], k: float = 1.5, pieces: int | None = None) -> DataFrame:
     """Adds ``<col>_outlier``: strictly outside ``[q1 - k*iqr, q3 + k*iqr]``. NULL is never an outlier.
 
     The fences are one row, handed to the scan as a scalar subquery.
     """
-    q = exact_quantiles(df, [], {c: F.col(c) for c in cols}, [0.25, 0.75], hot_rows)
+    q = exact_quantiles(df, [], {c: F.col(c) for c in cols}, [0.25, 0.75], pieces)
     pair = lambda c: F.struct(
         (F.col(c)[0] - k * (F.col(c)[1] - F.col(c)[0])).alias("lo"),
         (F.col(c)[1] + k * (F.col(c)[1] - F.col(c)[0])).alias("hi"),
@@ -82,9 +82,9 @@ def iqr_fence(df: DataFrame, cols: Sequence[str], k: float = 1.5, hot_rows: int
     return out.drop("_f")
 
 
-def fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, hot_rows: int | None = None) -> DataFrame:
+def fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, pieces: int | None = None) -> DataFrame:
     """The fence values themselves: ``variable, low, high``."""
-    q = exact_quantiles(df, [], {c: F.col(c) for c in cols}, [0.25, 0.75], hot_rows)
+    q = exact_quantiles(df, [], {c: F.col(c) for c in cols}, [0.25, 0.75], pieces)
     rows = [
         F.struct(
             F.lit(c).alias("variable"),
@@ -101,7 +101,7 @@ def table_one(
     continuous: Sequence[str],
     categorical: Sequence[str],
     nonnormal: Sequence[str] = (),
-    hot_rows: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Cohort summary, long: ``variable, level, stat, value``.
 
@@ -122,7 +122,7 @@ def table_one(
         )
     ]
     if nonnormal:
-        q = exact_quantiles(df, [], {c: F.col(c) for c in nonnormal}, [0.25, 0.5, 0.75], hot_rows)
+        q = exact_quantiles(df, [], {c: F.col(c) for c in nonnormal}, [0.25, 0.5, 0.75], pieces)
         parts.append(
             _stack(q, [((c, "", n), F.col(c)[i]) for c in nonnormal for i, n in enumerate(("p25", "median", "p75"))], names)
         )

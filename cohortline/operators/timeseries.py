@@ -62,7 +62,7 @@ def median_in_window(
     low: float | None = 0,
     open_low: bool = True,
     open_high: bool = True,
-    hot_rows: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Exact median of each value for each horizon in one pass; columns ``<value>_<horizon>``.
 
@@ -76,7 +76,7 @@ def median_in_window(
             inside = inside & (t > low if open_low else t >= low)
         for v in values:
             measures[f"{v}_{label}"] = F.when(inside, F.col(v))
-    wide = exact_quantiles(df, keys, measures, [0.5], hot_rows)
+    wide = exact_quantiles(df, keys, measures, [0.5], pieces)
     return wide.select(*keys, *[F.col(m)[0].alias(m) for m in measures])
 
 

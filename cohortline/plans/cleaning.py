@@ -48,7 +48,7 @@ def clean(
     fenced: Sequence[str] = ("height_impute", "weight_impute"),
     impute: tuple[Sequence[str], Sequence[str], Sequence[str]] | None = None,
     rounds: int = 10,
-    hot_rows: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Exclusions, complete pressures, fills, imputation, outlier fences, body mass index.
 
@@ -68,7 +68,7 @@ def clean(
         filled = impute_chained(coded, targets, features, rounds).select(key, *[f"{t}_impute" for t in targets])
         renamed = filled.withColumnsRenamed({f"{t}_impute": f for t, f in zip(targets, fenced)})
         kept = kept.join(renamed, key, "left")
-    flagged = iqr_fence(kept, fenced, hot_rows=hot_rows)
+    flagged = iqr_fence(kept, fenced, pieces=pieces)
     inside = apply_exclusions(flagged, [f"{c}_outlier" for c in fenced]).drop(*[f"{c}_outlier" for c in fenced])
     height, weight = fenced[0], fenced[1]
     return inside.withColumn("bmi", body_mass_index(weight, height))

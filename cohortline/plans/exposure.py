@@ -51,11 +51,11 @@ def pressure_medians(
     time: str = "chartoffset",
     values: Sequence[str] = ("ibp_systolic", "ibp_diastolic", "ibp_mean"),
     horizons: Mapping[str, float] | None = None,
-    hot_rows: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Exact medians per stay for each pressure and horizon, strictly inside ``(0, T)``."""
     horizons = horizons or {f"{h}h": h * 60 for h in vocab.HORIZONS_HOURS}
-    return median_in_window(readings, [key], time, values, horizons, hot_rows=hot_rows)
+    return median_in_window(readings, [key], time, values, horizons, pieces=pieces)
 
 
 def time_in_range(

@@ -140,11 +140,11 @@ def vasopressor_hours(
     end: str = "drugstopoffset",
     horizons: Mapping[str, float] | None = None,
     mode: str = "union",
-    hot_rows: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Hours under vasopressors up to each horizon, overlaps counted once (offset layout, minutes)."""
     horizons = horizons or {f"{h}hrs": h * 60 for h in vocab.HORIZONS_HOURS}
-    merged = merge_intervals(clean_intervals(orders, start, end), [key], start, end, mode, hot_rows)
+    merged = merge_intervals(clean_intervals(orders, start, end), [key], start, end, mode, pieces)
     covered = covered_time(merged, [key], horizons)
     return covered.select(key, *[F.bround(F.col(h) / 60.0, 2).alias(f"{h}_hr") for h in horizons])
 

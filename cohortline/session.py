@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,9 +63,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediates written inside are removed at the end, also after an error.
+
+    Frames made inside read them, so results must be written or collected before the scope ends.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove_scratch(spark, path)
+
+
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, known to the innermost ``scratch_scope``."""
+    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def write_scratch(df: DataFrame) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,11 +52,29 @@ def write_csv(df: DataFrame, path: str, index: Sequence[str] | None = None) -> N
 
 
 def materialize(df: DataFrame, path: str, cluster_by: Sequence[str] | None = None) -> DataFrame:
-    """Replace a derived table on shared storage and read it back (the lineage ends at the files)."""
+    """Replace a derived table on shared storage and read it back (the lineage ends at the files).
+
+    The new table is written beside the old one and takes its place once it is whole, so a job that fails leaves the old
+    table as it was, and ``df`` may read the table that it replaces.
+    """
+    spark = df.sparkSession
     if cluster_by:
         df = df.repartition(*cluster_by)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    mark = uuid.uuid4().hex
+    beside, before = (f"{path.rstrip('/')}.{kind}-{mark}" for kind in ("new", "old"))
+    df.write.parquet(beside)
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, new, old = paths(path), paths(beside), paths(before)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    replaces = files.exists(target)
+    if replaces and not files.rename(target, old):
+        raise OSError(f"cannot replace {path}; the new table is at {beside}")
+    if not files.rename(new, target):
+        raise OSError(f"cannot move {beside} to {path}" + (f"; the old table is at {before}" if replaces else ""))
+    if replaces:
+        files.delete(old, True)
+    spark.catalog.refreshByPath(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def register_views(tables: Mapping[str, DataFrame], prefix: str = "") -> None:

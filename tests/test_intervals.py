@@ -34,19 +34,19 @@ def merged_by_hand(data, mode):
 
 
 @pytest.mark.parametrize("mode", ["union", "last_end"])
-@pytest.mark.parametrize("hot_rows", [None, 3, 1])
-def test_merge_edges(spark, rows, mode, hot_rows):
+@pytest.mark.parametrize("pieces", [None, 3, 12])
+def test_merge_edges(spark, rows, mode, pieces):
     df = spark.createDataFrame(EDGE, "k long, s long, e long")
-    assert rows(merge_intervals(df, ["k"], "s", "e", mode, hot_rows)) == merged_by_hand(EDGE, mode)
+    assert rows(merge_intervals(df, ["k"], "s", "e", mode, pieces)) == merged_by_hand(EDGE, mode)
 
 
 @pytest.mark.parametrize("mode", ["union", "last_end"])
-@pytest.mark.parametrize("hot_rows", [None, 400, 20])
-def test_merge_random(spark, rows, mode, hot_rows):
+@pytest.mark.parametrize("pieces", [None, 4, 50])
+def test_merge_random(spark, rows, mode, pieces):
     rng = random.Random(11)
     data = [(k, s, s + rng.randint(0, 40)) for k in (1, 1, 1, 2) for s in [rng.randint(0, 9000) for _ in range(200)]]
     df = spark.createDataFrame(data, "k long, s long, e long")
-    assert rows(merge_intervals(df, ["k"], "s", "e", mode, hot_rows)) == merged_by_hand(data, mode)
+    assert rows(merge_intervals(df, ["k"], "s", "e", mode, pieces)) == merged_by_hand(data, mode)
 
 
 def test_union_covers_exactly_the_covered_minutes(spark):
@@ -84,15 +84,15 @@ def test_tiles_hold_equally_many_rows_whatever_the_span(spark, rows, mode):
         (F.col("id") % 1).alias("k"),
         F.when(F.col("id") == 7, F.lit(10**12)).otherwise(F.col("id") * 3).alias("start"),
     ).withColumn("end", F.col("start") + F.when(F.col("start") % 5 == 0, 9).otherwise(1))
-    tiled, reached = equal_tiles(data.withColumn("_limit", F.lit(2_500.0)), ["k"], mode)
+    tiled, reached = equal_tiles(data, ["k"], mode, 64)
     counts = [r["_rows"] for r in reached.collect()]
     assert sum(counts) == tiled.count() == 20_000 and len(counts) >= 60
     assert max(counts) <= 2 * sum(counts) / len(counts)
-    split = merge_intervals(data, ["k"], "start", "end", mode, hot_rows=2_500)
+    split = merge_intervals(data, ["k"], "start", "end", mode, 64)
     assert rows(split) == rows(merge_intervals(data, ["k"], "start", "end", mode))
 
 
 def test_a_start_that_repeats_fills_no_tile(spark, rows):
     data = spark.range(6_000).select((F.col("id") % 1).alias("k"), F.when(F.col("id") < 5_000, 50).otherwise(F.col("id")).alias("s"))
     df = data.withColumn("e", F.col("s") + F.col("s") % 3)
-    assert rows(merge_intervals(df, ["k"], "s", "e", hot_rows=100)) == rows(merge_intervals(df, ["k"], "s", "e"))
+    assert rows(merge_intervals(df, ["k"], "s", "e", pieces=30)) == rows(merge_intervals(df, ["k"], "s", "e"))

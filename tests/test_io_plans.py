@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cohortline.operators.skew import hot_groups
-from cohortline.session import LOCAL_FOLDER, cut_lineage, shared_folder
+from cohortline.operators.skew import carried, deal
+from cohortline.session import LOCAL_FOLDER, cut_lineage, scratch_scope, shared_folder
 from cohortline.sources import io
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,6 +26,22 @@ def test_materialize_replaces(spark, rows, tmp_path):
     io.materialize(spark.range(5), path)
     again = io.materialize(spark.range(3), path, ["id"])
     assert rows(again) == [(0,), (1,), (2,)]
+    assert rows(io.materialize(again.withColumn("id", F.col("id") + 5), path)) == [(5,), (6,), (7,)]
+    with pytest.raises(Exception):
+        io.materialize(spark.range(9).select(F.raise_error(F.lit("no")).cast("long").alias("id")), path)
+    assert rows(spark.read.parquet(path)) == [(5,), (6,), (7,)]
+
+
+def test_scratch_goes_with_its_scope(spark):
+    import os
+
+    kept = cut_lineage(spark.range(3))
+    with pytest.raises(KeyError), scratch_scope(spark):
+        inside = cut_lineage(spark.range(4))
+        paths = [f.removeprefix("file:").removeprefix("//") for f in inside.inputFiles()]
+        assert all(map(os.path.exists, paths))
+        raise KeyError
+    assert not any(map(os.path.exists, paths)) and kept.count() == 3
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
@@ -80,10 +96,15 @@ def test_no_machine_local_folder_on_a_cluster(spark):
     assert shared_folder(_Session(spark, "local[2]")) == LOCAL_FOLDER
 
 
-def test_only_groups_above_the_limit_are_hot(spark, rows):
-    df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"))
-    assert rows(hot_groups(df, ["k"], 100, lo=F.min("k")), "k", "_n", "lo") == [(0, 400, 0)]
-    assert hot_groups(df, ["k"], 400) is None
+def test_only_groups_in_several_tiles_are_carried(spark, rows):
+    df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"), "id")
+    dealt = deal(df, ["k"], ["id"], 10)
+    sizes = [r["count"] for r in dealt.groupBy("_tile").count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 2 * sum(sizes) / 10
+    parts = dealt.groupBy("k", "_tile").agg(F.count(F.lit(1)).alias("n"))
+    got = carried(parts, ["k"], skip=lambda whole, earlier: F.sum("n").over(earlier), all=lambda whole, earlier: F.sum("n").over(whole)).collect()
+    assert {(r["k"], r["all"]) for r in got} == {(0, 400)} and len(got) >= 4
+    assert sorted(r["skip"] or 0 for r in got)[0] == 0 and len({r["skip"] for r in got}) == len(got)
 
 
 def plan_of(spark, name):

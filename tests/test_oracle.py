@@ -40,11 +40,14 @@ SPLITTING = [
 
 @pytest.mark.parametrize("name", SPLITTING)
 def test_agrees_with_sql_when_groups_are_split(spark, con, name, monkeypatch):
-    """The same answers when every group above 30 rows counts as too large for one task."""
-    from cohortline.operators import quantiles, skew
+    """The same answers when the rows are dealt into so many tiles that most groups lie in several."""
+    from cohortline.operators import intervals, quantiles, skew
 
-    monkeypatch.setattr(skew, "HOT_ROWS", 30)
-    monkeypatch.setattr(quantiles, "HELD_VALUES", 90)
+    def fine(df, keys, order, pieces=None):
+        return skew.deal(df, keys, order, 40)
+
+    monkeypatch.setattr(intervals, "deal", fine)
+    monkeypatch.setattr(quantiles, "deal", fine)
     assert compare(con, entry.queries()[name](spark, FOLDER), entry.oracle_sql()[name]) == []
 
 

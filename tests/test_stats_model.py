@@ -24,7 +24,7 @@ def test_iqr_fence_is_strict(spark, rows):
 def test_iqr_fence_same_for_large_tables(spark, rows):
     rng = random.Random(2)
     df = spark.createDataFrame([(i, rng.gauss(0, 1) ** 3) for i in range(500)], "i long, v double")
-    assert rows(stats.iqr_fence(df, ["v"], hot_rows=10)) == rows(stats.iqr_fence(df, ["v"]))
+    assert rows(stats.iqr_fence(df, ["v"], pieces=10)) == rows(stats.iqr_fence(df, ["v"]))
 
 
 def test_odds_ratio_borders_nulls_and_zero_cells(spark):
@@ -75,6 +75,32 @@ def test_one_hot_levels(spark, rows):
     assert out.columns == ["i", "s_a", "s_b"] and rows(out) == [(1, 0, 1), (2, 0, 0), (3, 1, 0)]
     with pytest.raises(ValueError):
         model.one_hot(df, ["s"], max_levels=1)
+    numbers = spark.createDataFrame([(10,), (9,), (None,)], "n int")
+    assert model.one_hot(numbers, ["n"]).columns == ["n_9", "n_10"]
+
+
+def test_sparse_encoding_of_many_levels(spark, rows):
+    """A column with 100,000 levels, one that holds a third of the rows, and one of another type."""
+    n = F.col("id")
+    df = spark.range(150_000).select(
+        "id",
+        F.when(n < 50_000, F.lit("hot")).otherwise(F.format_string("level %06d", n)).alias("s"),
+        F.when(n % 7 != 0, (n % 3).cast("int")).alias("k"),
+    )
+    numbered = model.number_levels(df, ["s", "k"])
+    want = sorted(["hot", *[f"level {i:06d}" for i in range(50_000, 150_000)]])
+    got = numbered.orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(100_004))
+    assert [(r["column"], r["level"]) for r in got] == [*[("s", v) for v in want], ("k", "0"), ("k", "1"), ("k", "2")]
+    place = {v: i for i, v in enumerate(want)}
+    out = model.encode_levels(df, ["s", "k"], numbered)
+    assert out.columns == ["id", "positions"] and out.count() == 150_000
+    for r in out.filter("id % 4999 = 1").collect():
+        level = "hot" if r["id"] < 50_000 else f"level {r['id']:06d}"
+        assert r["positions"] == [place[level], *([100_001 + r["id"] % 3] if r["id"] % 7 else [])]
+    unseen = spark.createDataFrame([(1, "new", 1), (2, None, None)], "id long, s string, k int")
+    assert rows(model.encode_levels(unseen, ["s", "k"], numbered).select("id", F.size("positions"))) == [(1, 1), (2, 0)]
+    assert model.encode_levels(unseen.limit(0), ["s", "k"]).count() == 0
 
 
 def chained_by_rows(x, y, rounds, ridge):
@@ -92,7 +118,7 @@ def chained_by_rows(x, y, rounds, ridge):
     return my + sy * now
 
 
-@pytest.mark.parametrize("targets", [2, 3])
+@pytest.mark.parametrize("targets", [2, 3, 11])
 def test_impute_chained_equals_row_iteration(spark, targets):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 3)) * [1, 5, 0.2] + [0, 40, 3]

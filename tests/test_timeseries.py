@@ -127,17 +127,17 @@ def test_dense_readings_take_linear_time(spark):
 
 
 @pytest.mark.parametrize("by", [["k"], []])
-@pytest.mark.parametrize("hot_rows", [None, 150, 1])
-def test_exact_quantiles_by_selection(spark, rows, by, hot_rows):
+@pytest.mark.parametrize("pieces", [None, 2, 37])
+def test_exact_quantiles_by_selection(spark, rows, by, pieces):
     import numpy as np
 
     rng = random.Random(3)
     data = [(k, rng.choice([float(rng.randint(0, 9)), rng.gauss(0, 5), 2.5]), rng.random()) for k in (1, 1, 2) for _ in range(151)]
-    data += [(3, None, 1.0), (3, None, None), (None, 4.0, 1.0), (None, 8.0, 1.0)]
+    data += [(3, None, 1.0), (3, None, None), (None, 4.0, 1.0), (None, 8.0, 1.0), (5, 1.5, None)]
     df = spark.createDataFrame(data, "k long, v double, w double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    out = exact_quantiles(df, by, {"v": F.col("v"), "w": F.when(F.col("w") > 0.5, F.col("w"))}, probs, hot_rows)
-    groups = [1, 2, 3, None] if by else ["all"]
+    out = exact_quantiles(df, by, {"v": F.col("v"), "w": F.when(F.col("w") > 0.5, F.col("w"))}, probs, pieces)
+    groups = [1, 2, 3, None, 5] if by else ["all"]
     got = {r["k"] if by else "all": r for r in out.collect()}
     assert set(got) == set(groups)
     for g in groups:
@@ -150,3 +150,16 @@ def test_exact_quantiles_by_selection(spark, rows, by, hot_rows):
                 assert np.allclose(got[g][name], np.quantile(values, probs))
             else:
                 assert got[g][name] is None
+
+
+def test_quantiles_of_one_plan_for_all_group_sizes(spark):
+    """A group with 200,000 distinct values beside 50,000 groups of one."""
+    n = F.col("id")
+    df = spark.range(250_000).select(
+        F.when(n < 200_000, F.lit(-1)).otherwise(n).alias("k"), ((n * 7919) % 200_003).cast("double").alias("v")
+    )
+    out = exact_quantiles(df, ["k"], {"v": F.col("v")}, [0.5, 1.0])
+    assert out.count() == 50_001
+    values = sorted(float(i * 7919 % 200_003) for i in range(200_000))
+    assert out.filter("k = -1").first()["v"] == [(values[99_999] + values[100_000]) / 2, values[-1]]
+    assert out.filter("k = 210000").first()["v"] == [float(210_000 * 7919 % 200_003)] * 2
