@@ -25,6 +25,7 @@ Null and empty texts are one piece with the end id alone. Repeated rows and equa
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,31 +43,81 @@ CAPACITY = 4096
 KEPT_LENGTH = 64
 KEPT_WORDS = 1 << 18
 
+# A character that hardly occurs, and how much text with it is coded at once.
+MARK = "\x02"
+JOINED = 1 << 16
+
+
+# Between a letter or digit and the stops at the end of a word.
+_STOPS = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,;:!?]+(?:[\x20\x09-\x0D]|\Z))")
+
+
+def _words(text: str) -> list[bytes]:
+    """The words of a text for a tokenizer that drops white space, parts letters and digits from stops, and does not tell cases apart.
+
+    Cut at ASCII white space and before stops, ASCII texts in lower case, so that there are fewer different words. A text with special
+    tokens in it keeps its case, as those are looked for before it is dropped.
+    """
+    data = text.encode()
+    if text.isascii() and "<|" not in text:
+        data = data.lower()
+    return _STOPS.sub(b" ", data).split()
+
 
 class WordCoder:
-    """Ids of texts under a tokenizer that never looks across white space, as little-endian unsigned 32-bit numbers.
+    """Ids of texts under a tokenizer, as little-endian unsigned 32-bit numbers; each word is coded once and kept.
 
-    Each word is coded once and kept. For ``encode`` the tokenizer must drop white space and code what lies between on its
-    own, as tokenizers with marked word ends do; for ``code`` the caller knows where it can be cut.
+    A call of the tokenizer costs more than a word, so new words are coded many in one text, with ``between`` after each:
+    a text with ``MARK``, where the tokenizer always cuts, so that the ids up to each mark are those of one word. Words that have
+    the mark in them are coded one by one. For ``encode`` the tokenizer must treat words as ``_words`` says; for ``code`` the
+    caller knows where texts can be cut.
     """
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
-        self.kept: dict[bytes, bytes] = {}
+    def __init__(self, tokenizer: Tokenizer, between: str = f" {MARK} "):
+        self.tokenizer, self.between = tokenizer, between
+        *self.before, self.mark = tokenizer.encode(between, add_special_tokens=False).ids
+        self.kept: dict[bytes | str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.code([text.encode().split() for text in texts])  # at ASCII white space
+        return self.code([_words(text) for text in texts])
 
     def code(self, split: list[list]) -> list[bytes]:
         """Ids of texts that are cut into words, as strings or bytes."""
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
         new = list({word for words in split for word in words if word not in self.kept})
-        coded = self.tokenizer.encode_batch_fast([w if isinstance(w, str) else w.decode() for w in new], add_special_tokens=False)
-        found = {word: np.array(code.ids, "<u4").tobytes() for word, code in zip(new, coded, strict=True)}
-        self.kept.update((word, ids) for word, ids in found.items() if len(word) <= KEPT_LENGTH)
-        look = {**self.kept, **found} if any(len(word) > KEPT_LENGTH for word in new) else self.kept
-        return [b"".join(map(look.__getitem__, words)) for words in split]
+        self.kept.update(zip(new, self._ids([w if isinstance(w, str) else w.decode() for w in new]), strict=True))
+        coded = [b"".join(map(self.kept.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > KEPT_LENGTH:
+                del self.kept[word]
+        return coded
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        held, size = [], 0
+        for i, word in enumerate(words):
+            if MARK in word:
+                out[i] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            held.append(i)
+            size += len(word)
+            if size >= JOINED or i == len(words) - 1:
+                self._joined(words, held, out)
+                held, size = [], 0
+        if held:
+            self._joined(words, held, out)
+        return out
+
+    def _joined(self, words: list[str], held: list[int], out: list[bytes]) -> None:
+        text = "".join([words[i] + self.between for i in held])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        marks = np.flatnonzero(ids == self.mark)
+        raw = ids.tobytes()
+        ends = (4 * (marks - len(self.before))).tolist()
+        begins = [0, *(4 * (marks + 1)).tolist()[:-1]]
+        for i, begin, end in zip(held, begins, ends, strict=True):
+            out[i] = raw[begin:end]
 
 
 def pieces(
@@ -133,9 +184,8 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
         turn += 1
         gaps = gaps.filter(F.col("_gap") >= least)
         n_gaps, widest = gaps.agg(F.count(F.lit(1)), F.coalesce(F.max("_gap"), F.lit(0))).first()
-        too_long = rest.agg(F.coalesce(F.sum(F.when(F.col("_size") > widest, F.col("_size"))), F.lit(0))).first()[0]
-        if too_long:
-            gaps = gaps.unionByName(fresh(too_long))
+        if largest > widest:
+            gaps = gaps.unionByName(fresh(rest.filter(F.col("_size") > widest).agg(F.sum("_size")).first()[0]))
         # No more parts than a few times the pieces that are left.
         most = max(1, -(-4 * n // max(1, n_gaps)))
         matched = scratch(_sweep(_parts(gaps, largest, most), rest))
@@ -187,9 +237,9 @@ def _sweep(parts: DataFrame, rest: DataFrame) -> DataFrame:
     tiles = running.groupBy("_tile").agg(F.sum("_step").alias("_all"), F.min("_sum").alias("_low"))
     tiles = tiles.withColumn("_base", F.coalesce(F.sum("_all").over(earlier), F.lit(0)))
     tiles = tiles.withColumn("_floor", F.least(F.lit(0), F.coalesce(F.min(F.col("_base") + F.col("_low")).over(earlier), F.lit(0))))
-    tiles = scratch(tiles.select("_tile", "_base", "_floor"))
+    tiles = F.broadcast(tiles.select("_tile", "_base", "_floor"))
 
-    depth = running.join(F.broadcast(tiles), "_tile").withColumn("_sum", F.col("_sum") + F.col("_base"))
+    depth = running.join(tiles, "_tile").withColumn("_sum", F.col("_sum") + F.col("_base"))
     lowest = F.least(F.col("_floor"), F.coalesce(F.min("_sum").over(before), F.lit(0)))
     depth = depth.withColumn("_level", F.col("_sum") - lowest + F.when(F.col("_step") == -1, 1).otherwise(0))
     # A piece that brings the sum to a new low finds nothing open; a hash spreads these rows.

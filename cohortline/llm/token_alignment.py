@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortline.llm.common import record_batch, scratch, text_chunks, whole_texts
-from cohortline.llm.packing import WordCoder
+from cohortline.llm.packing import MARK, WordCoder
 from cohortline.llm.periodic_runs import ragged
 from cohortline.operators.joins import lookup_join
 
@@ -107,7 +107,7 @@ class ByteLevel:
         for token, i in vocabulary.items():
             if all(c in alphabet for c in token):
                 self.bytes[i] = bytes(alphabet[c] for c in token)
-        self.coder = WordCoder(tokenizer)
+        self.coder = WordCoder(tokenizer, f" {MARK}")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.coder.code([_CUT.split(" " + text) if text else [] for text in texts])

@@ -80,6 +80,9 @@ WEIRD = [
     "İı STRASSE straße ﬁ ẞ",
     "12 345 ١٢ a1b2 $%^ &*( \U0001f600\U0001f1e9\U0001f1ea",
     "word" * 5000,
+    "mark \x02 a\x02b \x02\x02 word.\x02 end.",
+    "Stop. stop., (stop), 'stop!' é. e9? a.b.c... ,x ;; 3.14, 1,000. U.S.A. don't, it's. <|ENDOFTEXT|>. J\u030c. ÉCOLE,",
+    "J\u030c, K\u030c. \u0345\u0301x.",
 ]
 
 
