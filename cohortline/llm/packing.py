@@ -25,7 +25,9 @@ Null and empty texts are one piece with the end id alone. Repeated rows and equa
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,81 +45,54 @@ CAPACITY = 4096
 KEPT_LENGTH = 64
 KEPT_WORDS = 1 << 18
 
-# A character that hardly occurs, and how much text with it is coded at once.
-MARK = "\x02"
-JOINED = 1 << 16
+# Fixed value: what the tokenizer takes as a word of its own, for ASCII in lower case without white space.
+ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
-# Between a letter or digit and the stops at the end of a word.
-_STOPS = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,;:!?]+(?:[\x20\x09-\x0D]|\Z))")
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others, in order, as the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
-def _words(text: str) -> list[bytes]:
-    """The words of a text for a tokenizer that drops white space, parts letters and digits from stops, and does not tell cases apart.
+class WordIds(dict):
+    """Ids of words as little-endian unsigned 32-bit numbers, worked out when first asked for.
 
-    Cut at ASCII white space and before stops, ASCII texts in lower case, so that there are fewer different words. A text with special
-    tokens in it keeps its case, as those are looked for before it is dropped.
+    The tokenizer brings texts to NFC and lower case, drops white space and codes letters, single digits and runs of anything else
+    on their own, so a text's ids are those of its words one after the other. For ASCII words and words of
+    Latin letters below U+0250, which NFC leaves alone, that is done here and only the merging is left to its model; all other
+    words, and those in which a special token may stand, go through the whole tokenizer.
     """
-    data = text.encode()
-    if text.isascii() and "<|" not in text:
-        data = data.lower()
-    return _STOPS.sub(b" ", data).split()
 
-
-class WordCoder:
-    """Ids of texts under a tokenizer, as little-endian unsigned 32-bit numbers; each word is coded once and kept.
-
-    A call of the tokenizer costs more than a word, so new words are coded many in one text, with ``between`` after each:
-    a text with ``MARK``, where the tokenizer always cuts, so that the ids up to each mark are those of one word. Words that have
-    the mark in them are coded one by one. For ``encode`` the tokenizer must treat words as ``_words`` says; for ``code`` the
-    caller knows where texts can be cut.
-    """
-
-    def __init__(self, tokenizer: Tokenizer, between: str = f" {MARK} "):
-        self.tokenizer, self.between = tokenizer, between
-        *self.before, self.mark = tokenizer.encode(between, add_special_tokens=False).ids
-        self.kept: dict[bytes | str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self.code([_words(text) for text in texts])
-
-    def code(self, split: list[list]) -> list[bytes]:
-        """Ids of texts that are cut into words, as strings or bytes."""
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        new = list({word for words in split for word in words if word not in self.kept})
-        self.kept.update(zip(new, self._ids([w if isinstance(w, str) else w.decode() for w in new]), strict=True))
-        coded = [b"".join(map(self.kept.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > KEPT_LENGTH:
-                del self.kept[word]
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isascii() and "<|" not in text:
+            parts = ASCII_PARTS.findall(text.lower())
+        elif text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+            parts = [text.lower()]
+        else:
+            return self._keep(word, self.tokenizer.encode(text, add_special_tokens=False).ids)
+        written = [part.encode().decode("latin-1").translate(self.letters) for part in parts]
+        return self._keep(word, [token.id for part in written for token in self.model.tokenize(part)])
+
+    def _keep(self, word: bytes, ids: list[int]) -> bytes:
+        coded = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= KEPT_LENGTH:
+            self[word] = coded
         return coded
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(words)
-        held, size = [], 0
-        for i, word in enumerate(words):
-            if MARK in word:
-                out[i] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            held.append(i)
-            size += len(word)
-            if size >= JOINED or i == len(words) - 1:
-                self._joined(words, held, out)
-                held, size = [], 0
-        if held:
-            self._joined(words, held, out)
-        return out
-
-    def _joined(self, words: list[str], held: list[int], out: list[bytes]) -> None:
-        text = "".join([words[i] + self.between for i in held])
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        marks = np.flatnonzero(ids == self.mark)
-        raw = ids.tobytes()
-        ends = (4 * (marks - len(self.before))).tolist()
-        begins = [0, *(4 * (marks + 1)).tolist()[:-1]]
-        for i, begin, end in zip(held, begins, ends, strict=True):
-            out[i] = raw[begin:end]
+    def encode(self, text: str) -> bytes:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        data = text.encode()
+        if text.isascii() and "<|" not in text:
+            data = data.lower()  # fewer different words
+        return b"".join(map(self.__getitem__, data.split()))  # at ASCII white space
 
 
 def pieces(
@@ -135,11 +110,12 @@ def pieces(
     width = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(Tokenizer.from_str(described.value))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work; threads of the library would wait for it in a loop
+        words = WordIds(Tokenizer.from_str(described.value))
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 rows = batch.slice(first, 512)
-                coded = [ids + end for ids in coder.encode(rows.column(1).to_pylist())]
+                coded = [words.encode(text) + end for text in rows.column(1).to_pylist()]
                 owner = [i for i, ids in enumerate(coded) for _ in range(0, len(ids), width)]
                 begins = [at for ids in coded for at in range(0, len(ids), width)]
                 parts = [coded[i][at : at + width] for i, at in zip(owner, begins, strict=True)]

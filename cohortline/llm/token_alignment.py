@@ -21,6 +21,7 @@ like any other and count each; extra columns are left out; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortline.llm.common import record_batch, scratch, text_chunks, whole_texts
-from cohortline.llm.packing import MARK, WordCoder
+from cohortline.llm.packing import byte_letters
 from cohortline.llm.periodic_runs import ragged
 from cohortline.operators.joins import lookup_join
 
@@ -88,26 +89,80 @@ def overlaps(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return common, rank[common], np.repeat(np.arange(len(short)), many), np.repeat(first, many) + ragged(many)
 
 
-def _byte_level_alphabet() -> dict[str, int]:
-    """Byte-level tokens write printable bytes as themselves and the others, in order, as the characters from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
+# A character that hardly occurs, and how much text with it is coded at once.
+MARK = "\x02"
+JOINED = 1 << 16
+
+# Pre-tokens longer than this are not kept, and no more than this many are.
+KEPT_LENGTH = 64
+KEPT_WORDS = 1 << 18
+
+
+class WordCoder:
+    """Ids of pieces of text after which the tokenizer always cuts, as little-endian unsigned 32-bit numbers; each is coded once and kept.
+
+    A call of the tokenizer costs more than a word, so new ones are coded many in one text, with ``between`` after each:
+    a text with ``MARK``, before which the tokenizer cuts too, so that the ids up to each mark are those of one piece. Pieces that
+    have the mark in them are coded one by one.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, between: str = f" {MARK}"):
+        self.tokenizer, self.between = tokenizer, between
+        *self.before, self.mark = tokenizer.encode(between, add_special_tokens=False).ids
+        self.kept: dict[str, bytes] = {}
+
+    def code(self, split: list[list[str]]) -> list[bytes]:
+        if len(self.kept) > KEPT_WORDS:
+            self.kept.clear()
+        new = list({word for words in split for word in words if word not in self.kept})
+        self.kept.update(zip(new, self._ids(new), strict=True))
+        coded = [b"".join(map(self.kept.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > KEPT_LENGTH:
+                del self.kept[word]
+        return coded
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        held, size = [], 0
+        for i, word in enumerate(words):
+            if MARK in word:
+                out[i] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            held.append(i)
+            size += len(word)
+            if size >= JOINED:
+                self._joined(words, held, out)
+                held, size = [], 0
+        if held:
+            self._joined(words, held, out)
+        return out
+
+    def _joined(self, words: list[str], held: list[int], out: list[bytes]) -> None:
+        text = "".join([words[i] + self.between for i in held])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        marks = np.flatnonzero(ids == self.mark)
+        raw = ids.tobytes()
+        ends = (4 * (marks - len(self.before))).tolist()
+        begins = [0, *(4 * (marks + 1)).tolist()[:-1]]
+        for i, begin, end in zip(held, begins, ends, strict=True):
+            out[i] = raw[begin:end]
 
 
 class ByteLevel:
     """Tokenizer A: ids of a space and the text, and the bytes of each id."""
 
     def __init__(self, described: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work; threads of the library would wait for it in a loop
         tokenizer = Tokenizer.from_str(described)
         tokenizer.encode_special_tokens = True
-        alphabet = _byte_level_alphabet()
+        alphabet = {letter: byte for byte, letter in byte_letters().items()}
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         self.bytes = [b""] * (max(tokenizer.get_vocab().values()) + 1)
         for token, i in vocabulary.items():
             if all(c in alphabet for c in token):
                 self.bytes[i] = bytes(alphabet[c] for c in token)
-        self.coder = WordCoder(tokenizer, f" {MARK}")
+        self.coder = WordCoder(tokenizer)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.coder.code([_CUT.split(" " + text) if text else [] for text in texts])
