@@ -32,6 +32,8 @@ def one_hot(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) ->
     The levels of all columns are found in one pass. Every level is a column of the frame, so a column with more than
     ``max_levels`` is an error; ``encode_levels`` takes any number.
     """
+    if not cols:
+        return df
     found = cut_lineage(_distinct_levels(df, cols))
     many = found.groupBy("_c").count().filter(F.col("count") > max_levels).collect()  # at most one row per column
     if many:
