@@ -332,8 +332,8 @@ q AS (SELECT quantile_cont""").replace("AS w3 FROM kept", "AS w3 FROM filled").r
 @query(
     "cleaning_with_chained_targets",
     with_items(READINGS, PRESSURES, PEOPLE, RESULTS, HOLES)
-    + """SELECT patientunitstayid, age, gender, ethnicity, round(height_impute, 4) AS height_impute, round(weight_impute, 4) AS weight_impute,
-  round(bmi, 4) AS bmi FROM fin""",
+    + """SELECT patientunitstayid, age, gender, ethnicity, round(height_impute, 6) AS height_impute, round(weight_impute, 6) AS weight_impute,
+  round(bmi, 6) AS bmi FROM fin""",
 )
 def cleaning_with_chained_targets(spark, folder):
     """The cleaning pipeline with ten rounds of imputation for two targets, before fences and body mass index."""
@@ -344,7 +344,7 @@ def cleaning_with_chained_targets(spark, folder):
         }
     )
     out = _clean(spark, folder, (["admissionheight", "admissionweight"], ["age"], []), holes)
-    out = rounded(out, 4, "height_impute", "weight_impute", "bmi")
+    out = rounded(out, 6, "height_impute", "weight_impute", "bmi")
     return out.select(KEY, "age", "gender", "ethnicity", "height_impute", "weight_impute", "bmi")
 
 
