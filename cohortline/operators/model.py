@@ -152,14 +152,16 @@ def _pattern_moments(scaled: DataFrame, n_features: int, width: int) -> dict[str
                 rows = u[kind.ravel() == i]
                 name = "".join("1" if m else "0" for m in missing)
                 held[name] = held.get(name, 0.0) + rows.T @ rows
-        yield pd.DataFrame({"pattern": list(held), "v": [m.tobytes() for m in held.values()]})
+        if held:  # a task without rows has no matrix; Spark cannot take a frame without rows for binary columns
+            yield pd.DataFrame({"pattern": list(held), "v": [m.tobytes() for m in held.values()]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, v in zip(batch["pattern"], batch["v"]):
                 held[name] = held.get(name, 0.0) + np.frombuffer(v)
-        yield pd.DataFrame({"pattern": list(held), "v": [m.tobytes() for m in held.values()]})
+        if held:
+            yield pd.DataFrame({"pattern": list(held), "v": [m.tobytes() for m in held.values()]})
 
     sums = scaled.mapInPandas(partial, schema).repartition("pattern").mapInPandas(add, schema)
     # Patterns that occur, each with a matrix of the model's size; sorted, so that sums over them do not depend on the tasks.

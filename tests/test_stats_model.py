@@ -133,6 +133,14 @@ def test_impute_chained_equals_row_iteration(spark, targets):
     assert np.allclose(out[[f"{n}_impute" for n in names]].to_numpy(float), want)
 
 
+def test_impute_chained_with_tasks_without_rows(spark):
+    df = spark.createDataFrame([(i, float(i), None if i % 3 == 0 else 2.0 * i + 1) for i in range(9)], "i int, a double, y double")
+    filled = model.impute_chained(df.repartitionByRange(40, "i").filter("i <> 4"), ["y"], ["a"], rounds=1, ridge=0.0).orderBy("i").collect()
+    assert [r["i"] for r in filled] == [0, 1, 2, 3, 5, 6, 7, 8]
+    assert np.allclose([r["y_impute"] for r in filled], [2 * r["i"] + 1 for r in filled])
+    assert model.impute_chained(df.limit(0), ["y"], ["a"]).count() == 0
+
+
 def test_basis_is_a_partition_of_unity():
     s = model.Smooth("x", -1.0, 4.0, 6)
     x = np.linspace(-1.0, 4.0, 50)
