@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -323,6 +323,23 @@ def _choose_smoothing(m: SmoothLogit, gram: np.ndarray, rhs: np.ndarray, zz: flo
             m.lambdas[i] = float(grid[int(np.argmin(tries))])
 
 
+# Parts of a step that raised the penalised deviance, tried together in the next pass.
+SHORTER = tuple(0.5**k for k in range(1, 9))
+
+
+@dataclass(frozen=True)
+class _Path:
+    """From where and to where a model's next step goes, the penalised deviance at its start, and the parts of it to try."""
+
+    start: np.ndarray
+    end: np.ndarray
+    value: float = float("inf")
+    lengths: Sequence[float] = (1.0,)
+
+    def at(self, length: float) -> np.ndarray:
+        return self.end if length == 1.0 else self.start + length * (self.end - self.start)
+
+
 def fit_smooth_logits(
     df: DataFrame,
     formulas: Mapping[str, Formula],
@@ -335,7 +352,9 @@ def fit_smooth_logits(
 
     P-splines (Eilers & Marx 1996) fitted by penalised IRLS. A pass over the data adds up the small
     matrices X'WX and X'Wz of every model that has not converged yet, so a study of many formulas
-    reads the data as often as its slowest model. The driver only solves systems of that size.
+    reads the data as often as its slowest model. The driver only solves systems of that size. A step that would
+    raise a model's penalised deviance, as happens where an outcome is the same for all rows at an end of the range, is
+    shortened: the next pass tries several parts of it.
     Each model uses the rows complete in its own columns. A model that has not settled within
     ``max_passes`` is an error. ``smoothing`` holds the weight of every roughness penalty instead of choosing it.
     """
@@ -389,19 +408,32 @@ def _fit(
         models[n].medians = {c: float(medians[f"{n}__{c}"][0]) for c in (*f.smooths, *f.linear)}
 
     active = list(models.values())
+    paths = [_Path(m.beta, m.beta) for m in active]
     for turn in range(1, max_passes + 1):
-        for m, (gram, rhs, zz, dev) in zip(active, _moments(data, active)):
+        trials = [(p, length, replace(m, beta=p.at(length))) for m, p in zip(active, paths) for length in p.lengths]
+        results: dict[int, list[tuple]] = {}
+        for (p, length, trial), found in zip(trials, _moments(data, [trial for _, _, trial in trials])):
+            value = found[3] + trial.beta @ trial.penalty(trial.lambdas) @ trial.beta
+            results.setdefault(id(p), []).append((value, length, trial.beta, found))
+        going = []
+        for m, path in zip(active, paths):
+            value, length, reached, (gram, rhs, zz, dev) = min(results[id(path)], key=lambda r: r[0])
+            m.passes = turn
+            if value > path.value + 1e-9 * (abs(path.value) + 0.1):  # a step too far: the same way again, but not as far
+                going.append((m, replace(path, lengths=[length * s for s in SHORTER])))
+                continue
             # The search settles in the first passes; holding it afterwards lets the coefficients converge.
             if turn <= 8 and smoothing is None:
                 _choose_smoothing(m, gram, rhs, zz)
-            system = gram + m.penalty(m.lambdas)
+            penalty = m.penalty(m.lambdas)
+            system = gram + penalty
             m.beta = np.linalg.solve(system, rhs)
             m.cov = np.linalg.inv(system)
             m.edf = float(np.trace(m.cov @ gram))
-            m.passes = turn
-            settled, m.deviance = abs(m.deviance - dev) < tol * (abs(dev) + 0.1), float(dev)
-            if settled:
-                active = [other for other in active if other is not m]
+            settled, m.deviance = length == 1.0 and abs(m.deviance - dev) < tol * (abs(dev) + 0.1), float(dev)
+            if not settled:
+                going.append((m, _Path(reached, m.beta, float(dev + reached @ penalty @ reached))))
+        active, paths = [m for m, _ in going], [path for _, path in going]
         if not active:
             break
     if active:

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,18 @@ def test_the_anchor_walk_is_exact(spark, step):
     assert model.curve_slope(df.limit(0), "x", "y", step).count() == 0
 
 
+@pytest.mark.parametrize("smoothing", [None, 0.001])
+def test_smooth_logit_settles_where_an_end_has_one_outcome(spark, smoothing):
+    """Few rows at the ends of the range, all with one outcome: full steps overshoot there and never come back."""
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(50, 6, 2000), [0.0, 1.0, 99.0, 100.0]])
+    y = np.where(np.abs(x - 50) > 20, 0.0, (rng.random(len(x)) < 0.98).astype(float))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    fitted = model.fit_smooth_logits(df, {"m": model.Formula("y", ("x",))}, smoothing=smoothing, tol=1e-10)
+    assert max(abs(r["score"]) for r in model.score_equations(df, fitted).collect()) < 1e-5
+    assert fitted["m"].deviance < 500
+
+
 def test_models_fitted_together_equal_models_fitted_alone(spark):
     rng = np.random.default_rng(9)
     n = 1500
