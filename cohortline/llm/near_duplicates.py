@@ -45,6 +45,7 @@ BUCKET_TEXT = 32 << 20  # bytes of text whose parts share a bucket
 FLUSH_PARTS = 1_500_000  # parts that are packed together
 LEAST_BUCKETS = 16  # so that small inputs use more than one core
 BLOCK = 1024  # sets of one part compared in one task at a time
+FIRST_KEYS = 16  # of a set, by which a pair is known in the other parts it shares
 _U64 = np.uint64
 
 
@@ -318,17 +319,20 @@ def _folded(sketches: list, bits: np.ndarray, to: int) -> np.ndarray:
 def near_pairs(blocks: DataFrame, most: int) -> DataFrame:
     """Pairs of sets of one part from different components whose sketches allow a link, the nearest first.
 
-    At most ``most`` pairs per set and block; ``more`` tells whether some were left out.
+    At most ``most`` pairs per set and block; ``more`` tells whether some were left out. A pair that meets in several parts is
+    compared in the first of them, as far as the members' ``first_keys`` show; that part stays until the pair had its turn.
     """
     schema = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_())])
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("fp")
+        key = table.column("key")[0].as_py()
         fp, n, comp = (table.column(c).to_numpy() for c in ("fp", "n", "component"))
         side = table.column("side").to_numpy()
         same_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         bits = sketch_bits(table.column("band").to_numpy().astype(np.int64))
         words = _folded(list(table.column("sketch")), bits, int(bits.min()))
+        seen = _earlier_keys(table.column("first_keys").combine_chunks(), key)
         out_u, out_v, more = [], [], []
         rows = np.arange(len(fp)) if same_block else np.flatnonzero(side == 0)
         others = np.arange(len(fp)) if same_block else np.flatnonzero(side == 1)
@@ -339,6 +343,8 @@ def near_pairs(blocks: DataFrame, most: int) -> DataFrame:
             distance = np.bitwise_count(words[fit] ^ words[i]).sum(axis=1, dtype=np.int64)
             near = 7 * distance <= n[fit] + n[i]
             fit, distance = fit[near], distance[near]
+            here = ~(seen[fit] & seen[i]).any(axis=1)
+            fit, distance = fit[here], distance[here]
             best = np.lexsort((fp[fit], distance))[:most]
             out_u.append(np.full(len(best), fp[i]))
             out_v.append(fp[fit[best]])
@@ -346,12 +352,22 @@ def near_pairs(blocks: DataFrame, most: int) -> DataFrame:
         if not out_u:
             return schema.empty_table()
         u, v = np.concatenate(out_u), np.concatenate(out_v)
-        key = np.full(len(u), table.column("key")[0].as_py())
-        return pa.table([key, np.maximum(u, v), np.minimum(u, v), np.concatenate(more)], schema=schema)
+        return pa.table([np.full(len(u), key), np.maximum(u, v), np.minimum(u, v), np.concatenate(more)], schema=schema)
 
     return blocks.groupBy("key", "i", "j").applyInArrow(compare, "key long, u long, v long, more boolean")
 
 
+def _earlier_keys(lists: pa.Array, key: int) -> np.ndarray:
+    """Which of the keys before ``key`` each list has, as bits of 64-bit words."""
+    owner = lists.value_parent_indices().to_numpy()
+    keys = lists.flatten().to_numpy()
+    owner, keys = owner[keys < key], keys[keys < key]
+    _, number = np.unique(keys, return_inverse=True)
+    out = np.zeros((len(lists), max(1, -(-(int(number.max()) + 1) // 64) if len(number) else 1)), _U64)
+    np.bitwise_or.at(out, (owner, number // 64), _U64(1) << (number % 64).astype(_U64))
+    return out
+
+
 def in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Members of each part dealt to pairs of blocks of about ``BLOCK`` sets, so that all pairs of blocks meet."""
     dealt = members.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -384,8 +400,10 @@ def link_components(survivors: DataFrame, sets: DataFrame) -> DataFrame:
         open_keys = per_key.filter("low <> high").groupBy("m", "members").agg(F.min("key").alias("key"))
         sizes = scratch(open_keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
         facts = sets.select("fp", "n", "band", "sketch")
+        opened = labelled.join(sizes.select("key"), "key", "left_semi")
+        first_keys = opened.groupBy("fp").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_KEYS).alias("first_keys"))
         # Part by part the sets are few, but a set takes part in many; its sketch joins only where it is compared.
-        members = in_blocks(labelled, sizes).join(facts, "fp")
+        members = in_blocks(labelled, sizes).join(facts, "fp").join(first_keys, "fp")
         found = scratch(near_pairs(members, most))
         pairs = found.select("u", "v").distinct()
         if tried is not None:

@@ -53,6 +53,22 @@ def test_components_of_a_family_linked_only_through_its_middle(spark, monkeypatc
     assert sum(c == 0 for _, c in want.values()) == 41
 
 
+def test_a_pair_is_compared_in_one_of_its_parts(spark):
+    """Forty sets in their own components that share five parts, and one more part that only two of them share."""
+    from pyspark.sql import functions as F
+
+    sets = spark.createDataFrame([(fp, 30, 0, bytearray(32), fp) for fp in range(40)], "fp long, n long, band int, sketch binary, component long")
+    shared = sets.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("fp").isin(7, 8), 6).otherwise(5).cast("long"))).alias("key"))
+    blocks = shared.withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0), "first_keys": F.array(*[F.lit(k).cast("long") for k in range(1, 6)])})
+    found = near_duplicates.near_pairs(blocks, 100).collect()
+    assert len(found) == 40 * 39 and {r["key"] for r in found} == {1}
+    assert {(r["u"], r["v"]) for r in found} == {(u, v) for u in range(40) for v in range(u)}
+    few = near_duplicates.near_pairs(blocks, 3).collect()
+    assert len(few) == 40 * 3 and all(r["more"] for r in few)
+    late = blocks.filter("key = 6").withColumn("first_keys", F.array(F.lit(6).cast("long")))
+    assert {(r["key"], r["u"], r["v"]) for r in near_duplicates.near_pairs(late, 3).collect()} == {(6, 8, 7)}
+
+
 def test_band_borders(spark):
     """Pairs of all sizes around the bands, exactly at the threshold and just below it."""
     pairs = []
