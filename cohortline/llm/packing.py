@@ -45,8 +45,11 @@ CAPACITY = 4096
 KEPT_LENGTH = 64
 KEPT_WORDS = 1 << 18
 
-# Fixed value: what the tokenizer takes as a word of its own, for ASCII in lower case without white space.
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# Fixed value: what the tokenizer takes as a word of its own, in lower case without white space, if all that is not ASCII is letters.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\U0010ffff]+|[0-9]|[^a-z0-9\x80-\U0010ffff]+")
+
+# ASCII and the Latin letters below U+0250 whose lower case is one letter.
+LATIN = re.compile(r"[\x00-\x7f\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]*")
 
 
 def byte_letters() -> dict[int, str]:
@@ -60,9 +63,10 @@ class WordIds(dict):
     """Ids of words as little-endian unsigned 32-bit numbers, worked out when first asked for.
 
     The tokenizer brings texts to NFC and lower case, drops white space and codes letters, single digits and runs of anything else
-    on their own, so a text's ids are those of its words one after the other. For ASCII words and words of
-    Latin letters below U+0250, which NFC leaves alone, that is done here and only the merging is left to its model; all other
-    words, and those in which a special token may stand, go through the whole tokenizer.
+    on their own, so a text's ids are those of its words one after the other. For words of ASCII characters and Latin
+    letters below U+0250, which NFC leaves alone, that is done here and only the merging is left to its model; all other
+    words, and those in which a special token may stand, go through the whole tokenizer. The parts of a word are looked up as
+    words: most have been seen alone or beside other signs.
     """
 
     def __init__(self, tokenizer: Tokenizer):
@@ -71,17 +75,21 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isascii() and "<|" not in text:
-            parts = ASCII_PARTS.findall(text.lower())
-        elif text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
-            parts = [text.lower()]
-        else:
+        if "<|" in text or not LATIN.fullmatch(text):
             return self._keep(word, self.tokenizer.encode(text, add_special_tokens=False).ids)
-        written = [part.encode().decode("latin-1").translate(self.letters) for part in parts]
-        return self._keep(word, [token.id for part in written for token in self.model.tokenize(part)])
+        text = text.lower()
+        if not text.isalpha():
+            parts = PARTS.findall(text)
+            if len(parts) > 1:
+                return self._hold(word, b"".join([self[part.encode()] for part in parts]))
+        if not (text.isascii() and text.isalnum()):
+            text = text.encode().decode("latin-1").translate(self.letters)
+        return self._keep(word, [token.id for token in self.model.tokenize(text)])
 
     def _keep(self, word: bytes, ids: list[int]) -> bytes:
-        coded = struct.pack(f"<{len(ids)}I", *ids)
+        return self._hold(word, struct.pack(f"<{len(ids)}I", *ids))
+
+    def _hold(self, word: bytes, coded: bytes) -> bytes:
         if len(word) <= KEPT_LENGTH:
             self[word] = coded
         return coded

@@ -117,3 +117,22 @@ def test_a_sweep_takes_the_tightest_part(spark):
     assert {got.pop(11), got.pop(12)} == {3, 4}
     assert got.pop(14) is None and got.pop(13) == 1
     assert sorted(got.values(), key=str) == [2, None] and set(got) == {15, 16}
+
+
+def test_latin_words_with_signs_need_no_call_of_the_tokenizer():
+    whole = Tokenizer.from_file(PATH)
+
+    class Merging:
+        """Only what the model does."""
+
+        model = whole.model
+
+    texts = ["équeoivi&&& ÉTÉ's l'Épée,### naïve9ü a'S %%%'ll Ǆǅ ªµº", "x'' 's 't'T 12é3 ***", ""]
+    words = packing.WordIds(Merging())
+    for text in texts:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    rng = random.Random(3)
+    every = packing.WordIds(whole)
+    signs = [*"abzé'sStTrReEldLmMvVdD019.,<|>İıǅßÀ×÷ªµ\u0301\u0410\u4e00 ", chr(0x24F), chr(0x250)]
+    for text in ("".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(3000)):
+        assert np.frombuffer(every.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
