@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,12 @@ STRETCH = 64
 # Before a space between two characters that are none, byte-level pre-tokens always end.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
+# The letters among ASCII and the Latin characters below U+0250, and the byte-level pre-tokens of a piece that has, after
+# a space or none, only these, digits and other visible ASCII.
+_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_PLAIN = re.compile(rf" ?[!-~{_LETTERS}]+")
+_PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ 0-9{_LETTERS}]+")
+
 
 def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     """For each end in ``short`` the place of the first end in ``long`` that is not before it. Both rise, and ``long`` ends last."""
@@ -101,19 +108,25 @@ KEPT_WORDS = 1 << 18
 class WordCoder:
     """Ids of pieces of text after which the tokenizer always cuts, as little-endian unsigned 32-bit numbers; each is coded once and kept.
 
-    A call of the tokenizer costs more than a word, so new ones are coded many in one text, with ``between`` after each:
-    a text with ``MARK``, before which the tokenizer cuts too, so that the ids up to each mark are those of one piece. Pieces that
-    have the mark in them are coded one by one.
+    Pieces of letters, digits and signs that are easily told (``_PLAIN``) are taken apart here and only the merging is left to
+    the tokenizer's model; their parts are kept too, as most occur in several pieces. For the others a call of the tokenizer costs
+    more than a word, so new ones are coded many in one text, with ``between`` after each: a text with ``MARK``, before which
+    the tokenizer cuts too, so that the ids up to each mark are those of one piece. Pieces that have the mark in them are
+    coded one by one.
     """
 
     def __init__(self, tokenizer: Tokenizer, between: str = f" {MARK}"):
-        self.tokenizer, self.between = tokenizer, between
+        self.tokenizer, self.model, self.between = tokenizer, tokenizer.model, between
         *self.before, self.mark = tokenizer.encode(between, add_special_tokens=False).ids
         self.kept: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.letters = byte_letters()
 
     def code(self, split: list[list[str]]) -> list[bytes]:
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
+        if len(self.parts) > KEPT_WORDS:
+            self.parts.clear()
         new = list({word for words in split for word in words if word not in self.kept})
         self.kept.update(zip(new, self._ids(new), strict=True))
         coded = [b"".join(map(self.kept.__getitem__, words)) for words in split]
@@ -126,6 +139,9 @@ class WordCoder:
         out: list[bytes] = [b""] * len(words)
         held, size = [], 0
         for i, word in enumerate(words):
+            if _PLAIN.fullmatch(word):
+                out[i] = b"".join([self.parts.get(part) or self._part(part) for part in _PRE_TOKENS.findall(word)])
+                continue
             if MARK in word:
                 out[i] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
@@ -138,6 +154,13 @@ class WordCoder:
             self._joined(words, held, out)
         return out
 
+    def _part(self, part: str) -> bytes:
+        ids = [token.id for token in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+        coded = struct.pack(f"<{len(ids)}I", *ids)
+        if len(part) <= KEPT_LENGTH:
+            self.parts[part] = coded
+        return coded
+
     def _joined(self, words: list[str], held: list[int], out: list[bytes]) -> None:
         text = "".join([words[i] + self.between for i in held])
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")

@@ -121,3 +121,26 @@ def test_gallop_is_a_search(seed):
     long = np.unique(draw.integers(0, 10 ** int(draw.integers(1, 6)), size * int(draw.choice([1, 3, 50]))))
     short = np.unique(np.r_[draw.choice(long, min(size, len(long)) // 2 + 1), draw.integers(0, long[-1] + 1, size // 2 + 1), long[-1]])
     assert (token_alignment.gallop(short, long) == np.searchsorted(long, short)).all()
+
+
+def test_plain_pieces_are_merged_by_the_model_alone():
+    import random
+
+    with open(PATH_A, encoding="utf-8") as file:
+        coder = token_alignment.ByteLevel(file.read())
+    whole = coder.coder.tokenizer
+    rng = random.Random(3)
+    signs = [*"abzé'sStTrReEldLmMvVdD019.,<|>İıǅßÀ×÷ªµ\x02\n\u0301\u0410\u4e00    ", chr(0x24F), chr(0x250)]
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 16))) for _ in range(3000)] + ["x <|endoftext|> y", "a'll 's 'S 'lls"]
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert ids.tolist() == whole.encode(" " + text, add_special_tokens=False).ids, ascii(text)
+
+    class Merging:
+        """Only what the model does, once the mark is known."""
+
+        model = whole.model
+
+    coder.coder.tokenizer = Merging()
+    coder.coder.kept.clear()
+    again = ["équeoivi&&& l'Épée,### naïve9ü a'll %%%'s 12é3 ***", "plain words"]
+    assert [ids.tolist() for ids in coder.encode(again)] == [whole.encode(" " + text, add_special_tokens=False).ids for text in again]
