@@ -332,7 +332,7 @@ def near_pairs(blocks: DataFrame, most: int) -> DataFrame:
         same_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         bits = sketch_bits(table.column("band").to_numpy().astype(np.int64))
         words = _folded(list(table.column("sketch")), bits, int(bits.min()))
-        seen = _earlier_keys(table.column("first_keys").combine_chunks(), key)
+        seen = None  # worked out for the first pair that is near
         out_u, out_v, more = [], [], []
         rows = np.arange(len(fp)) if same_block else np.flatnonzero(side == 0)
         others = np.arange(len(fp)) if same_block else np.flatnonzero(side == 1)
@@ -343,6 +343,10 @@ def near_pairs(blocks: DataFrame, most: int) -> DataFrame:
             distance = np.bitwise_count(words[fit] ^ words[i]).sum(axis=1, dtype=np.int64)
             near = 7 * distance <= n[fit] + n[i]
             fit, distance = fit[near], distance[near]
+            if len(fit) == 0:
+                continue
+            if seen is None:
+                seen = _earlier_keys(table.column("first_keys").combine_chunks(), key)
             here = ~(seen[fit] & seen[i]).any(axis=1)
             fit, distance = fit[here], distance[here]
             best = np.lexsort((fp[fit], distance))[:most]
