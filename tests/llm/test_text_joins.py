@@ -1,5 +1,7 @@
 """Line dedup, n-gram join and substring dedup against plain versions, on odd rows and with every limit forced."""
 
+import time
+
 import pytest
 from odd import components, cut_repeats, empty, kept_lines, odd, shingles, texts, unique_pairs
 
@@ -142,6 +144,34 @@ def test_near_lines(spark):
     assert [d for d, t in got.items() if t == ""] == [2, 3, 4, 5, 7, 11]
 
 
+def test_lines_without_quadratic_work(spark):
+    """A text of many lines and a line of many words take seconds."""
+    lines = [f"a{i} b{i} c{i} d{i} e{i}" for i in range(40_000)]
+    words = [f"w{i}" for i in range(40_000)]
+    changed = [*words[:20_000], "other", *words[20_001:]]
+    pairs = [(1, "\n".join([*lines, lines[7], "x y", "x y"])), (2, " ".join(words)), (3, " ".join(changed)), (4, " ".join(words[1:]))]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert time.monotonic() - began < 40
+    assert {d: r.text for d, r in got.items()} == {1: "\n".join([*lines, "x y", "x y"]), 2: pairs[1][1], 3: "", 4: ""}
+    assert (got[1]._dropped_lines, got[1]._kept_lines) == (1, 40_002)
+
+
+def test_near_lines_of_every_length(spark):
+    """A word changed, left out or added at every place, around the borders of the blocks that are hashed together."""
+    pairs, want = [], {}
+    for n in (6, 7, 8, 9, 15, 16, 17, 18):
+        line = [f"w{i}" for i in range(n)]
+        near = [[*line[:i], *new, *line[j:]] for i in range(n + 1) for j in (i, i + 1) if j <= n for new in ((), ("n",)) if new or j > i]
+        far = [[*line[:i], "n", *line[i + 1 :], "m"] for i in range(n)]
+        for other, stays in [*((t, False) for t in near), *((t, True) for t in far)]:
+            own = len(pairs)  # no words in common with other pairs
+            pairs += [(own + m, " ".join(f"{w}x{own}" for w in t)) for m, t in enumerate((line, other))]
+            want |= {own: pairs[-2][1], own + 1: pairs[-1][1] if stays else ""}
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == want
+
+
 def test_substrings_on_odd_rows(spark):
     got = substring_dedup.dedup_substrings(odd(spark)).collect()
     assert len(got) == len(texts())
