@@ -202,9 +202,11 @@ class Smooth:
     def width(self) -> int:
         return self.segments + 2
 
+    def second(self) -> np.ndarray:
+        return np.diff(np.eye(self.segments + 3), n=2, axis=0)[:, 1:]
+
     def penalty(self) -> np.ndarray:
-        second = np.diff(np.eye(self.segments + 3), n=2, axis=0)[:, 1:]
-        return second.T @ second
+        return self.second().T @ self.second()
 
 
 @dataclass(frozen=True)
@@ -245,6 +247,14 @@ class SmoothLogit:
             at += term.width
         return s
 
+    def roughness(self, beta: np.ndarray, lambdas: Sequence[float]) -> float:
+        """``beta' S beta`` as a sum of squared differences: the matrix would lose a small one between large coefficients."""
+        total, at = 1e-8 * (beta @ beta), 1
+        for term, lam in zip(self.smooths, lambdas):
+            total += lam * ((term.second() @ beta[at : at + term.width]) ** 2).sum()
+            at += term.width
+        return float(total)
+
 
 def _design(frame: pd.DataFrame, smooths: Sequence[Smooth], linear: Sequence[str]) -> np.ndarray:
     parts = [np.ones((len(frame), 1))]
@@ -413,7 +423,7 @@ def _fit(
         trials = [(p, length, replace(m, beta=p.at(length))) for m, p in zip(active, paths) for length in p.lengths]
         results: dict[int, list[tuple]] = {}
         for (p, length, trial), found in zip(trials, _moments(data, [trial for _, _, trial in trials])):
-            value = found[3] + trial.beta @ trial.penalty(trial.lambdas) @ trial.beta
+            value = found[3] + trial.roughness(trial.beta, trial.lambdas)
             results.setdefault(id(p), []).append((value, length, trial.beta, found))
         going = []
         for m, path in zip(active, paths):
@@ -425,14 +435,13 @@ def _fit(
             # The search settles in the first passes; holding it afterwards lets the coefficients converge.
             if turn <= 8 and smoothing is None:
                 _choose_smoothing(m, gram, rhs, zz)
-            penalty = m.penalty(m.lambdas)
-            system = gram + penalty
+            system = gram + m.penalty(m.lambdas)
             m.beta = np.linalg.solve(system, rhs)
             m.cov = np.linalg.inv(system)
             m.edf = float(np.trace(m.cov @ gram))
             settled, m.deviance = length == 1.0 and abs(m.deviance - dev) < tol * (abs(dev) + 0.1), float(dev)
             if not settled:
-                going.append((m, _Path(reached, m.beta, float(dev + reached @ penalty @ reached))))
+                going.append((m, _Path(reached, m.beta, float(dev + m.roughness(reached, m.lambdas)))))
         active, paths = [m for m, _ in going], [path for _, path in going]
         if not active:
             break

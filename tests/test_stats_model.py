@@ -276,3 +276,13 @@ def test_a_model_that_has_not_converged_is_an_error(spark):
     df = spark.range(400).select((F.col("id") % 2).alias("y"), (F.col("id") * 7 % 31).alias("x"))
     with pytest.raises(ArithmeticError):
         fit_smooth_logit(df, "y", ["x"], max_passes=1)
+
+
+def test_roughness_of_large_coefficients_on_a_line():
+    """Coefficients on a straight line have no roughness; by the matrix, rounding leaves more than the fit tolerates."""
+    term = model.Smooth("x", 0.0, 1.0, 10)
+    line = 96.0 * np.arange(1, term.width + 1) / 7
+    m = model.SmoothLogit("y", [term], [], np.r_[0.0, line], [1e5], 10)
+    assert abs(m.roughness(m.beta, m.lambdas) - 1e-8 * (m.beta @ m.beta)) < 1e-12
+    bent = np.r_[2.0, line + np.sin(np.arange(term.width))]
+    assert np.isclose(m.roughness(bent, m.lambdas), bent @ m.penalty(m.lambdas) @ bent, rtol=1e-6)
