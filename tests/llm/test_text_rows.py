@@ -12,6 +12,7 @@ import tiktoken
 from odd import WORD, empty, odd, texts
 from pyspark.sql import functions as F
 
+from cohortline import session
 from cohortline.llm import byte_bpe, mixing, personal_data, quality_rules, resampling, toxicity, vector_search
 
 FOLDER = "/root/testdata/sf0.001"
@@ -258,6 +259,91 @@ def test_words_in_random_order_are_rejected(spark):
     assert not any(got[i] for i in range(200, 208))
 
 
+def plain_word_entropy(texts):
+    """Interpolated Kneser-Ney on token trigrams, every occurrence scored by the counts without itself."""
+    split = re.compile(r"[\u0800-\U0010ffff]|[^\x20\x09-\x0D\u0800-\U0010ffff]+")
+    rows = {t: [None, None, *split.findall(t)] for t in texts}
+    three = Counter(gram for row in rows.values() for gram in zip(row, row[1:], row[2:], strict=False))
+    two = Counter((v, w) for _, v, w in three)
+    one = Counter(w for _, w in two)
+    uv, uv_types, v_all, v_types = Counter(), Counter(), Counter(), Counter()
+    for (u, v, _), n in three.items():
+        uv[u, v] += n
+        uv_types[u, v] += 1
+    for (v, _), n in two.items():
+        v_all[v] += n
+        v_types[v] += 1
+
+    def discount(counts):
+        once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+        return min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
+
+    def smoothed(n, total, types, d, below):
+        return (max(n - d, 0) + d * types * below) / total if total > 0 else below
+
+    d1, d2, d3 = map(discount, (one, two, three))
+
+    def probability(u, v, w):
+        own = three[u, v, w] == 1  # without it, its pair loses a trigram
+        gone = own and two[v, w] == 1
+        low = (max(one[w] - gone - d1, 0) + d1) / sum(one.values())
+        low = smoothed(two[v, w] - own, v_all[v] - own, v_types[v] - gone, d2, low)
+        return smoothed(three[u, v, w] - 1, uv[u, v] - 1, uv_types[u, v] - own, d3, low)
+
+    return {
+        t: (-sum(math.log(probability(*g)) for g in zip(row, row[1:], row[2:], strict=False)) / (len(row) - 2), len(row) - 2)
+        for t, row in rows.items()
+        if len(row) > 2
+    }
+
+
+@pytest.mark.parametrize(("bucket_bytes", "turns"), [(300, 3), (2000, 2), (1 << 30, 1)])
+def test_token_scores_are_those_of_plain_counts(spark, bucket_bytes, turns):
+    import random
+
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(60)] + ["the"] * 60 + ["日本", "語", "é日x", "😀"]
+    rows = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 60))) for _ in range(80)]
+    rows += rows[:20] * 3 + ["the the the the the", "", "  ", None]
+    docs = spark.createDataFrame([(t,) for t in rows], "text string").repartition(7)
+    assert len(quality_rules.frequent_middles(docs, 20)) > 0
+    got = quality_rules.token_scores(docs, bucket_bytes, turns).collect()
+    hashed = {r[1]: r[0] or "" for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    expected = plain_word_entropy({t or "" for t in rows})
+    assert {hashed[r._text_hash]: r.n_tokens for r in got} == {t: n for t, (_, n) in expected.items()}
+    assert len(got) == len(expected)
+    for r in got:
+        assert r.word_entropy == pytest.approx(expected[hashed[r._text_hash]][0], rel=1e-9)
+    assert quality_rules.token_scores(empty(spark), bucket_bytes, turns).count() == 0
+
+
+def test_many_words_in_a_bucket_are_counted_alike(spark, monkeypatch):
+    docs = odd(spark).select("text").union(spark.createDataFrame([("a b a b c a b",), ("b a b c",)], "text string"))
+    frequent = quality_rules.frequent_middles(docs, 2)
+    rows = quality_rules.trigrams(docs, frequent, 1, 0, 1).toArrow()
+    by_key = [quality_rules.BucketCounts(rows, frequent, scored) for scored in (True, False)]
+    monkeypatch.setattr(quality_rules, "ONE_KEY_WORDS", 0)
+    by_columns = [quality_rules.BucketCounts(rows, frequent, scored) for scored in (True, False)]
+    for one, other in zip(by_key, by_columns, strict=True):
+        for name in ("n", "v", "w", "pair_n", "shared"):
+            assert np.array_equal(getattr(one, name), getattr(other, name))
+    for name in ("triple", "context", "context_total", "context_types", "pair"):
+        assert np.array_equal(getattr(by_key[0], name), getattr(by_columns[0], name))
+
+
+def test_trigrams_are_not_written(spark, monkeypatch, tmp_path):
+    import random
+
+    draw = random.Random(9)
+    words = ["".join(draw.choice("aeioulnrst") for _ in range(6)) for _ in range(3000)]
+    rows = [(i, "en", " ".join(draw.choice(words) for _ in range(300))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    assert quality_rules.judge(docs).count() == 300
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert 0 < written < sum(len(t) for _, _, t in rows)
+
+
 def test_tokens_are_words_and_wide_code_points():
     hasher = quality_rules.Hasher(lower=False)
 
